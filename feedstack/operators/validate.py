@@ -91,10 +91,11 @@ def validate_reviews(parsed: DataFrame, as_of: str) -> DataFrame:
     return parsed.withColumn("errors", errs).withColumn("valid", ok & (F.size("errors") == 0))
 
 
-def error_breakdown(validated: DataFrame) -> DataFrame:
-    """Validation errors counted by provider and message."""
-    return (validated.filter(~F.col("valid") & (F.size("errors") > 0))
-            .select(F.col("provider"), F.explode("errors").alias("error"))
+def error_breakdown(tagged: DataFrame) -> DataFrame:
+    """Validation errors counted by provider and message (over the
+    per-line table of the ingest plan, where the rules ran once)."""
+    return (tagged.filter(F.col("stage") == "invalid")
+            .select(F.col("provider"), F.explode("line_errors").alias("error"))
             .groupBy("provider", "error").agg(F.count(F.lit(1)).alias("error_count")))
 
 

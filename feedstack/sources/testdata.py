@@ -191,9 +191,9 @@ def processed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(F.lit("IN_PROGRESS")))
     key = F.concat(F.lit("reviews/"), F.col("o_orderpriority"), F.lit("/order-"),
                    _s(F.col("o_orderkey")), F.lit(".jl"))
-    started = F.timestampadd("HOUR", F.lit(1), F.col("o_orderdate"))
+    started = F.timestamp_add("HOUR", F.lit(1), F.col("o_orderdate"))
     completed = F.when(status.isin("COMPLETED", "FAILED"),
-                       F.timestampadd("MINUTE", F.pmod(F.col("o_orderkey"), F.lit(120)), started))
+                       F.timestamp_add("MINUTE", F.pmod(F.col("o_orderkey"), F.lit(120)), started))
     return o.select(
         F.col("o_orderkey").alias("id"),
         key.alias("s3_key"),
@@ -230,7 +230,7 @@ def processing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .otherwise(0)).cast("int")
     start = F.when(status != "PENDING", F.col("ts"))
     end = F.when(status.isin("COMPLETED", "FAILED", "CANCELLED"),
-                 F.timestampadd("MILLISECOND", F.round(F.col("value") * 1000).cast("long"), F.col("ts")))
+                 F.timestamp_add("MILLISECOND", F.round(F.col("value") * 1000).cast("long"), F.col("ts")))
     return e.select(
         F.concat(F.lit("job-"), _s(F.col("event_id"))).alias("processing_id"),
         status.alias("status"),
