@@ -116,7 +116,7 @@ def job_status(jobs: DataFrame, as_of: str) -> DataFrame:
     return jobs.select(
         "processing_id", "status", "provider", "start_time", "end_time", "total_files", "processed_files",
         F.col("failed_files"), "total_reviews", "error_message",
-        duration_ms("start_time", "end_time", ts(as_of)).alias("duration_ms"),
+        duration_ms("start_time", "end_time", ts(as_of)).cast("double").alias("duration_ms"),
         F.round(job_progress("processed_files", "failed_files", "total_files"), 6).alias("progress_pct"))
 
 

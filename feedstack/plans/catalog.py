@@ -642,7 +642,7 @@ def q_provider_status(spark, sf):
 @register("job_status", with_ctes(["jobs"], f"""
 SELECT processing_id, status, provider, start_time, end_time, total_files, processed_files, failed_files,
        total_reviews, error_message,
-       CASE WHEN start_time IS NOT NULL THEN date_sub('millisecond', start_time, coalesce(end_time, TIMESTAMP '{JOB_AS_OF}')) END AS duration_ms,
+       CAST(CASE WHEN start_time IS NOT NULL THEN date_sub('millisecond', start_time, coalesce(end_time, TIMESTAMP '{JOB_AS_OF}')) END AS DOUBLE) AS duration_ms,
        round(CASE WHEN total_files IS NULL OR total_files = 0 THEN 0.0
                   ELSE (coalesce(processed_files, 0) + coalesce(failed_files, 0)) * 100.0 / total_files END, 6) AS progress_pct
 FROM processing_jobs"""))
