@@ -155,6 +155,12 @@ def q_provider_scores(spark, sf):
         F.round(F.avg(F.col("grades")["Cleanliness"]), 6).alias("average_cleanliness"))
 
 
+@register("file_result", None)
+def q_file_result(spark, sf):
+    r = E.file_result(_tagged(spark, sf))
+    return r.select("file_key", "saved_reviews", "total_errors", "error_rate", "successful", "error_summary")
+
+
 @register("chunk_rollup", with_ctes(["staged"], """
 SELECT file_key, CAST(floor((line_no - 1) / 2) AS BIGINT) AS chunk_id, count(*) AS total_lines,
        count(*) FILTER (WHERE outcome = 'valid') AS valid_count,
