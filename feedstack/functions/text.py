@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's String.trim() removes every char <= U+0020 at both ends; Spark's trim
-# only removes spaces, hence a regex.
-_JAVA_TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
+# Java's String.trim() removes every char <= U+0020 at both ends; Spark's
+# one-argument trim only removes spaces, so trim that exact character set.
+_JAVA_TRIM_CHARS = "".join(chr(i) for i in range(0x21))
 
 
 def _c(x) -> Column:
@@ -15,7 +15,7 @@ def _c(x) -> Column:
 
 
 def java_trim(c) -> Column:
-    return F.regexp_replace(_c(c), _JAVA_TRIM, "")
+    return F.btrim(_c(c), F.lit(_JAVA_TRIM_CHARS))
 
 
 def is_blank(c) -> Column:
