@@ -31,7 +31,11 @@ def kind(v, path: str) -> Column:
 
     The first character of the value's JSON text tells the kind; for scalars
     this text is a few bytes long."""
-    first = F.substring(F.to_json(node(v, path)), 1, 1)
+    return kind_of_char(F.substring(F.to_json(node(v, path)), 1, 1))
+
+
+def kind_of_char(first: Column) -> Column:
+    """Kind from the first character of a value's JSON text."""
     return (F.when(first == '"', F.lit(STRING))
             .when(first == "{", F.lit(OBJECT))
             .when(first == "[", F.lit(ARRAY))
@@ -49,8 +53,11 @@ def raw_text(v, path: str) -> Column:
 def as_text(v, path: str, k: Column | None = None) -> Column:
     """Text of a scalar; '' for objects/arrays; null when absent or null."""
     k = kind(v, path) if k is None else k
-    return (F.when(k.isin(OBJECT, ARRAY), F.lit(""))
-            .when(k != NULL, raw_text(v, path)))
+    return text_of(k, raw_text(v, path))
+
+
+def text_of(k: Column, text: Column) -> Column:
+    return F.when(k.isin(OBJECT, ARRAY), F.lit("")).when(k != NULL, text)
 
 
 def parse_int_lenient(text: Column) -> Column:
@@ -66,7 +73,11 @@ def as_int(v, path: str, k: Column | None = None) -> Column:
     """Root integer field: numbers truncated, text parsed leniently,
     booleans 1/0, containers 0, absent/null -> null."""
     k = kind(v, path) if k is None else k
-    text = raw_text(v, path)
+    return int_of(k, raw_text(v, path))
+
+
+def int_of(k: Column, text: Column) -> Column:
+    """Lenient int of a value of kind ``k`` printed as ``text``."""
     return (F.when(k == NUMBER, F.coalesce(text.try_cast("double").try_cast("int"), F.lit(0)))
             .when(k == STRING, parse_int_lenient(text))
             .when(k == BOOLEAN, F.when(text == "true", 1).otherwise(0))

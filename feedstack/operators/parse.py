@@ -18,57 +18,64 @@ from ..functions.text import is_blank, java_trim, preview
 PARSED_COLUMNS = [
     "is_blank", "is_malformed", "v",
     "hotel_id", "provider", "hotel_name",
-    "comment_kind",
     "rating_kind", "rating_text",
     "date_kind", "date_text",
     "hrid_kind", "hrid_text",
     "comments_kind", "comments_text",
     "title_text", "reviewer_name_text", "translate_source_text",
-    "ri_kind", "country_kind", "country_text", "stay_kind", "stay_text",
+    "country_kind", "country_text", "stay_kind", "stay_text",
+]
+
+# Scalar fields whose JSON kind matters: (prefix, path).
+_TYPED_FIELDS = [
+    ("hotel", "$.hotelId"),
+    ("provider", "$.platform"),
+    ("hotel_name", "$.hotelName"),
+    ("rating", "$.comment.rating"),
+    ("date", "$.comment.reviewDate"),
+    ("hrid", "$.comment.hotelReviewId"),
+    ("comments", "$.comment.reviewComments"),
+    ("country", "$.comment.reviewerInfo.countryName"),
+    ("stay", "$.comment.reviewerInfo.lengthOfStay"),
 ]
 
 
 def parse_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     """Flag blank/malformed lines and extract typed root and comment
-    fields.  A non-object root parses with every field null."""
+    fields.  A non-object root parses with every field null.
+
+    Each field's sub-value is fetched once; its kind comes from the first
+    character of its JSON text and its text from one cast, each in its own
+    projection so no expression is evaluated twice per row."""
     line = F.col(line_col)
-    blank = is_blank(line)
-    v = F.when(~blank, F.try_parse_json(java_trim(line)))
-    out = df.withColumn("is_blank", blank).withColumn("v", v) \
-        .withColumn("is_malformed", ~F.col("is_blank") & F.col("v").isNull())
-    vv = "v"
-    kinds = {
-        "hotel_kind": J.kind(vv, "$.hotelId"),
-        "provider_kind": J.kind(vv, "$.platform"),
-        "hotel_name_kind": J.kind(vv, "$.hotelName"),
-        "comment_kind": J.kind(vv, "$.comment"),
-        "rating_kind": J.kind(vv, "$.comment.rating"),
-        "date_kind": J.kind(vv, "$.comment.reviewDate"),
-        "hrid_kind": J.kind(vv, "$.comment.hotelReviewId"),
-        "comments_kind": J.kind(vv, "$.comment.reviewComments"),
-        "ri_kind": J.kind(vv, "$.comment.reviewerInfo"),
-        "country_kind": J.kind(vv, "$.comment.reviewerInfo.countryName"),
-        "stay_kind": J.kind(vv, "$.comment.reviewerInfo.lengthOfStay"),
-    }
-    out = out.withColumns(kinds)
-    nonnull = lambda k, path: F.when(F.col(k) != J.NULL, J.raw_text(vv, path))
-    display = F.coalesce(J.raw_text(vv, "$.comment.reviewerDisplayName"),
-                         J.raw_text(vv, "$.comment.reviewerInfo.displayMemberName"))
+    out = df.withColumn("is_blank", is_blank(line))
+    out = out.withColumn("v", F.when(~F.col("is_blank"), F.try_parse_json(java_trim(line))))
+    out = out.withColumn("is_malformed", ~F.col("is_blank") & F.col("v").isNull())
+    out = out.withColumns({f"_{n}_node": J.node("v", p) for n, p in _TYPED_FIELDS})
+    out = out.withColumns({
+        **{f"_{n}_c": F.substring(F.to_json(F.col(f"_{n}_node")), 1, 1) for n, _ in _TYPED_FIELDS},
+        **{f"_{n}_raw": F.try_variant_get(F.col(f"_{n}_node"), "$", "string") for n, _ in _TYPED_FIELDS},
+    })
+    out = out.withColumns({f"{n}_kind": J.kind_of_char(F.col(f"_{n}_c")) for n, _ in _TYPED_FIELDS})
+    nonnull = lambda n: F.when(F.col(f"{n}_kind") != J.NULL, F.col(f"_{n}_raw"))
+    display = F.coalesce(J.raw_text("v", "$.comment.reviewerDisplayName"),
+                         J.raw_text("v", "$.comment.reviewerInfo.displayMemberName"))
     out = out.withColumns({
-        "hotel_id": J.as_int(vv, "$.hotelId", F.col("hotel_kind")),
-        "provider": J.as_text(vv, "$.platform", F.col("provider_kind")),
-        "hotel_name": J.as_text(vv, "$.hotelName", F.col("hotel_name_kind")),
-        "rating_text": nonnull("rating_kind", "$.comment.rating"),
-        "date_text": nonnull("date_kind", "$.comment.reviewDate"),
-        "hrid_text": nonnull("hrid_kind", "$.comment.hotelReviewId"),
-        "comments_text": nonnull("comments_kind", "$.comment.reviewComments"),
-        "title_text": J.raw_text(vv, "$.comment.reviewTitle"),
+        "hotel_id": J.int_of(F.col("hotel_kind"), F.col("_hotel_raw")),
+        "provider": J.text_of(F.col("provider_kind"), F.col("_provider_raw")),
+        "hotel_name": J.text_of(F.col("hotel_name_kind"), F.col("_hotel_name_raw")),
+        "rating_text": nonnull("rating"),
+        "date_text": nonnull("date"),
+        "hrid_text": nonnull("hrid"),
+        "comments_text": nonnull("comments"),
+        "title_text": J.raw_text("v", "$.comment.reviewTitle"),
         "reviewer_name_text": display,
-        "translate_source_text": J.raw_text(vv, "$.comment.translateSource"),
-        "country_text": nonnull("country_kind", "$.comment.reviewerInfo.countryName"),
-        "stay_text": nonnull("stay_kind", "$.comment.reviewerInfo.lengthOfStay"),
+        "translate_source_text": J.raw_text("v", "$.comment.translateSource"),
+        "country_text": nonnull("country"),
+        "stay_text": nonnull("stay"),
     })
-    return out.drop("hotel_kind", "provider_kind", "hotel_name_kind")
+    helpers = [f"_{n}_{x}" for n, _ in _TYPED_FIELDS for x in ("node", "c", "raw")]
+    return out.drop(*helpers, "hotel_kind", "provider_kind", "hotel_name_kind")
 
 
 def json_scalar_coerce(df: DataFrame, path: str, alias: str, as_type: str = "int") -> DataFrame:
@@ -81,8 +88,9 @@ def comment_map(df: DataFrame) -> DataFrame:
     """The comment object as ``map<string,string>``; a missing, null or
     non-object comment gives an empty map (never null)."""
     m = F.try_variant_get("v", "$.comment", "map<string,string>")
+    is_object = J.kind("v", "$.comment") == J.OBJECT
     return df.withColumn("comment_map", F.coalesce(
-        F.when(F.col("comment_kind") == J.OBJECT, m), F.create_map().cast("map<string,string>")))
+        F.when(is_object, m), F.create_map().cast("map<string,string>")))
 
 
 PROVIDER_SCORE_TYPE = ("array<struct<providerId:int,provider:string,overallScore:double,"

@@ -34,8 +34,10 @@ def _number_check(kind: Column, text: Column, *, integral: str, positive_msg: st
             .when(present & (value < 1), F.lit(positive_msg)))
 
 
-def validation_errors(as_of: str) -> Column:
-    """V0-V10 over the columns of ``parse_lines``."""
+def validation_errors(as_of: str, comment_flag: bool = False) -> Column:
+    """V0-V10 over the columns of ``parse_lines``.  ``comment_flag``: the
+    input carries a boolean ``comment_missing`` column (records built
+    without a parsed line); parsed lines always have a comment map."""
     now = ts(as_of)
     hotel_id, provider, hotel_name = F.col("hotel_id"), F.col("provider"), F.col("hotel_name")
     v_hotel = (F.when(hotel_id.isNull(), F.lit(K.MSG_HOTEL_ID_REQUIRED))
@@ -64,22 +66,22 @@ def validation_errors(as_of: str) -> Column:
                                 positive_msg=K.MSG_REVIEW_ID_POSITIVE, number_msg=K.MSG_REVIEW_ID_NUMBER)
     v_comments = F.when(F.length(F.col("comments_text")) > K.MAX_REVIEW_COMMENTS_LENGTH,
                         F.lit(K.MSG_COMMENTS_TOO_LONG))
-    ri_object = F.col("ri_kind") == J.OBJECT
-    v_country = F.when(ri_object & (F.col("country_kind") == J.STRING) & is_blank(F.col("country_text")),
+    # A child of reviewerInfo is only reachable when reviewerInfo is an
+    # object, so a present child kind already implies "reviewerInfo is a map".
+    v_country = F.when((F.col("country_kind") == J.STRING) & is_blank(F.col("country_text")),
                        F.lit(K.MSG_COUNTRY_EMPTY))
-    v_stay = F.when(ri_object, _number_check(F.col("stay_kind"), F.col("stay_text"), integral="int",
-                                             positive_msg=K.MSG_STAY_POSITIVE, number_msg=K.MSG_STAY_NUMBER))
+    v_stay = _number_check(F.col("stay_kind"), F.col("stay_text"), integral="int",
+                           positive_msg=K.MSG_STAY_POSITIVE, number_msg=K.MSG_STAY_NUMBER)
     # The parser always yields a comment map (empty when the key is absent),
     # so "Comment section is required" only applies to records built without
-    # a parsed line (comment_kind is then the literal 'missing').
-    comment_missing = F.col("comment_kind") == F.lit("missing")
+    # a parsed line, which carry an explicit ``comment_missing`` flag.
     comment_rules = [v_rating, v_date, v_review_id, v_comments, v_country, v_stay]
     with_comment = _errors(v_hotel, v_provider, v_name, *comment_rules)
-    without_comment = _errors(v_hotel, v_provider, v_name, F.lit(K.MSG_COMMENT_REQUIRED))
-    record_null = F.col("v").isNull()
-    return (F.when(record_null, F.array(F.lit(K.MSG_NULL_RECORD)))
-            .when(F.coalesce(comment_missing, F.lit(False)), without_comment)
-            .otherwise(with_comment))
+    out = F.when(F.col("v").isNull(), F.array(F.lit(K.MSG_NULL_RECORD)))
+    if comment_flag:
+        without_comment = _errors(v_hotel, v_provider, v_name, F.lit(K.MSG_COMMENT_REQUIRED))
+        out = out.when(F.coalesce(F.col("comment_missing"), F.lit(False)), without_comment)
+    return out.otherwise(with_comment)
 
 
 def validate_reviews(parsed: DataFrame, as_of: str) -> DataFrame:
@@ -87,7 +89,8 @@ def validate_reviews(parsed: DataFrame, as_of: str) -> DataFrame:
     well-formed lines (blank / malformed lines get an empty array and
     valid = false, they are counted separately)."""
     ok = ~F.col("is_blank") & ~F.col("is_malformed")
-    errs = F.when(ok, validation_errors(as_of)).otherwise(F.array().cast("array<string>"))
+    flag = "comment_missing" in parsed.columns
+    errs = F.when(ok, validation_errors(as_of, flag)).otherwise(F.array().cast("array<string>"))
     return parsed.withColumn("errors", errs).withColumn("valid", ok & (F.size("errors") == 0))
 
 
