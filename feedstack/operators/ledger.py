@@ -171,6 +171,19 @@ def job_log_lines(jobs: DataFrame) -> DataFrame:
     return jobs.select("processing_id", F.posexplode(lines).alias("log_pos", "log_line"))
 
 
+def job_events(jobs: DataFrame) -> DataFrame:
+    """The event log of each job row: created (PENDING), started
+    (IN_PROGRESS) and ended (final status), with a sequence number that
+    orders events sharing a timestamp."""
+    created = jobs.select("processing_id", F.col("created_at").alias("event_ts"), F.lit(0).alias("seq"),
+                          F.lit("PENDING").alias("status"))
+    started = jobs.filter(F.col("start_time").isNotNull()).select(
+        "processing_id", F.col("start_time").alias("event_ts"), F.lit(1).alias("seq"), F.lit("IN_PROGRESS").alias("status"))
+    ended = jobs.filter(F.col("end_time").isNotNull()).select(
+        "processing_id", F.col("end_time").alias("event_ts"), F.lit(2).alias("seq"), "status")
+    return created.unionByName(started).unionByName(ended)
+
+
 JOB_TRANSITIONS = {  # allowed (from -> to) moves of a job
     "PENDING": ["IN_PROGRESS", "CANCELLED", "FAILED"],
     "IN_PROGRESS": ["COMPLETED", "FAILED", "CANCELLED"],
@@ -181,7 +194,7 @@ def job_transitions(events: DataFrame) -> DataFrame:
     """Current job state from an event log (max_by on event time) and
     each event flagged legal / illegal against the previous state."""
     from pyspark.sql import Window
-    w = Window.partitionBy("processing_id").orderBy("event_ts")
+    w = Window.partitionBy("processing_id").orderBy("event_ts", "seq")
     prev = F.lag("status").over(w)
     legal = F.lit(False)
     for src, dsts in JOB_TRANSITIONS.items():

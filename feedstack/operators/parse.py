@@ -85,12 +85,11 @@ def json_scalar_coerce(df: DataFrame, path: str, alias: str, as_type: str = "int
 
 
 def comment_map(df: DataFrame) -> DataFrame:
-    """The comment object as ``map<string,string>``; a missing, null or
-    non-object comment gives an empty map (never null)."""
-    m = F.try_variant_get("v", "$.comment", "map<string,string>")
-    is_object = J.kind("v", "$.comment") == J.OBJECT
-    return df.withColumn("comment_map", F.coalesce(
-        F.when(is_object, m), F.create_map().cast("map<string,string>")))
+    """The comment object as ``map<string,variant>`` (values keep their
+    JSON type, nested objects included); a missing, null or non-object
+    comment gives an empty map (never null)."""
+    m = F.try_variant_get("v", "$.comment", "map<string,variant>")
+    return df.withColumn("comment_map", F.coalesce(m, F.create_map().cast("map<string,variant>")))
 
 
 PROVIDER_SCORE_TYPE = ("array<struct<providerId:int,provider:string,overallScore:double,"

@@ -265,8 +265,8 @@ providers AS (
 )"""
 
 
-def _with_providers(body: str) -> str:
-    return with_ctes(["reviews"], "", AS_OF).rstrip() + "," + _PROVIDERS_SQL.strip() + "\n" + body
+def _with_providers(body: str, extra: list[str] | None = None) -> str:
+    return with_ctes(["reviews", *(extra or [])], "", AS_OF).rstrip() + "," + _PROVIDERS_SQL.strip() + "\n" + body
 
 
 @register("count_by_provider", _with_providers("""
@@ -725,3 +725,202 @@ def queries() -> dict[str, Builder]:
 
 def oracle_sql() -> dict[str, str]:
     return {q.key: q.sql for q in REGISTRY if q.sql is not None}
+
+
+# ----------------------------------------------------------------------------
+# Constraints, JSON maps, dates, ledger events, job transitions, metrics rows
+# ----------------------------------------------------------------------------
+
+def _len_rule(col: str, limit: int) -> str:
+    return f"CASE WHEN length({col}) > {limit} THEN '{col} exceeds {limit} characters' END"
+
+
+_REVIEW_COLS = ["hotel_name", "hotel_review_id", "review_comments", "review_title", "translate_source", "content_hash"]
+
+
+@register("entity_constraints", with_ctes(["reviews"], f"""
+SELECT id, array_to_string(errs, '; ') AS errors FROM (
+  SELECT id, list_filter([
+    CASE WHEN hotel_id IS NULL THEN 'hotel_id is required' END,
+    CASE WHEN platform IS NULL OR {jtrim('platform')} = '' THEN 'platform is required' END,
+    CASE WHEN hotel_review_id IS NULL OR {jtrim('hotel_review_id')} = '' THEN 'hotel_review_id is required' END,
+    CASE WHEN rating IS NULL THEN 'rating is required' END,
+    CASE WHEN rating < 0 OR rating > 10 THEN 'rating must be between 0 and 10' END,
+    CASE WHEN review_date IS NULL THEN 'review_date is required' END,
+    CASE WHEN review_date > TIMESTAMP '{AS_OF}' THEN 'review_date must not be in the future' END,
+    CASE WHEN length_of_stay < 0 THEN 'length_of_stay must be >= 0' END,
+    CASE WHEN reviewer_review_count < 0 THEN 'reviewer_review_count must be >= 0' END,
+    {", ".join(_len_rule(c, n) for c, n in K.REVIEW_MAX_LENGTHS if c in _REVIEW_COLS)}
+  ], lambda x: x IS NOT NULL) AS errs FROM reviews) WHERE len(errs) > 0"""))
+def q_entity_constraints(spark, sf):
+    v = validate.entity_constraints(TD.reviews(spark, sf), AS_OF)
+    return v.filter(F.size("errors") > 0).select("id", F.array_join("errors", "; ").alias("errors"))
+
+
+@register("referential_check", _with_providers("""
+SELECT 'orphan_reviews' AS check_name, count(*) AS value FROM reviews r
+WHERE NOT EXISTS (SELECT 1 FROM providers p WHERE p.code = r.platform)
+UNION ALL
+SELECT 'providers_in_use', count(*) FROM providers p WHERE EXISTS (SELECT 1 FROM reviews r WHERE r.platform = p.code)"""))
+def q_referential_check(spark, sf):
+    r, p = TD.reviews(spark, sf), _providers(spark, sf)
+    codes = p.select(F.col("code").alias("platform"))
+    orphans = r.join(codes, "platform", "left_anti").agg(F.count(F.lit(1)).alias("value")) \
+        .select(F.lit("orphan_reviews").alias("check_name"), "value")
+    in_use = codes.join(r.select("platform"), "platform", "left_semi").agg(F.count(F.lit(1)).alias("value")) \
+        .select(F.lit("providers_in_use").alias("check_name"), "value")
+    return orphans.unionByName(in_use)
+
+
+@register("comment_keys", with_ctes(["parsed"], """
+SELECT key, count(*) AS occurrences FROM (
+  SELECT unnest(json_keys(json_extract(j, '$.comment'))) AS key FROM parsed
+  WHERE j IS NOT NULL AND json_type(json_extract(j, '$.comment')) = 'OBJECT') GROUP BY key"""))
+def q_comment_keys(spark, sf):
+    m = parse.comment_map(parse.parse_lines(TD.review_lines(spark, sf)))
+    return (m.select(F.explode(F.map_keys("comment_map")).alias("key"))
+            .groupBy("key").agg(F.count(F.lit(1)).alias("occurrences")))
+
+
+_TDATE = (r"'^(\d{4}-\d{2}-\d{2}|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?((Z|[+-]\d{2}:\d{2}(:\d{2})?)"
+          r"(\[[^\]]+\])?)?|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})$'")
+_LOCALP = r"'^(\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?)'"
+
+
+@register("parse_dates", with_ctes(["parsed"], f"""
+SELECT file_key, line_no, date_text,
+  CASE WHEN regexp_full_match(date_text, {_TDATE}) THEN TRY_CAST(regexp_extract(date_text, {_LOCALP}, 1) AS TIMESTAMP) END
+    AS transform_date
+FROM parsed WHERE date_text IS NOT NULL"""))
+def q_parse_dates(spark, sf):
+    from ..functions.dates import parse_review_date
+    p = parse.parse_lines(TD.review_lines(spark, sf)).filter(F.col("date_text").isNotNull())
+    return p.select("file_key", "line_no", "date_text",
+                    parse_review_date("date_text", validator=False).alias("transform_date"))
+
+
+@register("track_files", with_ctes(["ledger"], f"""
+SELECT s3_key, 'PENDING' AS processing_status, TIMESTAMP '{LEDGER_AS_OF}' AS updated_at FROM processed_files f
+WHERE NOT EXISTS (SELECT 1 FROM processed_files l WHERE l.s3_key = f.s3_key AND l.etag = f.etag
+                    AND l.created_at < TIMESTAMP '2000-01-01 00:00:00')"""))
+def q_track_files(spark, sf):
+    known = TD.processed_files(spark, sf).filter(F.col("created_at") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+    return ledger.track_files(_files(spark, sf), known, LEDGER_AS_OF).select("s3_key", "processing_status", "updated_at")
+
+
+@register("select_job_files", with_ctes(["ledger"], """
+SELECT s3_key, last_modified_date FROM processed_files f
+WHERE NOT EXISTS (SELECT 1 FROM processed_files l WHERE l.s3_key = f.s3_key AND l.processing_status = 'COMPLETED')
+ORDER BY last_modified_date, s3_key LIMIT 100"""))
+def q_select_job_files(spark, sf):
+    return ledger.select_job_files(_files(spark, sf), TD.processed_files(spark, sf), None, 100) \
+        .select("s3_key", "last_modified_date")
+
+
+@register("job_transitions", with_ctes(["jobs"], """
+SELECT processing_id, event_ts, seq, status, previous_status,
+       previous_status IS NULL OR (previous_status = 'PENDING' AND status IN ('IN_PROGRESS', 'CANCELLED', 'FAILED'))
+         OR (previous_status = 'IN_PROGRESS' AND status IN ('COMPLETED', 'FAILED', 'CANCELLED')) AS legal
+FROM (SELECT *, lag(status) OVER (PARTITION BY processing_id ORDER BY event_ts, seq) AS previous_status
+      FROM (SELECT processing_id, created_at AS event_ts, 0 AS seq, 'PENDING' AS status FROM processing_jobs
+            UNION ALL SELECT processing_id, start_time, 1, 'IN_PROGRESS' FROM processing_jobs WHERE start_time IS NOT NULL
+            UNION ALL SELECT processing_id, end_time, 2, status FROM processing_jobs WHERE end_time IS NOT NULL))"""))
+def q_job_transitions(spark, sf):
+    ev = ledger.job_events(TD.processing_jobs(spark, sf))
+    return ledger.job_transitions(ev).select("processing_id", "event_ts", "seq", "status", "previous_status", "legal")
+
+
+@register("health_thresholds", with_ctes(["ledger"], f"""
+SELECT processed_today, failed_today,
+       round(CASE WHEN processed_today + failed_today > 0 THEN processed_today * 100.0 / (processed_today + failed_today)
+                  ELSE 100.0 END, 2) AS success_rate,
+       CASE WHEN processed_today + failed_today >= 10
+                 AND failed_today / (processed_today + failed_today) > 0.1 THEN 'DOWN' ELSE 'UP' END AS health
+FROM (SELECT count(*) FILTER (WHERE processing_completed_at BETWEEN TIMESTAMP '{_DAY} 00:00:00' AND TIMESTAMP '{_DAY} 23:59:59'
+                               AND processing_status = 'COMPLETED') AS processed_today,
+             count(*) FILTER (WHERE processing_completed_at BETWEEN TIMESTAMP '{_DAY} 00:00:00' AND TIMESTAMP '{_DAY} 23:59:59'
+                               AND processing_status = 'FAILED') AS failed_today FROM processed_files)"""))
+def q_health_thresholds(spark, sf):
+    return stats.health_thresholds(TD.processed_files(spark, sf), LEDGER_AS_OF)
+
+
+def _metric_row(df: DataFrame, name: str, value) -> DataFrame:
+    return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
+
+
+@register("system_metrics", with_ctes(["reviews", "ledger", "jobs"], f"""
+SELECT 'total_reviews' AS metric, CAST(count(*) AS DOUBLE) AS value FROM reviews
+UNION ALL SELECT 'reviews_last_24h', CAST(count(*) AS DOUBLE) FROM reviews
+  WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR
+UNION ALL SELECT 'average_rating', round(avg(rating), 6) FROM reviews
+UNION ALL SELECT 'files_processed_today', CAST(count(*) AS DOUBLE) FROM processed_files
+  WHERE processing_status = 'COMPLETED' AND processing_completed_at BETWEEN TIMESTAMP '{_DAY} 00:00:00' AND TIMESTAMP '{_DAY} 23:59:59'
+UNION ALL SELECT 'files_failed_today', CAST(count(*) AS DOUBLE) FROM processed_files
+  WHERE processing_status = 'FAILED' AND processing_completed_at BETWEEN TIMESTAMP '{_DAY} 00:00:00' AND TIMESTAMP '{_DAY} 23:59:59'
+UNION ALL SELECT 'jobs_completed_24h', CAST(count(*) AS DOUBLE) FROM processing_jobs
+  WHERE status = 'COMPLETED' AND created_at >= TIMESTAMP '{JOB_AS_OF}' - INTERVAL 24 HOUR
+UNION ALL SELECT 'reviews_from_jobs_24h', CAST(coalesce(sum(total_reviews), 0) AS DOUBLE) FROM processing_jobs
+  WHERE created_at >= TIMESTAMP '{JOB_AS_OF}' - INTERVAL 24 HOUR"""))
+def q_system_metrics(spark, sf):
+    from ..functions.dates import shift, ts
+    r, lf, j = TD.reviews(spark, sf), TD.processed_files(spark, sf), TD.processing_jobs(spark, sf)
+    day = stats.files_today(lf, LEDGER_AS_OF)
+    since = shift(ts(JOB_AS_OF), hours=-24)
+    parts = [
+        _metric_row(r, "total_reviews", F.count(F.lit(1))),
+        _metric_row(r.filter(F.col("created_at") >= shift(ts(AS_OF), hours=-24)), "reviews_last_24h", F.count(F.lit(1))),
+        _metric_row(r, "average_rating", F.round(F.avg("rating"), 6)),
+        day.select(F.lit("files_processed_today").alias("metric"), F.col("processed_today").cast("double").alias("value")),
+        day.select(F.lit("files_failed_today").alias("metric"), F.col("failed_today").cast("double").alias("value")),
+        _metric_row(j.filter((F.col("status") == "COMPLETED") & (F.col("created_at") >= since)), "jobs_completed_24h",
+                    F.count(F.lit(1))),
+        _metric_row(j.filter(F.col("created_at") >= since), "reviews_from_jobs_24h",
+                    F.coalesce(F.sum("total_reviews"), F.lit(0))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("provider_metrics", _with_providers("""
+SELECT p.code AS platform, coalesce(r.review_count, 0) AS review_count, coalesce(r.average_rating, 0.0) AS average_rating,
+       coalesce(f.completed_files, 0) AS completed_files, coalesce(f.failed_files, 0) AS failed_files
+FROM providers p
+LEFT JOIN (SELECT platform, count(*) AS review_count, round(avg(rating), 6) AS average_rating
+           FROM reviews GROUP BY platform) r ON p.code = r.platform
+LEFT JOIN (SELECT upper(provider) AS platform, count(*) FILTER (WHERE processing_status = 'COMPLETED') AS completed_files,
+                  count(*) FILTER (WHERE processing_status = 'FAILED') AS failed_files
+           FROM processed_files GROUP BY 1) f ON p.code = f.platform""", ["ledger"]))
+def q_provider_metrics(spark, sf):
+    return stats.provider_metrics(TD.reviews(spark, sf), TD.processed_files(spark, sf), _providers(spark, sf))
+
+
+@register("service_totals", _with_providers("""
+SELECT 'total_reviews' AS metric, count(*) AS value FROM reviews
+UNION ALL SELECT 'total_providers', count(*) FROM providers"""))
+def q_service_totals(spark, sf):
+    r, p = TD.reviews(spark, sf), _providers(spark, sf)
+    a = r.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total_reviews").alias("metric"), "value")
+    b = p.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total_providers").alias("metric"), "value")
+    return a.unionByName(b)
+
+
+@register("ledger_row_functions", with_ctes(["ledger"], f"""
+SELECT id,
+  CAST(CASE WHEN processing_started_at IS NOT NULL THEN date_sub('millisecond', processing_started_at,
+       coalesce(processing_completed_at, TIMESTAMP '{LEDGER_AS_OF}')) END AS DOUBLE) AS duration_ms,
+  processing_status IN ('COMPLETED', 'FAILED', 'CANCELLED', 'SKIPPED') AS is_terminal,
+  processing_status IN ('PENDING', 'IN_PROGRESS') AS is_active,
+  processing_status = 'COMPLETED' AS is_successful, processing_status = 'FAILED' AS is_failed,
+  CASE WHEN length(error_message) > 2000 THEN substr(error_message, 1, 2000) ELSE error_message END AS error_message
+FROM processed_files"""))
+def q_ledger_row_functions(spark, sf):
+    from ..functions.dates import ts
+    from ..functions.text import truncate
+    from ..operators.transform import status_flags
+    lf = status_flags(TD.processed_files(spark, sf), "processing_status")
+    return lf.select("id", R.duration_ms("processing_started_at", "processing_completed_at", ts(LEDGER_AS_OF))
+                     .cast("double").alias("duration_ms"),
+                     "is_terminal", "is_active", "is_successful", "is_failed",
+                     truncate("error_message", K.LEDGER_ERROR_MAX).alias("error_message"))
