@@ -924,3 +924,56 @@ def q_ledger_row_functions(spark, sf):
                      .cast("double").alias("duration_ms"),
                      "is_terminal", "is_active", "is_successful", "is_failed",
                      truncate("error_message", K.LEDGER_ERROR_MAX).alias("error_message"))
+
+
+@register("latest_records", with_ctes(["ledger", "jobs"], """
+SELECT * FROM (SELECT 'latest_job' AS record, processing_id AS record_key FROM processing_jobs
+               ORDER BY created_at DESC NULLS LAST, processing_id LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'latest_file', s3_key FROM processed_files
+               ORDER BY processing_completed_at DESC NULLS LAST, s3_key LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'oldest_file', s3_key FROM processed_files
+               ORDER BY last_modified_date ASC NULLS LAST, s3_key LIMIT 1)"""))
+def q_latest_records(spark, sf):
+    j, lf = TD.processing_jobs(spark, sf), TD.processed_files(spark, sf)
+    a = query.top_by(j, "created_at", 1, desc=True, tie_break="processing_id").select(
+        F.lit("latest_job").alias("record"), F.col("processing_id").alias("record_key"))
+    b = query.top_by(lf, "processing_completed_at", 1, desc=True, tie_break="s3_key").select(
+        F.lit("latest_file").alias("record"), F.col("s3_key").alias("record_key"))
+    c = query.top_by(lf, "last_modified_date", 1, desc=False, tie_break="s3_key").select(
+        F.lit("oldest_file").alias("record"), F.col("s3_key").alias("record_key"))
+    return a.unionByName(b).unionByName(c)
+
+
+@register("job_count_status_range", with_ctes(["jobs"], """
+SELECT count(*) AS job_count FROM processing_jobs
+WHERE status = 'FAILED' AND created_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'"""))
+def q_job_count_status_range(spark, sf):
+    return stats.job_count_status_range(TD.processing_jobs(spark, sf), "FAILED", "2024-01-05 00:00:00",
+                                        "2024-01-20 00:00:00")
+
+
+@register("provider_constraints", _with_providers("""
+SELECT name, array_to_string(list_filter([
+    CASE WHEN name IS NULL OR trim(name) = '' THEN 'name is required' END,
+    CASE WHEN length(name) > 100 THEN 'name exceeds 100 characters' END,
+    CASE WHEN api_endpoint IS NOT NULL AND NOT regexp_matches(api_endpoint, '^https?://.*') THEN 'api_endpoint must be a valid URL' END,
+    CASE WHEN length(api_endpoint) > 255 THEN 'api_endpoint exceeds 255 characters' END,
+    CASE WHEN rating_scale < 1 OR rating_scale > 10 THEN 'rating_scale must be between 1 and 10' END,
+    CASE WHEN length(supported_languages) > 200 THEN 'supported_languages exceeds 200 characters' END
+  ], lambda x: x IS NOT NULL), '; ') AS errors FROM providers"""))
+def q_provider_constraints(spark, sf):
+    v = validate.provider_constraints(_providers(spark, sf).withColumn("description", F.lit(None).cast("string")))
+    return v.select("name", F.array_join("errors", "; ").alias("errors"))
+
+
+@register("mark_transitions", with_ctes(["ledger"], f"""
+SELECT s3_key, 'COMPLETED' AS processing_status, TIMESTAMP '{LEDGER_AS_OF}' AS processing_completed_at,
+       CAST(NULL AS VARCHAR) AS error_message FROM processed_files WHERE processing_status = 'IN_PROGRESS'
+UNION ALL
+SELECT s3_key, 'IN_PROGRESS', processing_completed_at, NULL FROM processed_files WHERE processing_status = 'FAILED'"""))
+def q_mark_transitions(spark, sf):
+    lf = TD.processed_files(spark, sf)
+    done = ledger.mark(lf, lf.filter(F.col("processing_status") == "IN_PROGRESS"), "COMPLETED", LEDGER_AS_OF)
+    retry = ledger.mark(lf, lf.filter(F.col("processing_status") == "FAILED"), "IN_PROGRESS", LEDGER_AS_OF)
+    cols = ["s3_key", "processing_status", "processing_completed_at", "error_message"]
+    return done.select(*cols).unionByName(retry.select(*cols))
