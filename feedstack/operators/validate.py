@@ -16,6 +16,9 @@ from ..functions.text import is_blank, java_trim
 
 
 def _errors(*rules: Column) -> Column:
+    """The non-null messages in rule order.  (Measured: a lambda ``filter``
+    keeps this large projection out of whole-stage code generation, which
+    here is faster than one generated method too large for the JIT.)"""
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
 
