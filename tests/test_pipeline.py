@@ -81,3 +81,11 @@ def test_rerun_adds_nothing(spark, scratch):
     # replaying a batch id overwrites its own output
     ingest_files(spark, src, root, "b1", AS_OF)
     assert spark.read.parquet(os.path.join(root, "reviews")).count() == 2
+
+
+def test_checkpoint_barrier_gives_same_outcomes(spark):
+    lines = [line(hotelReviewId=7), "", line(hotelReviewId=7), line(hotel_id=0, hotelReviewId=9)]
+    a = E.ingest_batch(lines_df(spark, lines), AS_OF)
+    b = E.ingest_batch(lines_df(spark, lines), AS_OF, barrier="checkpoint")
+    key = ["line_no", "outcome"]
+    assert sorted(a.select(*key).collect()) == sorted(b.select(*key).collect())
