@@ -977,3 +977,25 @@ def q_mark_transitions(spark, sf):
     retry = ledger.mark(lf, lf.filter(F.col("processing_status") == "FAILED"), "IN_PROGRESS", LEDGER_AS_OF)
     cols = ["s3_key", "processing_status", "processing_completed_at", "error_message"]
     return done.select(*cols).unionByName(retry.select(*cols))
+
+
+_SINCE = "2001-01-01 00:00:00"
+_NEW_FILES_SQL = f"""file_key IN (
+      SELECT 'reviews/' || o_orderpriority || '/order-' || CAST(o_orderkey AS VARCHAR) || '.jl' FROM orders
+      WHERE o_orderdate > TIMESTAMP '{_SINCE}'
+      ORDER BY o_orderdate, 'reviews/' || o_orderpriority || '/order-' || CAST(o_orderkey AS VARCHAR) || '.jl' LIMIT 1000)"""
+
+
+@register("files_since", with_ctes(["staged"], """
+SELECT file_key, count(*) AS total_lines, count(*) FILTER (WHERE outcome = 'valid') AS valid_count,
+       count(*) FILTER (WHERE outcome IN ('invalid', 'failed')) AS invalid_count,
+       count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_count
+FROM tagged GROUP BY file_key""", lines_filter=_NEW_FILES_SQL))
+def q_files_since(spark, sf):
+    """List the files modified since t (S3, capped listing), ingest
+    their lines (E2) and report per file."""
+    from ..sources.files import list_new_files
+    new = list_new_files(_files(spark, sf), since=_SINCE).select(F.col("s3_key").alias("file_key"))
+    lines = TD.review_lines(spark, sf).join(new, "file_key", "left_semi")
+    r = E.batch_result(E.ingest_batch(lines, AS_OF))
+    return r.select("file_key", "total_lines", "valid_count", "invalid_count", "duplicate_count")

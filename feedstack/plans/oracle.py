@@ -326,7 +326,7 @@ providers AS (
 )"""
 
 
-def with_ctes(names: list[str], body: str, as_of: str = TD.REVIEW_AS_OF) -> str:
+def with_ctes(names: list[str], body: str, as_of: str = TD.REVIEW_AS_OF, lines_filter: str | None = None) -> str:
     """Assemble ``WITH <ctes> <body>``; dependencies are pulled in."""
     parts: list[str] = []
     need = set(names)
@@ -337,7 +337,8 @@ def with_ctes(names: list[str], body: str, as_of: str = TD.REVIEW_AS_OF) -> str:
     if "base" in need:
         parts.append(BASE)
     if "lines" in need:
-        parts.append(LINES)
+        parts.append(LINES if lines_filter is None else LINES.replace(
+            "  FROM lines0\n)", f"  FROM lines0 WHERE {lines_filter}\n)"))
     if "reviews" in need:
         parts.append(REVIEWS)
     if need & {"parsed", "staged"}:
