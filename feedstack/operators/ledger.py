@@ -201,3 +201,31 @@ def job_transitions(events: DataFrame) -> DataFrame:
         legal = legal | ((prev == src) & F.col("status").isin(*dsts))
     return events.withColumn("previous_status", prev).withColumn(
         "legal", prev.isNull() | legal)
+
+
+def ledger_runs(ledger: DataFrame) -> DataFrame:
+    """Processing runs derived from the ledger: one run per provider and
+    creation day (``run_id``), with its file rows as the child table."""
+    return ledger.withColumn("run_id", F.concat(F.col("provider"), F.lit("-"),
+                                                F.date_format("created_at", "yyyy-MM-dd")))
+
+
+def job_files_join(runs: DataFrame) -> DataFrame:
+    """Run -> processed / failed file names (one-to-many), summarised per
+    run with counts and first/last names (bounded per run, no list collect)."""
+    st = F.col("processing_status")
+    return runs.groupBy("run_id").agg(
+        F.count_if(st == "COMPLETED").alias("processed_file_count"),
+        F.count_if(st == "FAILED").alias("failed_file_count"),
+        F.min(F.when(st == "COMPLETED", F.col("s3_key"))).alias("first_processed_file"),
+        F.max(F.when(st == "FAILED", F.col("s3_key"))).alias("last_failed_file"))
+
+
+def replay_failed(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of the failed files of failed runs, ready for a new
+    ingest run (semi join on the file key; no per-file loop)."""
+    failed_runs = runs.groupBy("run_id").agg(F.count_if(F.col("processing_status") == "FAILED").alias("_f")) \
+        .filter(F.col("_f") > 0).select("run_id")
+    failed_files = runs.filter(F.col("processing_status") == "FAILED").join(failed_runs, "run_id", "left_semi") \
+        .select(F.col("s3_key").alias("file_key"))
+    return lines.join(failed_files, "file_key", "left_semi")

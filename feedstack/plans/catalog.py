@@ -999,3 +999,27 @@ def q_files_since(spark, sf):
     lines = TD.review_lines(spark, sf).join(new, "file_key", "left_semi")
     r = E.batch_result(E.ingest_batch(lines, AS_OF))
     return r.select("file_key", "total_lines", "valid_count", "invalid_count", "duplicate_count")
+
+
+@register("job_files_join", with_ctes(["ledger"], """
+SELECT provider || '-' || strftime(created_at, '%Y-%m-%d') AS run_id,
+       count(*) FILTER (WHERE processing_status = 'COMPLETED') AS processed_file_count,
+       count(*) FILTER (WHERE processing_status = 'FAILED') AS failed_file_count,
+       min(CASE WHEN processing_status = 'COMPLETED' THEN s3_key END) AS first_processed_file,
+       max(CASE WHEN processing_status = 'FAILED' THEN s3_key END) AS last_failed_file
+FROM processed_files GROUP BY 1"""))
+def q_job_files_join(spark, sf):
+    return ledger.job_files_join(ledger.ledger_runs(TD.processed_files(spark, sf)))
+
+
+@register("replay_failed", with_ctes(["staged"], """
+SELECT file_key, count(*) AS total_lines, count(*) FILTER (WHERE outcome = 'valid') AS valid_count,
+       count(*) FILTER (WHERE outcome IN ('invalid', 'failed')) AS invalid_count
+FROM tagged GROUP BY file_key""", lines_filter="""file_key IN (
+      SELECT 'reviews/' || o_orderpriority || '/order-' || CAST(o_orderkey AS VARCHAR) || '.jl' FROM orders
+      WHERE o_orderstatus = 'O')"""))
+def q_replay_failed(spark, sf):
+    runs = ledger.ledger_runs(TD.processed_files(spark, sf))
+    lines = ledger.replay_failed(runs, TD.review_lines(spark, sf))
+    r = E.batch_result(E.ingest_batch(lines, AS_OF))
+    return r.select("file_key", "total_lines", "valid_count", "invalid_count")
