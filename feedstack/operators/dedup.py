@@ -1,4 +1,5 @@
-"""Deduplication and existence joins.
+"""Deduplication and existence joins (W1, W2, X3, X7, N20; X2 is in
+``feedstack.sources.providers``).
 
 Hot keys: every grouping here is an aggregate with a map-side partial step
 (``min`` over a struct, ``count``), never a per-key window, so a key that
@@ -59,18 +60,3 @@ def latest_per_key(events: DataFrame, key: list[str], ts_col: str, value_cols: l
     latest = F.max_by(F.struct(*value_cols), F.col(ts_col)).alias("_s")
     return (events.groupBy(*key).agg(latest, F.max(ts_col).alias(ts_col))
             .select(*key, ts_col, *[F.col(f"_s.{c}").alias(c) for c in value_cols]))
-
-
-def lookup_or_create_providers(names: DataFrame, providers: DataFrame) -> DataFrame:
-    """Provider names seen in the feed that are not yet known, as new
-    provider rows (code from the enum, active); union them with ``providers``
-    to get the dimension after the batch."""
-    from .transform import provider_code
-    seen = names.select(F.col("provider").alias("name")).filter(F.col("name").isNotNull()).distinct()
-    new = seen.join(providers.select("name"), "name", "left_anti")
-    return new.select(
-        F.conv(F.substring(F.md5("name"), 1, 15), 16, 10).cast("long").alias("id"),
-        "name",
-        provider_code(F.col("name")).alias("code"),
-        F.lit(True).alias("is_active"),
-    )

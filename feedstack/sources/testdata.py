@@ -23,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions.text import normalize_text
 
 # FIXED VALUES: clocks of the adapted data sets (used instead of "now").

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import constants as K
 from ..plans.files import ingest_lines, number_batch_lines
 from ..sources.files import stream_lines
 
@@ -48,4 +47,4 @@ def stream_counters(spark: SparkSession, ledger_dir: str, checkpoint: str, query
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-__all__ = ["stream_ingest", "stream_counters", "K"]
+__all__ = ["stream_ingest", "stream_counters"]
