@@ -46,7 +46,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark, allow_local=True)
     return spark
 
 
@@ -57,10 +57,11 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; only when it is unset (tests, local
-    runs) fall back to a fresh scratch folder.  On a cluster the setting names
-    a shared folder and is used as is."""
+def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
+    """Return the checkpoint folder named by ``spark.checkpoint.dir`` (the
+    shared folder of the cluster).  Only local sessions (tests, bench) may
+    fall back to a fresh scratch folder when it is unset; library code
+    raises instead of writing to a machine-local folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
@@ -68,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not allow_local:
+        raise ValueError("spark.checkpoint.dir is not set; set it to a folder shared by the cluster")
     path = tempfile.mkdtemp(prefix="feedstack-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
