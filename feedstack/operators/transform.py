@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import jsonfields as J
-from ..functions.dates import parse_review_date, ts
+from ..functions.dates import ts
 from ..functions.hashing import line_content_hash
 from ..functions.text import sanitize_text, trim_to_null
 
@@ -39,8 +39,8 @@ def transform_failure() -> Column:
 
 
 def transformed_columns(as_of: str) -> dict[str, Column]:
-    """T1-T9 column rules over ``parse_lines`` output."""
-    rk, rt = F.col("rating_kind"), F.col("rating_text")
+    """T1-T9 column rules over ``validate_reviews`` output (rating and date
+    values are the ones the rules already computed)."""
     v = "v"
     return {
         "hotel_id": F.col("hotel_id").cast("long"),
@@ -48,9 +48,9 @@ def transformed_columns(as_of: str) -> dict[str, Column]:
         "provider_name": F.col("provider"),
         "platform": provider_code(F.col("provider")),
         "hotel_review_id": F.col("hrid_text"),
-        "rating": F.when(rk == J.NUMBER, rt.try_cast("double")).when(rk == J.STRING, rt.try_cast("double")),
+        "rating": F.col("rating_value"),
         "review_comments": trim_to_null(F.col("comments_text")),
-        "review_date": parse_review_date(F.col("date_text"), validator=True),
+        "review_date": F.col("review_date_value"),
         "reviewer_display_name": trim_to_null(F.col("reviewer_name_text")),
         "review_title": trim_to_null(F.col("title_text")),
         "translate_source": F.col("translate_source_text"),

@@ -52,14 +52,14 @@ def validation_errors(as_of: str, comment_flag: bool = False) -> Column:
               .when(java_trim(hotel_name) == "", F.lit(K.MSG_HOTEL_NAME_EMPTY))
               .when(F.length(hotel_name) > K.MAX_HOTEL_NAME_LENGTH, F.lit(K.MSG_HOTEL_NAME_TOO_LONG)))
     # rating: optional; numbers and numeric text are checked against [0, 10].
-    rk, rt = F.col("rating_kind"), F.col("rating_text")
-    rating = F.when(rk == J.NUMBER, rt.try_cast("double")).when(rk == J.STRING, java_trim(rt).try_cast("double"))
+    rk = F.col("rating_kind")
+    rating = F.col("rating_value")
     v_rating = (F.when(rk.isin(J.BOOLEAN, J.OBJECT, J.ARRAY), F.lit(K.MSG_RATING_NUMBER))
                 .when((rk == J.STRING) & rating.isNull(), F.lit(K.MSG_RATING_NUMBER))
                 .when((rating < K.MIN_RATING) | (rating > K.MAX_RATING), F.lit(K.MSG_RATING_RANGE)))
     # review date: required, parseable, not in the future, not older than 20 years.
-    dk, dtext = F.col("date_kind"), F.col("date_text")
-    parsed = parse_review_date(dtext, validator=True)
+    dk = F.col("date_kind")
+    parsed = F.col("review_date_value")
     present = dk.isNotNull() & (dk != J.NULL)
     v_date = (F.when(~present, F.lit(K.MSG_DATE_REQUIRED))
               .when(parsed.isNull(), F.lit(K.MSG_DATE_FORMAT))
@@ -87,11 +87,23 @@ def validation_errors(as_of: str, comment_flag: bool = False) -> Column:
     return out.otherwise(with_comment)
 
 
+def typed_values() -> dict[str, Column]:
+    """Rating and review date as values, computed once and shared by the
+    rules and the transformation."""
+    rk, rt = F.col("rating_kind"), F.col("rating_text")
+    return {
+        "rating_value": F.when(rk == J.NUMBER, rt.try_cast("double"))
+        .when(rk == J.STRING, java_trim(rt).try_cast("double")),
+        "review_date_value": parse_review_date(F.col("date_text"), validator=True),
+    }
+
+
 def validate_reviews(parsed: DataFrame, as_of: str) -> DataFrame:
     """Adds ``errors array<string>`` and ``valid`` to parsed, non-blank,
     well-formed lines (blank / malformed lines get an empty array and
     valid = false, they are counted separately)."""
     ok = ~F.col("is_blank") & ~F.col("is_malformed")
+    parsed = parsed.withColumns(typed_values())
     flag = "comment_missing" in parsed.columns
     errs = F.when(ok, validation_errors(as_of, flag)).otherwise(F.array().cast("array<string>"))
     return parsed.withColumn("errors", errs).withColumn("valid", ok & (F.size("errors") == 0))
