@@ -32,3 +32,14 @@ def test_paging(spark):
     assert (info.total_elements, info.total_pages) == (5, 2)
     nxt = query.page_after(df, "2024-01-03 00:00:00", 3, 3).collect()
     assert [r.id for r in nxt] == [2, 1]
+
+
+def test_job_transitions_flag_illegal_moves(spark):
+    rows = [("j1", "2024-01-01 00:00:00", 0, "PENDING"), ("j1", "2024-01-01 00:01:00", 1, "IN_PROGRESS"),
+            ("j1", "2024-01-01 00:02:00", 2, "COMPLETED"), ("j1", "2024-01-01 00:03:00", 3, "IN_PROGRESS"),
+            ("j2", "2024-01-01 00:00:00", 0, "PENDING"), ("j2", "2024-01-01 00:00:00", 1, "CANCELLED")]
+    ev = spark.createDataFrame(rows, "processing_id string, event_ts string, seq int, status string") \
+        .withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
+    out = {(r.processing_id, r.seq): r.legal for r in ledger.job_transitions(ev).collect()}
+    assert out == {("j1", 0): True, ("j1", 1): True, ("j1", 2): True, ("j1", 3): False,
+                   ("j2", 0): True, ("j2", 1): True}
