@@ -89,3 +89,15 @@ def test_checkpoint_barrier_gives_same_outcomes(spark):
     b = E.ingest_batch(lines_df(spark, lines), AS_OF, barrier="checkpoint")
     key = ["line_no", "outcome"]
     assert sorted(a.select(*key).collect()) == sorted(b.select(*key).collect())
+
+
+def test_file_result_summary_keeps_last_50_and_shows_10(spark):
+    bad = [line(hotel_id=-1, hotelReviewId=i) for i in range(1, 61)]      # 60 invalid lines
+    good = [line(hotelReviewId=1000 + i) for i in range(3)]
+    t = E.ingest_batch(lines_df(spark, bad + good), AS_OF, max_file_errors=None)
+    r = E.file_result(t).collect()[0]
+    # last 50 errors are lines 11..60; the summary shows the first 10 of them
+    head = "; ".join(f"Line {n}: Hotel ID must be positive" for n in range(11, 21))
+    assert r.error_summary == head + "... (+40 more)"
+    assert (r.saved_reviews, r.total_errors, r.successful) == (3, 60, False)
+    assert abs(r.error_rate - 60 * 100.0 / 63) < 1e-6
