@@ -68,3 +68,16 @@ def test_lenient_root_int(spark):
     df = parse_lines(lines_df(spark, ['{"hotelId":"12"}', '{"hotelId":"junk"}', '{"hotelId":1.9}',
                                       '{"hotelId":true}', '{"hotelId":null}']))
     assert [r.hotel_id for r in df.orderBy("line_no").collect()] == [12, 0, 1, 1, None]
+
+
+def test_both_spellings_and_reviewer_name_locations(spark):
+    from feedstack.operators.parse import provider_scores
+    a = '{"hotelId":1,"overallByProviders":[{"providerId":332,"provider":"Agoda","overallScore":8.1,"reviewCount":3,"grades":{"Room":8.0}},null]}'
+    b = '{"hotelId":2,"overallByproviders":[{"providerId":333,"provider":"Booking","overallScore":7.0,"reviewCount":1}]}'
+    c = '{"hotelId":3,"comment":{"reviewerDisplayName":" Ann "}}'
+    d = '{"hotelId":4,"comment":{"reviewerInfo":{"displayMemberName":"Bo"}}}'
+    p = parse_lines(lines_df(spark, [a, b, c, d]))
+    scores = sorted((r.score_provider, r.overall_score) for r in provider_scores(p).collect())
+    assert scores == [("Agoda", 8.1), ("Booking", 7.0)]
+    names = {r.line_no: r.reviewer_name_text for r in p.collect()}
+    assert names[3] == " Ann " and names[4] == "Bo"
