@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,6 +22,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 RUN_BYTES = 1 << 21
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers of ``spark``, once for each session's context: they may start in another
+    folder than the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_feedstack_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    base = os.path.join(tempfile.mkdtemp(prefix="feedstack-package-"), "feedstack_package")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "feedstack"))
+    sc._feedstack_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; only a local session may fall back to a folder of its own."""
     return ensure_checkpoint_dir(spark, allow_local=spark.sparkContext.master.startswith(("local[", "local")) and

@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, as far as needed so far."""
     if not _powers or len(_powers["up"]) < n:
         size = max(n, 1 << 16)
@@ -39,7 +39,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, cased: bool = False) -> np.ndarray:
     """Hash of each byte span [start, end): a polynomial over the span's bytes, from running sums."""
-    up, down = _power(len(data) + 1)
+    up, down = power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_VALUE_CASED if cased else _VALUE)[data] * up[:len(data)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD[0])

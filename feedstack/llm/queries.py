@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ppm_language, systematic_mix, token_combinations
+from . import (chat_format, multi_index, pii_boosting, ppm_language, sentence_spans, systematic_mix, template_decontam,
+               token_combinations, url_regression, zstd_secrets)
+
+from .common import ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _joined(spans: str | Column) -> Column:
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 #: The turns of conversation -7.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -60,6 +69,21 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "bits_per_byte")
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup_spans(_table(spark, sf_dir, "documents"))
+
+
+def op4_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = zstd_secrets.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in zstd_secrets.KINDS],
+                        F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return systematic_mix.mix(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
@@ -74,12 +98,41 @@ def op6_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_combinations.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op7_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_regression.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_boosting.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*pii_boosting.BASE)
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii_boosting.BASE],
+                        base.alias("base"), "spans").select(
+        "doc_id", *[f"n_{k}" for k in pii_boosting.BASE],
+        F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op9_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "words", "slots", "changed")
+
+
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = multi_index.encode(_table(spark, sf_dir, "embeddings"))
+    return multi_index.search(codes, codes.filter("id % 100 = 0"))
+
+
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_ppm_language": op2_ppm_language,
+        "op3_sentence_spans": op3_sentence_spans,
+        "op4_zstd_secrets": op4_zstd_secrets,
         "op5_systematic_mix": op5_systematic_mix,
         "op6_token_combinations": op6_token_combinations,
+        "op7_url_regression": op7_url_regression,
+        "op8_pii_boosting": op8_pii_boosting,
+        "op9_template_decontam": op9_template_decontam,
+        "op10_multi_index": op10_multi_index,
     }
 
 
