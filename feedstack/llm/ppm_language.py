@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import empty_as, text_runs
 
@@ -141,6 +142,17 @@ class Trees:
         self.follow = self.follow.reshape(-1) * width
         self.cost = self.cost.reshape(len(self.languages), -1)
 
+    def tables(self) -> tuple:
+        """The tables as plain values, to send to the tasks."""
+        return self.order, self.languages, self.symbol, self.follow, self.cost
+
+    @classmethod
+    def of(cls, tables: tuple) -> Trees:
+        """Trees of the values of ``tables``."""
+        t = cls.__new__(cls)
+        t.order, t.languages, t.symbol, t.follow, t.cost = tables
+        return t
+
     def code_lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bits of every row in every language."""
         rows, order = len(bounds) - 1, self.order
@@ -177,38 +189,39 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, order: int = ORDER
     return Trees([c for c in counts if c[0] in kept], order)
 
 
-def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): ``doc_id, lang_pred, score, bits_per_byte``.
+def identify(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of ``docs`` (text and the columns to ``keep``): these columns, ``lang_pred, score, bits_per_byte``.
 
     ``lang_pred`` is the language with the least code length of the whole text (ties: the first by name); ``score`` is
     its share of the likelihoods, with the evidence of a long text counted as that of EVIDENCE_BYTES bytes.  A null
     text, or one without a letter, gets ``und`` and score 0; so does every text if nothing was learned.  A null doc_id
-    stays null; repeated rows stay."""
-    rows = docs.select("doc_id", empty_as("text").alias("text"))
-    letter = F.col("text").rlike(r"\p{L}")
+    stays null; repeated rows stay; kept columns with the name of a new one are replaced."""
+    added = T.StructType().add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    kept = docs.select(*[c for c in keep if c not in added.names])
     if trees is None:
-        return rows.select("doc_id", F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"),
+        return kept.select("*", F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("bits_per_byte"))
-    model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by MAX_LANGUAGES and MAX_CONTEXTS
+    letter = empty_as("text").rlike(r"\p{L}")
+    rows = docs.select(empty_as("text").alias("_text"), letter.alias("_letter"), *kept.columns)
+    model = docs.sparkSession.sparkContext.broadcast(trees.tables())  # bounded by MAX_LANGUAGES and MAX_CONTEXTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = model.value
+        t = Trees.of(model.value)
         names = np.array([*t.languages, UNDECIDED], object)
         for batch in batches:
-            for i, j, data, bounds in text_runs(_folded(batch.column(1)), 1 << 20):
+            for i, j, data, bounds in text_runs(_folded(batch.column(0)), 1 << 20):
                 bits = t.code_lengths(data, bounds)
                 size = np.maximum(np.diff(bounds), 1)
                 best = bits.argmin(1)
                 least = bits[np.arange(len(bits)), best]
                 gap = (bits - least[:, None]) * np.minimum(1.0, EVIDENCE_BYTES / size)[:, None]
                 score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(1)
-                known = batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)
+                known = batch.column(1).slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)
                 best[~known] = len(t.languages)
+                own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(names[best], pa.string()),
-                     pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, least / size, np.nan), from_pandas=True)],
-                    names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                    [*own.columns[2:], pa.array(names[best], pa.string()), pa.array(np.where(known, score, 0.0)),
+                     pa.array(np.where(known, least / size, np.nan), from_pandas=True)],
+                    names=[*batch.schema.names[2:], *added.names])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return rows.select("doc_id", "text", letter.alias("letter")).mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(run, T.StructType(kept.schema.fields + added.fields))

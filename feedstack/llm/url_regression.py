@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 EPOCHS, RATE, DECAY = 300, 0.5, 1e-3
+#: The model blocks from this probability on: hosts unlike any labelled one lie near one half and are let through.
+BLOCK_FROM = 0.75
 #: (rule, verdict); the host ends at the first slash.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
          ("net/fr/", "block"))
@@ -91,7 +93,7 @@ def train(labelled: tuple[tuple[str, str, int], ...] = LABELLED) -> np.ndarray:
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """Per row of ``pages`` (page_id, url): ``page_id, host, path, rule, verdict, score``; ``score`` is the model's
-    probability that the url is unwanted, and decides (block from 0.5 on) where no rule fits.
+    probability that the url is unwanted, and decides (block from BLOCK_FROM on) where no rule fits.
 
     A null url, or one without ``://``, has an empty host and path and fits no rule; the model allows it, since it has no
     n-grams to speak against it.  Repeated rows and null page_ids stay; other columns are ignored."""
@@ -111,5 +113,5 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     rows = pages.select("page_id", host().alias("host"), path().alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return (rows.withColumn("score", unwanted("host", "path")).withColumn("rule", rule)
-            .withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))))
+            .withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= BLOCK_FROM, F.lit("block")).otherwise(F.lit("allow"))))
             .select("page_id", "host", "path", "rule", "verdict", "score"))
