@@ -86,38 +86,31 @@ class Trees:
     """The frozen tables: ``languages``; ``symbol`` byte -> symbol (0: never seen in training); ``follow``
     [context, symbol] -> context; ``cost`` [language, context, symbol] in bits."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], order: int = ORDER, least_seen: int = LEAST_SEEN,
-                 max_contexts: int = MAX_CONTEXTS):
-        self.order = order
-        self.languages = sorted({c[0] for c in counts})
-        place = {x: i for i, x in enumerate(self.languages)}
-        grams: dict[bytes, np.ndarray] = {}
-        for lang, gram, n in counts:
-            k = gram & 7
-            run = (gram >> 3).to_bytes(8, "big")[8 - k:]
-            if run not in grams:
-                grams[run] = np.zeros(len(self.languages))
-            grams[run][place[lang]] += n
-        seen = sorted({r[0] for r in grams if len(r) == 1})
+    def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER,
+                 least_seen: int = LEAST_SEEN, max_contexts: int = MAX_CONTEXTS):
+        """``lang`` (a place in ``languages``), ``gram`` and ``n``: the rows of ``count_contexts``."""
+        self.order, self.languages = order, languages
+        byte, context = (gram >> 3) & 255, ((gram >> 11) << 3) | ((gram & 7) - 1)
+        seen = np.unique(byte[gram & 7 == 1]).tolist()
         self.symbol = np.zeros(256, np.uint8)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
-        # A context is kept only with its suffix, which is at least as frequent.
-        total: dict[bytes, float] = {}
-        for run, n in grams.items():
-            total[run[:-1]] = total.get(run[:-1], 0) + n.sum()
-        ranked = sorted((c for c in total if total[c] >= least_seen or not c), key=lambda c: (len(c) > 0, -total[c], len(c), c))
+        known, place = np.unique(context, return_inverse=True)
+        total = np.bincount(place, n)
+        size = known & 7
+        # By frequency; a context is kept only with its suffix, which is at least as frequent.
+        ranked = np.lexsort((known, size, -total, size > 0))
+        ranked = ranked[(total[ranked] >= least_seen) | (size[ranked] == 0)][:max_contexts]
         kept: dict[bytes, int] = {}
-        for c in ranked[:max_contexts]:
+        row = np.full(len(known), -1)
+        for i in ranked.tolist():
+            c = int(known[i] >> 3).to_bytes(8, "big")[8 - int(size[i]):]
             if not c or c[1:] in kept:
-                kept[c] = len(kept)
-        if not kept:
-            kept[b""] = 0
-        table = np.zeros((len(self.languages), len(kept), width), np.float64)
-        for run, n in grams.items():
-            at = kept.get(run[:-1])
-            if at is not None:
-                table[:, at, self.symbol[run[-1]]] = n
+                row[i] = kept[c] = len(kept)
+        table = np.zeros((len(languages), max(len(kept), 1), width), np.float32)
+        kept = kept or {b"": 0}
+        used = row[place] >= 0
+        table[lang[used], row[place][used], self.symbol[byte[used]]] = n[used]
         # Symbol 0 stands for all bytes never seen: it has the weight of that many bytes.
         weight = np.ones(width)
         weight[0] = max(256 - len(seen), 1)
@@ -126,7 +119,7 @@ class Trees:
         self.follow = np.zeros((len(kept), width), np.int32)
         for c, at in sorted(kept.items(), key=lambda x: len(x[0])):
             shorter = uniform if not c else p[:, kept[c[1:]], :]
-            n = table[:, at, :]
+            n = table[:, at, :].astype(np.float64)
             known = n > 0
             kinds, count = known.sum(1, keepdims=True), n.sum(1, keepdims=True)
             escape = np.where(count > 0, kinds / np.maximum(count + kinds, 1), 1.0)
@@ -138,7 +131,7 @@ class Trees:
                 while longer not in kept:
                     longer = longer[1:]
                 self.follow[at, self.symbol[byte]] = kept[longer]
-        self.cost = (-np.log2(np.maximum(p, 1e-30))).astype(np.float32)
+        self.cost = -np.log2(np.maximum(p, np.float32(1e-30)))
         self.follow = self.follow.reshape(-1) * width
         self.cost = self.cost.reshape(len(self.languages), -1)
 
@@ -176,17 +169,20 @@ class Trees:
 def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, order: int = ORDER) -> Trees | None:
     """Train on ``docs`` (doc_id, text, lang).  The counts that reach the driver are bounded by the sample.  None where
     no row can be learned from."""
-    # A gram seen once in all adds a leaf that an escape covers almost as well; the shortest ones are all kept.
-    grams = count_contexts(training_sample(docs, docs_per_language), order).filter("n > 1 or gram % 8 <= 2")
-    counts = [tuple(r) for r in grams.collect()]
-    if not counts:
+    # A long gram seen once or twice adds a leaf that an escape covers almost as well; the shortest ones are all kept.
+    found = count_contexts(training_sample(docs, docs_per_language), order).filter("n > 2 or gram % 8 <= 2").toArrow()
+    gram, n = (found.column(c).to_numpy() for c in ("gram", "n"))
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    languages, lang = names.dictionary.to_pylist(), names.indices.to_numpy()
+    if not languages:
         return None
-    size: dict[str, int] = {}
-    for lang, gram, n in counts:
-        if gram & 7 == 1:
-            size[lang] = size.get(lang, 0) + n
-    kept = set(sorted(size, key=lambda x: (-size[x], x))[:MAX_LANGUAGES])
-    return Trees([c for c in counts if c[0] in kept], order)
+    weight = np.bincount(lang, np.where(gram & 7 == 1, n, 0), len(languages))
+    chosen = sorted(sorted(range(len(languages)), key=lambda i: (-weight[i], languages[i]))[:MAX_LANGUAGES],
+                    key=lambda i: languages[i])
+    rank = np.full(len(languages), -1)
+    rank[chosen] = np.arange(len(chosen))
+    own = rank[lang] >= 0
+    return Trees([languages[i] for i in chosen], rank[lang][own], gram[own], n[own], order)
 
 
 def identify(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
