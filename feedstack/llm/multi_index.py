@@ -24,8 +24,8 @@ BITS = 64
 K = 10
 #: Seed of the projections for vectors with more than 64 dimensions.
 SEED = 11
-#: Segments are searched in so many parts each, by a hash of their value.
-PARTS = 8
+#: Entries of a part of a segment's index: its values are dealt by their upper bits, at least PART_BITS of them.
+PART_ENTRIES, PART_BITS = 100_000, 3
 
 
 def encode(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -62,70 +62,81 @@ def _cut(code: np.ndarray, segment: tuple[int, int]) -> np.ndarray:
     return (code.view(np.uint64) >> np.uint64(segment[0])) & np.uint64((1 << segment[1]) - 1)
 
 
-def _part(value: np.ndarray) -> np.ndarray:
-    return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % PARTS
+def part_bits(cuts: list[tuple[int, int]], n_codes: int) -> list[int]:
+    """Upper bits of each segment's values that name a part."""
+    wanted = max(PART_BITS, math.ceil(math.log2(max(n_codes, 1) / PART_ENTRIES))) if n_codes > PART_ENTRIES else PART_BITS
+    return [min(wanted, bits - 1) for _, bits in cuts]
 
 
-def _index(codes: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+def _index(codes: DataFrame, cuts: list[tuple[int, int]], upper: list[int]) -> DataFrame:
     """(seg, part, value, code, first): a row for each segment of each distinct code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = batch.column(0).to_numpy(zero_copy_only=False)
             for s, cut in enumerate(cuts):
-                value = _cut(code, cut)
+                value = _cut(code, cut).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(code), s, np.int32)), pa.array(_part(value)), pa.array(value.view(np.int64)),
+                    [pa.array(np.full(len(code), s, np.int32)), pa.array(value >> (cut[1] - upper[s])), pa.array(value),
                      batch.column(0), batch.column(1)], names=["seg", "part", "value", "code", "first"])
 
     return codes.select("code", "first").mapInArrow(run, "seg int, part long, value long, code long, first long")
 
 
-def _probes(active: DataFrame, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(seg, part, value, qcode): all segment values at exactly ``radius`` from those of the active queries."""
+def _probes(active: DataFrame, cuts: list[tuple[int, int]], upper: list[int], radius: int) -> DataFrame:
+    """(seg, part, left, qcode): the parts that hold values at exactly ``radius`` from a query's segment, with the flips
+    that are left for the lower bits.  The values themselves are made in the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = {b: np.array([sum(1 << i for i in c) for c in combinations(range(b), radius)], np.uint64)
-                 for b in {cut[1] for cut in cuts} if b >= radius}
         for batch in batches:
             code = batch.column(0).to_numpy(zero_copy_only=False)
             for s, cut in enumerate(cuts):
-                if cut[1] < radius:
-                    continue
-                mask = masks[cut[1]]
-                step = max(1, (1 << 16) // len(mask))
-                for a in range(0, len(code), step):
-                    own = code[a:a + step]
-                    value = (_cut(own, cut)[:, None] ^ mask[None, :]).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(value), s, np.int32)), pa.array(_part(value)), pa.array(value.view(np.int64)),
-                         pa.array(np.repeat(own, len(mask)))], names=["seg", "part", "value", "qcode"])
+                own = _cut(code, cut).view(np.int64) >> (cut[1] - upper[s])
+                for part in range(1 << upper[s]):
+                    left = radius - np.bitwise_count(own ^ part).astype(np.int64)
+                    at = np.flatnonzero((left >= 0) & (left <= cut[1] - upper[s]))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), s, np.int32)), pa.array(np.full(len(at), part, np.int64)),
+                             pa.array(left[at]), pa.array(code[at])], names=["seg", "part", "left", "qcode"])
 
-    return active.select("qcode").mapInArrow(run, "seg int, part long, value long, qcode long")
+    return active.select("qcode").mapInArrow(run, "seg int, part long, left long, qcode long")
 
 
-def _verify(keep: int):
-    """The nearest ``keep`` codes of each query among the entries that its probes of this part hit."""
+def _verify(keep: int, cuts: list[tuple[int, int]], upper: list[int]):
+    """The nearest ``keep`` codes of each query among the entries of a part that its values hit."""
 
     def run(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qcode": [], "code": [], "first": [], "dist": []}, dtype=np.int64)
+        if not len(probes) or not len(index):
+            return none
+        seg, part = int(probes["seg"].iloc[0]), int(probes["part"].iloc[0])
+        lower = cuts[seg][1] - upper[seg]
         index = index.sort_values("value")
         value, code, first = (index[c].to_numpy() for c in ("value", "code", "first"))
-        q, want = probes["qcode"].to_numpy(), probes["value"].to_numpy()
-        lo, hi = np.searchsorted(value, want), np.searchsorted(value, want, side="right")
-        hit = hi > lo
-        q, lo, n = q[hit], lo[hit], (hi - lo)[hit]
-        out = []
-        a = 0
-        while a < len(q):  # at most about a million comparisons at a time
-            b = max(a + 1, int(np.searchsorted(np.cumsum(n[a:]), 1 << 20)) + a)
-            at = np.repeat(lo[a:b] - np.r_[0, np.cumsum(n[a:b])[:-1]], n[a:b]) + np.arange(n[a:b].sum())
-            qq = np.repeat(q[a:b], n[a:b])
-            far = np.bitwise_count((code[at] ^ qq).view(np.uint64)).astype(np.int64)
-            out.append(_nearest(pd.DataFrame({"qcode": qq, "code": code[at], "first": first[at], "dist": far}), keep))
-            a = b
-        if not out:
-            return pd.DataFrame({"qcode": [], "code": [], "first": [], "dist": []}, dtype=np.int64)
-        return _nearest(pd.concat(out), keep)
+        best = none
+        for left, own in probes.groupby("left")["qcode"]:
+            mask = np.array([sum(1 << i for i in c) for c in combinations(range(lower), int(left))], np.int64)
+            own = own.to_numpy()
+            step = max(1, (1 << 18) // len(mask))
+            for a in range(0, len(own), step):
+                q = own[a:a + step]
+                base = (_cut(q, cuts[seg]).view(np.int64) & ((1 << lower) - 1)) | (part << lower)
+                want = (base[:, None] ^ mask[None, :]).ravel()
+                lo, hi = np.searchsorted(value, want), np.searchsorted(value, want, side="right")
+                hit = np.flatnonzero(hi > lo)
+                n = (hi - lo)[hit]
+                edge = np.r_[0, np.cumsum(n)]
+                x = 0
+                while x < len(hit):  # at most about a million comparisons at a time
+                    y = max(x + 1, int(np.searchsorted(edge, edge[x] + (1 << 20), side="right")) - 1)
+                    at = np.repeat(lo[hit[x:y]] - edge[x:y], n[x:y]) + np.arange(edge[x], edge[y])
+                    qq = np.repeat(q[hit[x:y] // len(mask)], n[x:y])
+                    far = np.bitwise_count((code[at] ^ qq).view(np.uint64)).astype(np.int64)
+                    found = pd.DataFrame({"qcode": qq, "code": code[at], "first": first[at], "dist": far})
+                    best = _nearest(pd.concat([best, found]), keep)
+                    x = y
+        return best
 
     return run
 
@@ -150,15 +161,16 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     entries = written(lowest.withColumn("first", F.col("ids")[0]), "entries")
     n = entries.count()
     cuts = segments(n)
-    index = written(_index(entries, cuts), "index")
+    upper = part_bits(cuts, n)
+    index = written(_index(entries, cuts, upper), "index")
     active = written(asked.select(F.col("code").alias("qcode")).distinct(), "active")
     best = None
     schema = "qcode long, code long, first long, dist long"
     by_distance = Window.partitionBy("qcode").orderBy("dist", "first")
     reach = Window.partitionBy("qcode").orderBy("dist").rangeBetween(Window.unboundedPreceding, 0)
     for radius in range(max(b for _, b in cuts) + 1):
-        found = (_probes(active, cuts, radius).groupBy("seg", "part").cogroup(index.groupBy("seg", "part"))
-                 .applyInPandas(_verify(keep), schema))
+        found = (_probes(active, cuts, upper, radius).groupBy("seg", "part").cogroup(index.groupBy("seg", "part"))
+                 .applyInPandas(_verify(keep, cuts, upper), schema))
         found = found if best is None else found.unionByName(best)
         best = written(found.dropDuplicates(["qcode", "code"]).withColumn("_n", F.row_number().over(by_distance))
                        .filter(F.col("_n") <= keep).drop("_n"), "best")
