@@ -22,9 +22,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 RUN_BYTES = 1 << 21
 
 
+#: Bytes of an Arrow batch: texts may be long, and a Python worker holds a batch with several arrays made from it.
+BATCH_BYTES = "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the package to the Python workers of ``spark``, once for each session's context: they may start in another
-    folder than the driver."""
+    """Prepare ``spark`` for the operators: bound its Arrow batches, and give the package to the Python workers, once for
+    each context, since they may start in another folder than the driver."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_feedstack_shipped", False):
         return
