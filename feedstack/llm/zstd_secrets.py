@@ -86,10 +86,11 @@ class Novelty:
                                                     write_checksum=False, write_dict_id=False)
 
     def __call__(self, before: str, candidate: str, after: str) -> float:
-        """Bytes that the candidate adds, for each byte of it."""
+        """Bytes that the candidate adds, for each byte of it; 0 at least."""
         b, c, a = before.encode(), candidate.encode(), after.encode()
         # Literals are only entropy-coded when a frame has enough of them; both frames get the same surroundings.
-        return (len(self._compressor.compress(b + c + a)) - len(self._compressor.compress(b + a))) / max(len(c), 1)
+        more = len(self._compressor.compress(b + c + a)) - len(self._compressor.compress(b + a))
+        return max(more, 0) / max(len(c), 1)
 
 
 def scan(text: str, novelty: Novelty) -> list[tuple[str, int, int, float]]:
