@@ -49,13 +49,21 @@ def _folded(column: pa.Array) -> pa.Array:
 
 
 def training_sample(docs: DataFrame, docs_per_language: int = TRAIN_DOCS) -> DataFrame:
-    """(lang, text) of the bounded training sample: rows with a known language, not held out, not empty."""
+    """(lang, text) of the bounded training sample: rows with a known language, not held out, not empty.
+
+    A first pass counts the languages; with these, only about one and a half times the wanted rows, by the hash of their
+    id, are compared at all, so what is shuffled does not grow with the input."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), empty_as("text").alias("text")).filter(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1) & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
-    # row_number <= n is planned as a limit for each task and language before the shuffle.
-    kept = (rows.select("lang", "doc_id", "text").withColumn("_n", F.row_number().over(order))
-            .filter(F.col("_n") <= docs_per_language))
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1))
+    counts = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang")
+              .limit(MAX_LANGUAGES).collect())
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, (1.5 * docs_per_language + 20) / r.n))).otherwise(share)
+    near = (F.length("text") > 0) & (F.shiftrightunsigned(key, 12) / F.lit(float(1 << 52)) < share)
+    order = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
+    kept = (rows.filter(near).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= docs_per_language))
     return kept.select("lang", "text")
 
 
@@ -176,13 +184,10 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, order: int = ORDER
     languages, lang = names.dictionary.to_pylist(), names.indices.to_numpy()
     if not languages:
         return None
-    weight = np.bincount(lang, np.where(gram & 7 == 1, n, 0), len(languages))
-    chosen = sorted(sorted(range(len(languages)), key=lambda i: (-weight[i], languages[i]))[:MAX_LANGUAGES],
-                    key=lambda i: languages[i])
-    rank = np.full(len(languages), -1)
-    rank[chosen] = np.arange(len(chosen))
-    own = rank[lang] >= 0
-    return Trees([languages[i] for i in chosen], rank[lang][own], gram[own], n[own], order)
+    by_name = np.argsort(np.array(languages, object))
+    rank = np.empty(len(languages), np.int64)
+    rank[by_name] = np.arange(len(languages))
+    return Trees(sorted(languages), rank[lang], gram, n, order)
 
 
 def identify(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
