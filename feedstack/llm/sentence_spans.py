@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import empty_as, text_runs
 from .hashing import mix, power, span_hashes, spans
 
-#: A run has at least so many sentences and words; a longer sentence counts as one more after every PIECE words.
-SENTENCES, WORDS, PIECE = 2, 16, 16
+#: A run has at least so many sentences and words.  From its LONG-th word on, a sentence is also cut after each word whose
+#: hash is divisible by CUT: so long stretches without a full stop are compared too, wherever they start.
+SENTENCES, WORDS, LONG, CUT = 2, 16, 16, 4
 
 _U = np.uint64
 _byte = np.arange(256)
@@ -36,13 +37,14 @@ def sentences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(1, np.uint64)
     up, _ = power(len(start) + 1)
+    word = mix(span_hashes(data, start, end))
     sums = np.zeros(len(start) + 1, np.uint64)
-    np.cumsum(mix(span_hashes(data, start, end)) * up[:len(start)], out=sums[1:])
+    np.cumsum(word * up[:len(start)], out=sums[1:])
     stops = np.r_[0, np.cumsum(_STOP[data])][start]
     fresh = np.r_[True, (stops[1:] != stops[:-1]) | (row[1:] != row[:-1])]
-    first = np.flatnonzero(fresh)
-    inside = np.arange(len(start)) - np.repeat(first, np.diff(np.r_[first, len(start)]))
-    first = np.flatnonzero(inside % PIECE == 0)
+    begin = np.flatnonzero(fresh)
+    inside = np.arange(len(start)) - np.repeat(begin, np.diff(np.r_[begin, len(start)]))
+    first = np.flatnonzero(fresh | np.r_[False, (inside[:-1] >= LONG - 1) & (word[:-1] % _U(CUT) == 0)])
     return start[first], row[first], first, sums
 
 
@@ -147,7 +149,7 @@ def dedup_spans(docs: DataFrame, n_sentences: int = SENTENCES, n_words: int = WO
     """Per row of ``docs`` (doc_id, text): ``doc_id, n_sentences, n_removed, text`` (what is kept).
 
     Words are runs of letters and digits, compared with A-Z in lower case; sentences end at ``.``, ``!``, ``?`` or a line
-    feed.  The first occurrence of a run is that of the smallest doc_id (null last; then by a hash of the text), then the
+    feed (long ones also inside, see LONG).  The first occurrence of a run is that of the smallest doc_id (null last; then by a hash of the text), then the
     earliest.  A removed sentence goes with what follows it up to the next one.  Rows equal in id and text are one document
     and get the same result; null texts count as empty; other columns are ignored; an empty table gives an empty result.
     ``parts``: partitions of the comparison (default: the session's shuffle partitions), whose share is held as arrays."""
