@@ -19,7 +19,7 @@ BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 EPOCHS, RATE, DECAY = 300, 0.5, 1e-3
 #: The model blocks from this probability on: hosts unlike any labelled one lie near one half and are let through.
-BLOCK_FROM = 0.75
+BLOCK_FROM = 0.7
 #: (rule, verdict); the host ends at the first slash.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
          ("net/fr/", "block"))
