@@ -19,7 +19,7 @@ from ..session import ensure_checkpoint_dir
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch are worked on in runs of about so many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 18
 
 
 #: Bytes of an Arrow batch: texts may be long, and a Python worker holds a batch with several arrays made from it.
@@ -79,6 +79,7 @@ def text_runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, i
         j = min(max(j, i + 1), n)
         yield i, j, data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:

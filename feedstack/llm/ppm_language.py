@@ -210,7 +210,7 @@ def identify(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc
         t = Trees.of(model.value)
         names = np.array([*t.languages, UNDECIDED], object)
         for batch in batches:
-            for i, j, data, bounds in text_runs(_folded(batch.column(0)), 1 << 20):
+            for i, j, data, bounds in text_runs(_folded(batch.column(0))):
                 bits = t.code_lengths(data, bounds)
                 size = np.maximum(np.diff(bounds), 1)
                 best = bits.argmin(1)
