@@ -96,7 +96,7 @@ PROVIDER_NAME_MAX = 100
 PROVIDER_DESCRIPTION_MAX = 500
 PROVIDER_ENDPOINT_MAX = 255
 PROVIDER_LANGUAGES_MAX = 200
-PROVIDER_URL_PATTERN = r"^https?://.*"
+PROVIDER_URL_PATTERN = r"^(https?://)[a-zA-Z0-9.-]+(:[0-9]+)?(/.*)?\z"
 LEDGER_KEY_MAX = 1024
 LEDGER_ETAG_MAX = 255
 LEDGER_PROVIDER_MAX = 50
@@ -108,16 +108,13 @@ LEDGER_ERROR_MAX = 2000
 SAVE_BATCH_SIZE = 100
 CHUNK_SIZE = 1000
 CHUNK_THRESHOLD = 10000
-MAX_FILE_ERRORS = 50
 ERROR_SUMMARY_HEAD = 10
-ERROR_SUMMARY_KEEP = 50
+ERROR_SUMMARY_KEEP = 50  # the summary starts at the 50th error from the end
 ERROR_LINE_PREVIEW = 100
 STUCK_AFTER_HOURS = 2
 STUCK_MESSAGE = "Processing timeout - file was stuck in processing state"
 CLEANUP_AFTER_DAYS = 30
-LISTING_LIMIT = 1000
 JOB_HISTORY_DEFAULT_DAYS = 30
-JOB_HISTORY_DEFAULT_LIMIT = 50
 HEALTH_FAILURE_RATE = 0.1
 HEALTH_STALE_HOURS = 24
 HEALTH_MAX_LOAD = 5

@@ -19,14 +19,14 @@ VALIDATOR_DATE_SHAPE = (
     r"^(\d{4}-\d{2}-\d{2}"
     r"|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
     r"|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?(Z|[+-]\d{2}:\d{2})"
-    r"|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})$"
+    r"|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\z"
 )
 # Shapes accepted by the transformer: the above plus ISO zoned date-times
 # (offset, optional seconds/fraction, optional [Region/Zone] suffix).
 TRANSFORM_DATE_SHAPE = (
     r"^(\d{4}-\d{2}-\d{2}"
     r"|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?((Z|[+-]\d{2}:\d{2}(:\d{2})?)(\[[^\]]+\])?)?"
-    r"|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})$"
+    r"|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\z"
 )
 # The wall-clock part of any accepted shape.
 _LOCAL_PART = r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?)"

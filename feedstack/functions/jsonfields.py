@@ -64,7 +64,7 @@ def parse_int_lenient(text: Column) -> Column:
     """Numeric text -> int the lenient way: strict integer text parses,
     other numeric text is truncated, anything else is 0."""
     t = java_trim(text)
-    strict = t.rlike(r"^[+-]?[0-9]+$")
+    strict = t.rlike(r"^[+-]?[0-9]+\z")
     return (F.when(strict, F.coalesce(t.try_cast("int"), F.lit(0)))
             .otherwise(F.coalesce(t.try_cast("double").try_cast("int"), F.lit(0))))
 
@@ -87,4 +87,4 @@ def int_of(k: Column, text: Column) -> Column:
 
 def strict_integer_text(text: Column) -> Column:
     """True for text a strict integer parser accepts (no blanks, optional sign)."""
-    return text.rlike(r"^[+-]?[0-9]+$")
+    return text.rlike(r"^[+-]?[0-9]+\z")

@@ -54,9 +54,9 @@ def potential_duplicates(reviews: DataFrame) -> DataFrame:
     return reviews.join(groups, ["hotel_id", "content_hash"], "left_semi")
 
 
-def latest_per_key(events: DataFrame, key: list[str], ts_col: str, value_cols: list[str]) -> DataFrame:
+def latest_per_key(events: DataFrame, key: list[str], order: list[str], value_cols: list[str]) -> DataFrame:
     """Current state per key out of an event log (``max_by`` over the
-    event time; a partial aggregate, safe for hot keys)."""
-    latest = F.max_by(F.struct(*value_cols), F.col(ts_col)).alias("_s")
-    return (events.groupBy(*key).agg(latest, F.max(ts_col).alias(ts_col))
-            .select(*key, ts_col, *[F.col(f"_s.{c}").alias(c) for c in value_cols]))
+    event time and the sequence number after it, so ties are decided; a
+    partial aggregate, safe for hot keys)."""
+    latest = F.max_by(F.struct(*value_cols), F.struct(*order)).alias("_s")
+    return events.groupBy(*key).agg(latest).select(*key, *[F.col(f"_s.{c}").alias(c) for c in value_cols])

@@ -8,7 +8,7 @@ update, so reruns and replays are idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -17,27 +17,28 @@ from ..functions.rows import duration_ms, job_progress
 from ..functions.text import contains_ci, truncate
 from .dedup import latest_per_key
 
-LEDGER_STATE = ["id", "processing_status", "records_processed", "records_failed", "records_skipped",
-                "error_message", "provider", "file_size", "last_modified_date", "created_at",
-                "processing_started_at", "processing_completed_at"]
+def current_state(events: DataFrame) -> DataFrame:
+    """Latest ledger row per (s3_key, etag) by ``updated_at``, then by the
+    sequence number ``id``; an event log without one of these columns is
+    ordered by the others.  Every column of the log is kept."""
+    key = [c for c in ("s3_key", "etag") if c in events.columns]
+    order = [c for c in ("updated_at", "id") if c in events.columns]
+    return latest_per_key(events, key, order, [c for c in events.columns if c not in key]).select(*events.columns)
 
 
-def current_state(events: DataFrame) -> DataFrame:
-    """Latest ledger row per (s3_key, etag) by ``updated_at``."""
-    return latest_per_key(events, ["s3_key", "etag"], "updated_at", LEDGER_STATE)
+def _completed(ledger: DataFrame) -> DataFrame:
+    return current_state(ledger).filter(F.col("processing_status") == "COMPLETED")
 
 
 def filter_unprocessed(keys: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Keys not COMPLETED in the ledger (anti join)."""
-    done = ledger.filter(F.col("processing_status") == "COMPLETED").select("s3_key")
-    return keys.join(done, "s3_key", "left_anti")
+    """Keys whose current state is not COMPLETED (anti join)."""
+    return keys.join(_completed(ledger).select("s3_key"), "s3_key", "left_anti")
 
 
 def is_processed(keys: DataFrame, ledger: DataFrame, with_etag: bool = False) -> DataFrame:
-    """L2: keys (or key+etag) that are COMPLETED (semi join)."""
+    """L2: keys (or key+etag) whose current state is COMPLETED (semi join)."""
     on = ["s3_key", "etag"] if with_etag else ["s3_key"]
-    done = ledger.filter(F.col("processing_status") == "COMPLETED").select(*on)
-    return keys.join(done, on, "left_semi")
+    return keys.join(_completed(ledger).select(*on), on, "left_semi")
 
 
 def track_files(files: DataFrame, ledger: DataFrame, as_of: str) -> DataFrame:
@@ -48,20 +49,38 @@ def track_files(files: DataFrame, ledger: DataFrame, as_of: str) -> DataFrame:
 
 
 def mark(ledger: DataFrame, keys: DataFrame, status: str, as_of: str, error: str | None = None) -> DataFrame:
-    """Transition events for the given keys: IN_PROGRESS (started_at,
-    error cleared), COMPLETED (completed_at, error cleared) or FAILED
-    (message cut at 2000 chars).  Unknown keys produce no event."""
+    """One transition event for each given file, from its current
+    state: IN_PROGRESS (started_at, error cleared), COMPLETED (completed_at,
+    error cleared, and the record counts where ``keys`` carries them) or
+    FAILED (message cut at 2000 chars; no message stays null).  The event's
+    sequence number follows the current one.  ``unknown_keys`` tells the keys
+    that have no event."""
     now = ts(as_of)
-    cur = ledger.join(keys.select("s3_key"), "s3_key", "left_semi")
+    counts = [c for c in ("records_processed", "records_failed", "records_skipped") if c in keys.columns and status == "COMPLETED"]
+    given = keys.groupBy("s3_key").agg(*[F.max(c).alias(f"_{c}") for c in counts]) if counts else keys.select("s3_key").distinct()
+    cur = current_state(ledger).join(given, "s3_key")
     cols = {"processing_status": F.lit(status), "updated_at": now}
+    if "id" in ledger.columns:
+        cols["id"] = F.col("id") + 1
     if status == "IN_PROGRESS":
         cols.update({"processing_started_at": now, "error_message": F.lit(None).cast("string")})
     elif status == "COMPLETED":
-        cols.update({"processing_completed_at": now, "error_message": F.lit(None).cast("string")})
+        cols.update({"processing_completed_at": now, "error_message": F.lit(None).cast("string"),
+                     **{c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in counts}})
     elif status == "FAILED":
         cols.update({"processing_completed_at": now,
-                     "error_message": truncate(F.lit(error or ""), K.LEDGER_ERROR_MAX)})
-    return cur.withColumns(cols)
+                     "error_message": truncate(F.lit(error).cast("string"), K.LEDGER_ERROR_MAX)})
+    return cur.withColumns(cols).drop(*[f"_{c}" for c in counts])
+
+
+def unknown_keys(ledger: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keys of a transition that the ledger does not know."""
+    return keys.join(ledger.select("s3_key"), "s3_key", "left_anti")
+
+
+def file_status(ledger: DataFrame, key: str) -> DataFrame:
+    """The current state of one file."""
+    return current_state(ledger.filter(F.col("s3_key") == key))
 
 
 def files_by_status(ledger: DataFrame, status: str, provider: str | None = None) -> DataFrame:
@@ -79,9 +98,9 @@ def old_files(ledger: DataFrame, cutoff: str, statuses: list[str]) -> DataFrame:
 
 
 def stuck_files(ledger: DataFrame, as_of: str, hours: int = K.STUCK_AFTER_HOURS) -> DataFrame:
-    """IN_PROGRESS and started more than ``hours`` before as_of (Q-8)."""
-    return ledger.filter((F.col("processing_status") == "IN_PROGRESS")
-                         & (F.col("processing_started_at") < shift(ts(as_of), hours=-hours)))
+    """Currently IN_PROGRESS and started more than ``hours`` before as_of (Q-8)."""
+    return current_state(ledger).filter((F.col("processing_status") == "IN_PROGRESS")
+                                        & (F.col("processing_started_at") < shift(ts(as_of), hours=-hours)))
 
 
 def reset_stuck(ledger: DataFrame, as_of: str) -> DataFrame:
@@ -89,7 +108,7 @@ def reset_stuck(ledger: DataFrame, as_of: str) -> DataFrame:
     return stuck_files(ledger, as_of).withColumns({
         "processing_status": F.lit("FAILED"),
         "error_message": F.lit(K.STUCK_MESSAGE),
-        "updated_at": ts(as_of)})
+        "updated_at": ts(as_of)}).withColumns({"id": F.col("id") + 1} if "id" in ledger.columns else {})
 
 
 def recent_files(ledger: DataFrame, provider: str, as_of: str, hours: int) -> DataFrame:
@@ -121,15 +140,16 @@ def job_status(jobs: DataFrame, as_of: str) -> DataFrame:
 
 
 def job_history(jobs: DataFrame, as_of: str, provider: str | None = None, start: str | None = None,
-                end: str | None = None, limit: int = K.JOB_HISTORY_DEFAULT_LIMIT) -> DataFrame:
+                end: str | None = None, limit: int | None = None) -> DataFrame:
     """Created between start 00:00 and end 23:59:59 (default the last
-    30 days), newest first, at most ``limit`` rows (the limit is the feature)."""
+    30 days), newest first; at most ``limit`` rows where a caller asks."""
     end_ts = ts(f"{end} 23:59:59") if end else ts(as_of)
     start_ts = ts(f"{start} 00:00:00") if start else shift(ts(as_of), days=-K.JOB_HISTORY_DEFAULT_DAYS)
     cond = F.col("created_at").between(start_ts, end_ts)
     if provider is not None:
         cond = cond & (F.col("provider") == provider)
-    return jobs.filter(cond).orderBy(F.col("created_at").desc(), "processing_id").limit(limit)
+    found = jobs.filter(cond).orderBy(F.col("created_at").desc(), "processing_id")
+    return found if limit is None else found.limit(limit)
 
 
 def jobs_by_status(jobs: DataFrame, statuses: list[str], providers: list[str] | None = None) -> DataFrame:
@@ -150,25 +170,38 @@ def retryable_jobs(jobs: DataFrame, status: str = "FAILED") -> DataFrame:
     return jobs.filter((F.col("status") == status) & F.col("end_time").isNotNull())
 
 
-def select_job_files(files: DataFrame, ledger: DataFrame, provider: str | None, max_files: int) -> DataFrame:
+def select_job_files(files: DataFrame, ledger: DataFrame, provider: str | None, max_files: int | None = None) -> DataFrame:
     """Keys containing the provider name (case-insensitive), not yet
-    processed, oldest first, first ``max_files`` (the cap is the feature)."""
+    processed, oldest first; the first ``max_files`` where a caller asks."""
     cand = files if provider is None else files.filter(contains_ci("s3_key", provider))
-    return (filter_unprocessed(cand, ledger).orderBy("last_modified_date", "s3_key").limit(max_files))
+    found = filter_unprocessed(cand, ledger).orderBy("last_modified_date", "s3_key")
+    return found if max_files is None else found.limit(max_files)
+
+
+def _iso(col: str) -> Column:
+    """A wall-clock time as ISO text: seconds and fraction only where there are any."""
+    frac = F.date_format(col, "SSSSSS")
+    return F.concat(F.date_format(col, "yyyy-MM-dd'T'HH:mm"), F.when(
+        frac != "000000", F.concat(F.date_format(col, ":ss."), F.regexp_replace(frac, "000\\z", "")))
+        .when(F.second(col) != 0, F.date_format(col, ":ss")).otherwise(F.lit("")))
 
 
-def job_log_lines(jobs: DataFrame) -> DataFrame:
-    """Ordered text lines per job (created, started, counts, ended, error)."""
+def job_log_lines(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ordered text lines per job: created, started, files done and
+    failed (where there are any), ended, error; the first ``limit`` of them
+    where a caller asks."""
+    done, failed = F.col("processed_files"), F.col("failed_files")
     lines = F.filter(F.array(
-        F.format_string("Job %s created at %s", F.col("processing_id"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")),
-        F.when(F.col("start_time").isNotNull(), F.format_string("Started at %s", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss"))),
-        F.format_string("Files: %d processed, %d failed of %d", F.coalesce("processed_files", F.lit(0)),
-                        F.coalesce("failed_files", F.lit(0)), F.coalesce("total_files", F.lit(0))),
-        F.when(F.col("end_time").isNotNull(),
-               F.format_string("Ended with status %s at %s", F.col("status"), F.date_format("end_time", "yyyy-MM-dd HH:mm:ss"))),
+        F.format_string("[%s] Processing job created: %s", _iso("created_at"), F.col("processing_id")),
+        F.when(F.col("start_time").isNotNull(), F.format_string("[%s] Processing started", _iso("start_time"))),
+        F.when(done > 0, F.format_string("Processed %d files successfully", done)),
+        F.when(failed > 0, F.format_string("Failed to process %d files", failed)),
+        F.when(F.col("end_time").isNotNull(), F.format_string(
+            "[%s] Processing completed with status: %s", _iso("end_time"), F.col("status"))),
         F.when(F.col("error_message").isNotNull(), F.concat(F.lit("Error: "), F.col("error_message")))),
         lambda x: x.isNotNull())
-    return jobs.select("processing_id", F.posexplode(lines).alias("log_pos", "log_line"))
+    out = jobs.select("processing_id", F.posexplode(lines).alias("log_pos", "log_line"))
+    return out if not limit or limit < 0 else out.filter(F.col("log_pos") < limit)
 
 
 def job_events(jobs: DataFrame) -> DataFrame:

@@ -57,6 +57,13 @@ def parse_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
         **{f"_{n}_raw": F.try_variant_get(F.col(f"_{n}_node"), "$", "string") for n, _ in _TYPED_FIELDS},
     })
     out = out.withColumns({f"{n}_kind": J.kind_of_char(F.col(f"_{n}_c")) for n, _ in _TYPED_FIELDS})
+    # A variant drops the trailing zeros of a number; the reader prints 8.0 as it is, so take these two from the line.
+    out = out.withColumn("_numbers", F.when((F.col("rating_kind") == J.NUMBER) | (F.col("hrid_kind") == J.NUMBER), F.from_json(
+        java_trim(line), "comment struct<rating:string,hotelReviewId:string>")["comment"]))
+    out = out.withColumns({
+        "_rating_raw": F.when(F.col("rating_kind") == J.NUMBER, F.coalesce("_numbers.rating", "_rating_raw")).otherwise(F.col("_rating_raw")),
+        "_hrid_raw": F.when(F.col("hrid_kind") == J.NUMBER, F.coalesce("_numbers.hotelReviewId", "_hrid_raw")).otherwise(F.col("_hrid_raw")),
+    })
     nonnull = lambda n: F.when(F.col(f"{n}_kind") != J.NULL, F.col(f"_{n}_raw"))
     display = F.coalesce(J.raw_text("v", "$.comment.reviewerDisplayName"),
                          J.raw_text("v", "$.comment.reviewerInfo.displayMemberName"))
@@ -75,7 +82,7 @@ def parse_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
         "stay_text": nonnull("stay"),
     })
     helpers = [f"_{n}_{x}" for n, _ in _TYPED_FIELDS for x in ("node", "c", "raw")]
-    return out.drop(*helpers, "hotel_kind", "provider_kind", "hotel_name_kind")
+    return out.drop(*helpers, "_numbers", "hotel_kind", "provider_kind", "hotel_name_kind")
 
 
 def json_scalar_coerce(df: DataFrame, path: str, alias: str, as_type: str = "int") -> DataFrame:
@@ -133,11 +140,11 @@ def parse_stats(df: DataFrame, group_cols: list[str] | None = None) -> DataFrame
 
 
 def parse_errors(df: DataFrame, line_col: str = "line") -> DataFrame:
-    """One error record per blank or malformed line: line number,
-    text cut to 100 chars + '...', and the message."""
+    """One error record per blank or malformed line: line number, the
+    text cut to 100 chars + '...', the whole text, and the message."""
     bad = df.filter(F.col("is_blank") | F.col("is_malformed"))
     return bad.select(
         "file_key", "line_no",
-        preview(F.col(line_col), K.ERROR_LINE_PREVIEW).alias("line_preview"),
+        preview(F.col(line_col), K.ERROR_LINE_PREVIEW).alias("line_preview"), F.col(line_col).alias("line_text"),
         F.when(F.col("is_blank"), F.lit("Blank line")).otherwise(F.lit("Malformed JSON")).alias("error"),
     )

@@ -128,7 +128,7 @@ def provider_status(jobs: DataFrame, providers_enum: DataFrame, as_of: str) -> D
         F.count_if(st == "FAILED").alias("failed"),
         F.count_if(st == "IN_PROGRESS").alias("in_progress"),
         F.coalesce(F.sum("total_reviews"), F.lit(0)).cast("long").alias("total_reviews"),
-        F.max_by(F.struct("end_time", "status"), F.col("end_time")).alias("_last"))
+        F.max_by(F.struct("end_time", "status"), F.struct("end_time", "processing_id")).alias("_last"))
     out = providers_enum.select(F.col("code").alias("provider")).join(per, "provider", "left")
     c, f = F.coalesce("completed", F.lit(0)), F.coalesce("failed", F.lit(0))
     health = (F.when((f > 0) & (c == 0), F.lit("DOWN")).when(f > c, F.lit("DEGRADED")).otherwise(F.lit("UP")))
@@ -142,7 +142,11 @@ def provider_status(jobs: DataFrame, providers_enum: DataFrame, as_of: str) -> D
 
 def processing_health(ledger: DataFrame, as_of: str, active_jobs: int = 0) -> DataFrame:
     """One row: failure rate over the last 24 h (Q-10: after the cutoff),
-    hours since the last completed file, issues, UP / DEGRADED / DOWN."""
+    hours since the last completed file, and the issues: none is UP, one with
+    a failure rate of at most twice the threshold DEGRADED, else DOWN."""
+    def percent(rate):
+        return (F.floor(rate * 10000 + 0.5) / 100).cast("string")
+
     now = ts(as_of)
     since = shift(now, hours=-K.HEALTH_STALE_HOURS)
     st = F.col("processing_status")
@@ -155,14 +159,20 @@ def processing_health(ledger: DataFrame, as_of: str, active_jobs: int = 0) -> Da
     rate = F.when(total > 0, F.col("recent_failed") / total).otherwise(F.lit(0.0))
     stale_h = F.timestamp_diff("HOUR", F.col("last_completed_at"), now)
     issues = F.filter(F.array(
-        F.when(F.col("failure_rate") > K.HEALTH_FAILURE_RATE, F.lit("High failure rate")),
-        F.when(F.col("stale_hours").isNull() | (F.col("stale_hours") > K.HEALTH_STALE_HOURS),
-               F.lit("No recent successful processing")),
-        F.when(F.lit(active_jobs) >= K.HEALTH_MAX_LOAD, F.lit("High processing load"))), lambda x: x.isNotNull())
+        F.when(F.col("failure_rate") > K.HEALTH_FAILURE_RATE, F.concat(
+            F.lit("Failure rate ("), percent(F.col("failure_rate")), F.lit("%) exceeds threshold ("),
+            percent(F.lit(K.HEALTH_FAILURE_RATE)), F.lit("%)"))),
+        F.when(F.col("stale_hours").isNull(), F.lit("No processing history available"))
+        .when(F.col("stale_hours") > K.HEALTH_STALE_HOURS, F.concat(
+            F.lit("Processing system is stale - last activity "), F.col("stale_hours").cast("string"), F.lit(" hours ago"))),
+        F.when(F.lit(active_jobs) >= K.HEALTH_MAX_LOAD,
+               F.lit(f"Processing capacity exceeded: {active_jobs}/{K.HEALTH_MAX_LOAD} concurrent files"))),
+        lambda x: x.isNotNull())
     out = agg.withColumns({"failure_rate": rate, "stale_hours": stale_h})
     out = out.withColumn("issues", issues)
-    status = (F.when(F.col("failure_rate") > 0.5, F.lit("DOWN"))
-              .when(F.size("issues") > 0, F.lit("DEGRADED")).otherwise(F.lit("UP")))
+    status = (F.when(F.size("issues") == 0, F.lit("UP"))
+              .when((F.size("issues") == 1) & (F.col("failure_rate") <= 2 * K.HEALTH_FAILURE_RATE), F.lit("DEGRADED"))
+              .otherwise(F.lit("DOWN")))
     return out.select("recent_completed", "recent_failed", F.round(F.col("failure_rate") * 100, 2).alias("failure_rate_pct"),
                       "last_completed_at", "stale_hours", F.array_join("issues", "; ").alias("issues"),
                       status.alias("health"))
@@ -211,9 +221,9 @@ def metric_timers(metrics: DataFrame, accuracy: int = 100000) -> DataFrame:
 
 
 def metric_gauges(metrics: DataFrame) -> DataFrame:
-    """Last value per gauge (by time), truncated to long."""
+    """Last value per gauge (by time; of equal times the larger value), truncated to long."""
     return metrics.groupBy("metric", "provider").agg(
-        F.max_by("value", "ts").cast("long").alias("last_value"), F.max("ts").alias("last_ts"))
+        F.max_by("value", F.struct("ts", "value")).cast("long").alias("last_value"), F.max("ts").alias("last_ts"))
 
 
 def provider_metrics(reviews: DataFrame, ledger: DataFrame, providers: DataFrame) -> DataFrame:

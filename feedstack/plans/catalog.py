@@ -50,6 +50,10 @@ def _tagged(spark, sf):
     return E.ingest_batch(TD.review_lines(spark, sf), AS_OF)
 
 
+def _staged(spark, sf):
+    return E.stage_lines(TD.review_lines(spark, sf), AS_OF)
+
+
 def _providers(spark, sf):
     return P.providers_from_feed(spark, TD.review_base(spark, sf).select("provider_name"))
 
@@ -70,7 +74,7 @@ SELECT file_key, line_no, CAST(i - 1 AS BIGINT) AS error_pos,
        'Line ' || CAST(line_no AS VARCHAR) || ': ' || line_errors[i] AS error
 FROM tagged, unnest(range(1, len(line_errors) + 1)) AS r(i)"""))
 def q_write_rejects(spark, sf):
-    return E.reject_lines(_tagged(spark, sf)).withColumn("error_pos", F.col("error_pos").cast("long"))
+    return E.reject_lines(_staged(spark, sf)).withColumn("error_pos", F.col("error_pos").cast("long"))
 
 
 _STORED_SQL = """
@@ -95,12 +99,10 @@ SELECT file_key, count(*) AS total_lines,
        count(*) FILTER (WHERE outcome = 'valid') AS valid_count,
        count(*) FILTER (WHERE outcome IN ('invalid', 'failed')) AS invalid_count,
        count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_count,
-       count(*) FILTER (WHERE outcome = 'aborted') AS aborted_count,
        count(*) FILTER (WHERE outcome = 'blank') AS blank_count,
        count(*) FILTER (WHERE outcome = 'malformed') AS malformed_count,
        CAST(sum(len(line_errors)) AS BIGINT) AS error_count,
-       CASE WHEN count(*) FILTER (WHERE outcome = 'aborted') > 0 THEN 'FAILED'
-            WHEN count(*) FILTER (WHERE outcome NOT IN ('blank', 'malformed')) = 0 THEN 'COMPLETED'
+       CASE WHEN count(*) FILTER (WHERE outcome NOT IN ('blank', 'malformed')) = 0 THEN 'COMPLETED'
             WHEN count(*) FILTER (WHERE outcome = 'valid') = 0 THEN 'FAILED'
             WHEN count(*) FILTER (WHERE outcome IN ('invalid', 'failed')) > 0 OR sum(len(line_errors)) > 0 THEN 'FAILED'
             ELSE 'COMPLETED' END AS status
@@ -109,12 +111,20 @@ def q_batch_result(spark, sf):
     return E.batch_result(_tagged(spark, sf))
 
 
+@register("transformed_reviews", with_ctes(["staged"], """
+SELECT file_key, line_no, platform, hotel_review_id, rating_value AS rating, review_date, review_comments,
+       content_hash FROM tagged WHERE outcome = 'valid'"""))
+def q_transformed_reviews(spark, sf):
+    return E.stored_reviews(_tagged(spark, sf)).select(
+        "file_key", "line_no", "platform", "hotel_review_id", "rating", "review_date", "review_comments", "content_hash")
+
+
 @register("error_breakdown", with_ctes(["staged"], """
 SELECT provider, error, count(*) AS error_count
 FROM (SELECT provider, unnest(errors) AS error FROM tagged WHERE stage = 'invalid')
 GROUP BY provider, error"""))
 def q_error_breakdown(spark, sf):
-    return validate.error_breakdown(_tagged(spark, sf))
+    return validate.error_breakdown(_staged(spark, sf))
 
 
 @register("parse_stats", with_ctes(["parsed"], """
@@ -132,7 +142,7 @@ def q_parse_stats(spark, sf):
 
 @register("parse_errors", with_ctes(["parsed"], """
 SELECT file_key, line_no,
-       CASE WHEN length(line) > 100 THEN substr(line, 1, 100) || '...' ELSE line END AS line_preview,
+       CASE WHEN length(line) > 100 THEN substr(line, 1, 100) || '...' ELSE line END AS line_preview, line AS line_text,
        CASE WHEN is_blank THEN 'Blank line' ELSE 'Malformed JSON' END AS error
 FROM parsed WHERE is_blank OR is_malformed"""))
 def q_parse_errors(spark, sf):
@@ -191,9 +201,9 @@ def q_filter_all(spark, sf):
 
 
 @register("filter_country_hotel", with_ctes(["reviews"], """
-SELECT id, hotel_id, reviewer_country_name FROM reviews WHERE hotel_id = 1317 AND reviewer_country_name = 'NATION_7'"""))
+SELECT id, hotel_id, reviewer_country_name FROM reviews WHERE hotel_id = 1 AND reviewer_country_name = 'NATION_1'"""))
 def q_filter_country_hotel(spark, sf):
-    f = query.ReviewFilter(hotel_id=1317, reviewer_country="NATION_7")
+    f = query.ReviewFilter(hotel_id=1, reviewer_country="NATION_1")
     return query.apply_filters(TD.reviews(spark, sf), f).select("id", "hotel_id", "reviewer_country_name")
 
 
@@ -439,10 +449,12 @@ def _java_hash_sql(x: str) -> str:
 @register("hash_functions", with_ctes(["texts"], f"""
 SELECT id, sha256(review_comments) AS sha256_hex, to_base64(unhex(sha256(review_comments))) AS sha256_b64,
        md5(review_comments) AS md5_hex, sha1(review_comments) AS sha1_hex,
-       {_java_hash_sql('hotel_name')} AS simple_hash, substr(sha256(review_comments), 1, 16) AS short_hash,
+       {_java_hash_sql('review_comments')} AS simple_hash, substr(sha256(review_comments), 1, 16) AS short_hash,
        sha256(CAST(hotel_id AS VARCHAR) || '|' || {norm_text('review_comments')} || '|' || CAST(rating AS VARCHAR)) AS review_content_hash,
        sha256(coalesce(hotel_name, '') || '|' || coalesce(translate_source, '')) AS combined_hash,
-       coalesce(md5(review_comments) = md5(review_comments), false) AS verify_md5,
+       coalesce(md5(review_comments) = md5(hotel_name), false) AS verify_md5,
+       coalesce(md5(review_comments) = md5(review_comments), false) AS verify_own_md5,
+       coalesce(regexp_full_match(hotel_name, '[a-fA-F0-9]+'), false) AS valid_name,
        coalesce(regexp_full_match(sha256(review_comments), '[a-fA-F0-9]+') AND length(sha256(review_comments)) = 64, false) AS valid_sha256
 FROM review_texts"""))
 def q_hash_functions(spark, sf):
@@ -451,10 +463,12 @@ def q_hash_functions(spark, sf):
     return t.select(
         "id", H.sha256_hex(c).alias("sha256_hex"), H.sha256_b64(c).alias("sha256_b64"),
         H.md5_hex(c).alias("md5_hex"), H.sha1_hex(c).alias("sha1_hex"),
-        H.java_string_hash("hotel_name").alias("simple_hash"), H.short_hash(c).alias("short_hash"),
+        H.java_string_hash(c).alias("simple_hash"), H.short_hash(c).alias("short_hash"),
         H.review_content_hash(c, "hotel_id", "rating").alias("review_content_hash"),
         H.combined_hash("hotel_name", "translate_source").alias("combined_hash"),
-        H.verify_hash(c, F.md5(c), F.lit("md5")).alias("verify_md5"),
+        H.verify_hash(c, F.md5("hotel_name"), F.lit("md5")).alias("verify_md5"),
+        H.verify_hash(c, F.md5(c), F.lit("md5")).alias("verify_own_md5"),
+        H.valid_hash("hotel_name").alias("valid_name"),
         H.valid_hash(H.sha256_hex(c), 64).alias("valid_sha256"))
 
 
@@ -474,7 +488,7 @@ def _files(spark, sf):
 SELECT s3_key, file_size, last_modified_date FROM processed_files
 WHERE last_modified_date > TIMESTAMP '2001-01-01 00:00:00' AND file_size > 0
   AND (lower(s3_key) LIKE '%.jl' OR lower(s3_key) LIKE '%.jsonl')
-ORDER BY last_modified_date, s3_key LIMIT 1000"""))
+ORDER BY last_modified_date, s3_key"""))
 def q_list_new_files(spark, sf):
     from ..sources.files import list_new_files
     return list_new_files(_files(spark, sf), since="2001-01-01 00:00:00").select("s3_key", "file_size",
@@ -529,7 +543,7 @@ def q_files_today(spark, sf):
 
 
 @register("stuck_files_reset", with_ctes(["ledger"], f"""
-SELECT id, s3_key, 'FAILED' AS processing_status, '{K.STUCK_MESSAGE}' AS error_message
+SELECT id + 1 AS id, s3_key, 'FAILED' AS processing_status, '{K.STUCK_MESSAGE}' AS error_message
 FROM processed_files WHERE processing_status = 'IN_PROGRESS'
   AND processing_started_at < TIMESTAMP '{LEDGER_AS_OF}' - INTERVAL 2 HOUR"""))
 def q_stuck_files_reset(spark, sf):
@@ -581,21 +595,45 @@ def q_ledger_current(spark, sf):
     return ledger.current_state(events).select("s3_key", "etag", "processing_status", "error_message")
 
 
+#: Faults put into ledger rows, and some rows twice, so that the rules of V13 have something to find.
+_FAULTY = {
+    "etag": "CASE WHEN id % 101 = 0 THEN repeat('x', 300) WHEN id % 103 = 0 THEN ' ' ELSE etag END",
+    "file_size": "CASE WHEN id % 107 = 0 THEN 0 ELSE file_size END",
+    "processing_status": "CASE WHEN id % 109 = 0 THEN 'LOST' ELSE processing_status END",
+    "records_failed": "CASE WHEN id % 113 = 0 THEN -1 ELSE records_failed END",
+}
+
+
 @register("ledger_constraints", with_ctes(["ledger"], """
-SELECT s3_key, 0 AS n_errors FROM processed_files WHERE false"""))
+SELECT s3_key, array_to_string(list_filter([
+    CASE WHEN trim(etag) = '' THEN 'etag is required' END,
+    CASE WHEN length(etag) > 255 THEN 'etag exceeds 255 characters' END,
+    CASE WHEN file_size <= 0 THEN 'file_size must be positive' END,
+    CASE WHEN processing_status = 'LOST' THEN 'processing_status is invalid' END,
+    CASE WHEN records_failed < 0 THEN 'record counts must be >= 0' END,
+    CASE WHEN count(*) OVER (PARTITION BY s3_key, etag) > 1 THEN 'duplicate (s3_key, etag)' END
+  ], lambda x: x IS NOT NULL), '; ') AS errors
+FROM (SELECT s3_key, """ + ", ".join(f"{v} AS {k}" for k, v in _FAULTY.items()) + """
+      FROM (SELECT * FROM processed_files UNION ALL SELECT * FROM processed_files WHERE id % 127 = 0))
+QUALIFY errors <> ''"""))
 def q_ledger_constraints(spark, sf):
-    v = validate.ledger_constraints(TD.processed_files(spark, sf))
-    return v.filter(F.size("errors") > 0).select("s3_key", F.size("errors").alias("n_errors"))
+    lf = TD.processed_files(spark, sf)
+    lf = lf.unionByName(lf.filter("id % 127 = 0")).withColumns({k: F.expr(v) for k, v in _FAULTY.items()})
+    v = validate.ledger_constraints(lf)
+    return v.filter(F.size("errors") > 0).select("s3_key", F.array_join("errors", "; ").alias("errors"))
 
 
 @register("processing_health", with_ctes(["ledger"], f"""
 SELECT recent_completed, recent_failed, round(failure_rate * 100, 2) AS failure_rate_pct, last_completed_at,
        stale_hours,
-       array_to_string(list_filter([CASE WHEN failure_rate > 0.1 THEN 'High failure rate' END,
-                                    CASE WHEN stale_hours IS NULL OR stale_hours > 24 THEN 'No recent successful processing' END],
-                                   lambda x: x IS NOT NULL), '; ') AS issues,
-       CASE WHEN failure_rate > 0.5 THEN 'DOWN'
-            WHEN failure_rate > 0.1 OR stale_hours IS NULL OR stale_hours > 24 THEN 'DEGRADED' ELSE 'UP' END AS health
+       array_to_string(list_filter([i1, i2], lambda x: x IS NOT NULL), '; ') AS issues,
+       CASE WHEN i1 IS NULL AND i2 IS NULL THEN 'UP'
+            WHEN (i1 IS NULL OR i2 IS NULL) AND failure_rate <= 0.2 THEN 'DEGRADED' ELSE 'DOWN' END AS health
+FROM (SELECT *,
+        CASE WHEN failure_rate > 0.1 THEN 'Failure rate (' || CAST(floor(failure_rate * 10000 + 0.5)::DOUBLE / 100 AS VARCHAR)
+               || '%) exceeds threshold (10.0%)' END AS i1,
+        CASE WHEN stale_hours IS NULL THEN 'No processing history available'
+             WHEN stale_hours > 24 THEN 'Processing system is stale - last activity ' || CAST(stale_hours AS VARCHAR) || ' hours ago' END AS i2
 FROM (SELECT *, CASE WHEN recent_completed + recent_failed > 0
                      THEN recent_failed / (recent_completed + recent_failed) ELSE 0.0 END AS failure_rate,
              date_sub('hour', last_completed_at, TIMESTAMP '{LEDGER_AS_OF}') AS stale_hours
@@ -604,7 +642,7 @@ FROM (SELECT *, CASE WHEN recent_completed + recent_failed > 0
                    count(*) FILTER (WHERE processing_completed_at >= TIMESTAMP '{LEDGER_AS_OF}' - INTERVAL 24 HOUR
                                      AND processing_status = 'FAILED') AS recent_failed,
                    max(CASE WHEN processing_status = 'COMPLETED' THEN processing_completed_at END) AS last_completed_at
-            FROM processed_files))"""))
+            FROM processed_files)))"""))
 def q_processing_health(spark, sf):
     return stats.processing_health(TD.processed_files(spark, sf), LEDGER_AS_OF)
 
@@ -659,7 +697,7 @@ def q_job_status(spark, sf):
 @register("job_history", with_ctes(["jobs"], f"""
 SELECT processing_id, status, created_at FROM processing_jobs
 WHERE provider = 'AGODA' AND created_at BETWEEN TIMESTAMP '{JOB_AS_OF}' - INTERVAL 30 DAY AND TIMESTAMP '{JOB_AS_OF}'
-ORDER BY created_at DESC, processing_id LIMIT 50"""))
+ORDER BY created_at DESC, processing_id"""))
 def q_job_history(spark, sf):
     return ledger.job_history(TD.processing_jobs(spark, sf), JOB_AS_OF, provider="AGODA").select(
         "processing_id", "status", "created_at")
@@ -689,11 +727,14 @@ def q_jobs_older_than(spark, sf):
 @register("job_log_lines", with_ctes(["jobs"], """
 SELECT processing_id, CAST(i - 1 AS INTEGER) AS log_pos, lines[i] AS log_line
 FROM (SELECT processing_id, list_filter([
-        'Job ' || processing_id || ' created at ' || strftime(created_at, '%Y-%m-%d %H:%M:%S'),
-        CASE WHEN start_time IS NOT NULL THEN 'Started at ' || strftime(start_time, '%Y-%m-%d %H:%M:%S') END,
-        'Files: ' || CAST(coalesce(processed_files, 0) AS VARCHAR) || ' processed, ' || CAST(coalesce(failed_files, 0) AS VARCHAR)
-          || ' failed of ' || CAST(coalesce(total_files, 0) AS VARCHAR),
-        CASE WHEN end_time IS NOT NULL THEN 'Ended with status ' || status || ' at ' || strftime(end_time, '%Y-%m-%d %H:%M:%S') END,
+        '[' || strftime(created_at, '%Y-%m-%dT%H:%M') || CASE WHEN strftime(created_at, '%f') <> '000000' THEN strftime(created_at, ':%S.') || regexp_replace(strftime(created_at, '%f'), '000$', '')
+          WHEN second(created_at) <> 0 THEN strftime(created_at, ':%S') ELSE '' END || '] Processing job created: ' || processing_id,
+        CASE WHEN start_time IS NOT NULL THEN '[' || strftime(start_time, '%Y-%m-%dT%H:%M') || CASE WHEN strftime(start_time, '%f') <> '000000' THEN strftime(start_time, ':%S.') || regexp_replace(strftime(start_time, '%f'), '000$', '')
+          WHEN second(start_time) <> 0 THEN strftime(start_time, ':%S') ELSE '' END || '] Processing started' END,
+        CASE WHEN processed_files > 0 THEN 'Processed ' || CAST(processed_files AS VARCHAR) || ' files successfully' END,
+        CASE WHEN failed_files > 0 THEN 'Failed to process ' || CAST(failed_files AS VARCHAR) || ' files' END,
+        CASE WHEN end_time IS NOT NULL THEN '[' || strftime(end_time, '%Y-%m-%dT%H:%M') || CASE WHEN strftime(end_time, '%f') <> '000000' THEN strftime(end_time, ':%S.') || regexp_replace(strftime(end_time, '%f'), '000$', '')
+          WHEN second(end_time) <> 0 THEN strftime(end_time, ':%S') ELSE '' END || '] Processing completed with status: ' || status END,
         CASE WHEN error_message IS NOT NULL THEN 'Error: ' || error_message END], lambda x: x IS NOT NULL) AS lines
       FROM processing_jobs), unnest(range(1, len(lines) + 1)) AS r(i)"""))
 def q_job_log_lines(spark, sf):
@@ -956,7 +997,7 @@ def q_job_count_status_range(spark, sf):
 SELECT name, array_to_string(list_filter([
     CASE WHEN name IS NULL OR trim(name) = '' THEN 'name is required' END,
     CASE WHEN length(name) > 100 THEN 'name exceeds 100 characters' END,
-    CASE WHEN api_endpoint IS NOT NULL AND NOT regexp_matches(api_endpoint, '^https?://.*') THEN 'api_endpoint must be a valid URL' END,
+    CASE WHEN api_endpoint IS NOT NULL AND NOT regexp_matches(api_endpoint, '^(https?://)[a-zA-Z0-9.-]+(:[0-9]+)?(/.*)?$') THEN 'api_endpoint must be a valid URL' END,
     CASE WHEN length(api_endpoint) > 255 THEN 'api_endpoint exceeds 255 characters' END,
     CASE WHEN rating_scale < 1 OR rating_scale > 10 THEN 'rating_scale must be between 1 and 10' END,
     CASE WHEN length(supported_languages) > 200 THEN 'supported_languages exceeds 200 characters' END
@@ -982,8 +1023,7 @@ def q_mark_transitions(spark, sf):
 _SINCE = "2001-01-01 00:00:00"
 _NEW_FILES_SQL = f"""file_key IN (
       SELECT 'reviews/' || o_orderpriority || '/order-' || CAST(o_orderkey AS VARCHAR) || '.jl' FROM orders
-      WHERE o_orderdate > TIMESTAMP '{_SINCE}'
-      ORDER BY o_orderdate, 'reviews/' || o_orderpriority || '/order-' || CAST(o_orderkey AS VARCHAR) || '.jl' LIMIT 1000)"""
+      WHERE o_orderdate > TIMESTAMP '{_SINCE}')"""
 
 
 @register("files_since", with_ctes(["staged"], """
@@ -992,7 +1032,7 @@ SELECT file_key, count(*) AS total_lines, count(*) FILTER (WHERE outcome = 'vali
        count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_count
 FROM tagged GROUP BY file_key""", lines_filter=_NEW_FILES_SQL))
 def q_files_since(spark, sf):
-    """List the files modified since t (S3, capped listing), ingest
+    """List the files modified since t (S3), ingest
     their lines (E2) and report per file."""
     from ..sources.files import list_new_files
     new = list_new_files(_files(spark, sf), since=_SINCE).select(F.col("s3_key").alias("file_key"))

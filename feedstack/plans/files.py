@@ -6,52 +6,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions.dates import ts
+from ..operators.ledger import filter_unprocessed
 from ..sources import tables
-from ..sources.files import scan_lines
+from ..sources.files import list_files, scan_lines
 from . import ingest as E
 
-STORE_KEY_SCHEMA = "platform string, hotel_review_id string"
-
-
-def number_batch_lines(lines: DataFrame) -> DataFrame:
-    """Line numbers for a micro-batch of raw lines (file_key, _block, line):
-    the same split-offset method as ``scan_lines``, on the batch."""
-    from pyspark.sql import Window
-    raw = lines.withColumn("_rid", F.monotonically_increasing_id())
-    splits = raw.groupBy("file_key", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_rid0"))
-    before = Window.partitionBy("file_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (raw.join(splits.select("file_key", "_block", "_rid0", "_offset"), ["file_key", "_block"])
-            .select("file_key", (F.col("_offset") + F.col("_rid") - F.col("_rid0") + 1).cast("int").alias("line_no"),
-                    "line"))
-
 
 def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, batch_id: str, as_of: str,
-                 max_file_errors: int | None = K.MAX_FILE_ERRORS) -> DataFrame:
+                 files: DataFrame | None = None) -> DataFrame:
     """Tag, write stored reviews / rejects / per-file results for one batch
-    under ``root`` and return the per-file result.  Sinks are written to
-    ``batch_id=`` directories (overwrite), the ledger last."""
+    under ``root`` and return its ledger events.  Sinks are written to
+    ``batch_id=`` directories (overwrite), the ledger last.  ``files``: the
+    listing (S2) of the batch, for the size and time of its files.
+
+    A ledger row is a full event: its sequence number ``id`` is the time it
+    was written, so of two runs with one ``as_of`` the later one counts."""
     store = tables.read_store(spark, f"{root}/reviews")
     prior = None if store is None else store.filter(F.col("batch_id") != batch_id).select("platform", "hotel_review_id")
-    tagged = E.ingest_batch(lines, as_of, store=prior, max_file_errors=max_file_errors)
+    lined = E.stage_lines(lines, as_of)
+    tagged = E.tag_lines(lined, store=prior)
     tables.write_reviews(E.stored_reviews(tagged), f"{root}/reviews", batch_id)
-    tables.write_batch(E.reject_lines(tagged), f"{root}/rejects", batch_id)
+    tables.write_batch(E.reject_lines(lined), f"{root}/rejects", batch_id)
     result = E.file_result(tagged)
+    first_provider = lined.groupBy("file_key").agg(F.min("provider").alias("provider"))
+    result = result.join(first_provider, "file_key", "left")
+    if files is not None:
+        result = result.join(files.withColumnRenamed("s3_key", "file_key"), "file_key", "left")
+    else:
+        result = result.withColumns({"file_size": F.lit(None).cast("long"), "last_modified_date": ts(as_of)})
     status = F.when(F.col("successful"), F.lit("COMPLETED")).otherwise(F.lit("FAILED"))
+    now = ts(as_of)
     ledger_rows = result.select(
-        F.col("file_key").alias("s3_key"), status.alias("processing_status"),
+        F.unix_micros(F.current_timestamp()).alias("id"), F.col("file_key").alias("s3_key"),
+        F.md5(F.concat_ws("|", F.col("file_size").cast("string"), F.col("last_modified_date").cast("string"))).alias("etag"),
+        "file_size", "last_modified_date", "provider", status.alias("processing_status"),
         F.col("valid_count").cast("int").alias("records_processed"),
         F.col("invalid_count").cast("int").alias("records_failed"),
         F.col("duplicate_count").cast("int").alias("records_skipped"),
-        F.col("error_summary").alias("error_message"), ts(as_of).alias("updated_at"))
+        F.col("error_summary").alias("error_message"), now.alias("created_at"), now.alias("processing_started_at"),
+        now.alias("processing_completed_at"), now.alias("updated_at"))
     tables.write_batch(ledger_rows, f"{root}/ledger", batch_id)
-    tagged.unpersist()
     return spark.read.parquet(f"{root}/ledger/batch_id={batch_id}")
 
 
-def ingest_files(spark: SparkSession, paths: str | list[str], root: str, batch_id: str, as_of: str,
-                 max_file_errors: int | None = K.MAX_FILE_ERRORS) -> DataFrame:
-    """Many files in one plan; a bad file never stops the others."""
-    return ingest_lines(spark, scan_lines(spark, paths), root, batch_id, as_of, max_file_errors)
+def ingest_files(spark: SparkSession, folder: str, root: str, batch_id: str, as_of: str,
+                 only_new: bool = True) -> DataFrame:
+    """The JSON-Lines files of a folder (S2) that the ledger does not have
+    as COMPLETED (S4), in one plan; a bad file never stops the others.
+    ``only_new=False`` takes all of them again.  The names of the files go
+    through the driver, as for any read; nothing to do gives no events."""
+    files = list_files(spark, folder)
+    ledger = tables.read_store(spark, f"{root}/ledger") if only_new else None
+    if ledger is not None:
+        files = filter_unprocessed(files, ledger.filter(F.col("batch_id") != batch_id))
+    paths = [r.s3_key for r in files.select("s3_key").collect()]
+    if not paths:
+        return spark.createDataFrame([], "id long, s3_key string, processing_status string, records_processed int, "
+                                         "records_failed int, records_skipped int, error_message string")
+    return ingest_lines(spark, scan_lines(spark, paths), root, batch_id, as_of, files)

@@ -225,11 +225,8 @@ tagged0 AS (
          ELSE []::VARCHAR[] END AS line_errors
   FROM staged
 ),
-file_errs AS (
-  SELECT file_key, count(*) FILTER (WHERE stage IN ('invalid', 'failed')) AS errs FROM tagged0 GROUP BY file_key
-),
 cands AS (
-  SELECT t.* FROM tagged0 t JOIN file_errs f USING (file_key) WHERE t.stage = 'candidate' AND f.errs <= 50
+  SELECT * FROM tagged0 WHERE stage = 'candidate'
 ),
 winners AS (
   SELECT platform, hotel_review_id, min(file_key) AS wf FROM cands GROUP BY platform, hotel_review_id
@@ -242,9 +239,8 @@ winners2 AS (
 tagged AS (
   SELECT t.*,
     CASE WHEN t.stage <> 'candidate' THEN t.stage
-         WHEN f.errs > 50 THEN 'aborted'
          WHEN w.line_no IS NOT NULL THEN 'valid' ELSE 'duplicate' END AS outcome
-  FROM tagged0 t JOIN file_errs f USING (file_key)
+  FROM tagged0 t
   LEFT JOIN winners2 w ON t.file_key = w.file_key AND t.line_no = w.line_no
 )"""
 

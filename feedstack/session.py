@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for correctness of the plans in this package.
 # Timestamps in the review model are wall-clock (TIMESTAMP_NTZ); pin UTC so
@@ -57,6 +58,17 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder and read
+    back: its consumers read only the columns they need, nothing stays cached
+    in the session, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+    path = f"{ensure_checkpoint_dir(spark, allow_local=local).rstrip('/')}/feedstack-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir`` (the
     shared folder of the cluster).  Only local sessions (tests, bench) may

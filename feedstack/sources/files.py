@@ -6,7 +6,7 @@ content column is pruned from the read schema), so it never reads bytes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -24,13 +24,16 @@ def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     split) + 1.  Only the per-split table (one row per split: count, first
     id) is aggregated and windowed, never the lines themselves, so a huge
     file costs no more than many small ones."""
-    raw = (spark.read.text(paths)
-           .select(F.col("value").alias("line"),
-                   F.col("_metadata.file_path").alias("file_key"),
-                   F.col("_metadata.file_block_start").alias("_block"),
-                   F.monotonically_increasing_id().alias("_rid")))
+    return number_lines(spark.read.text(paths)
+                        .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_key"),
+                                F.col("_metadata.file_block_start").alias("_block")))
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Line numbers for raw lines ``(file_key, _block, line)`` by the offset of
+    their split, as described for ``scan_lines``."""
+    raw = lines.withColumn("_rid", F.monotonically_increasing_id())
     splits = raw.groupBy("file_key", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_rid0"))
-    from pyspark.sql import Window
     before = Window.partitionBy("file_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return (raw.join(splits.select("file_key", "_block", "_rid0", "_offset"), ["file_key", "_block"])
@@ -55,13 +58,14 @@ def valid_files(files: DataFrame) -> DataFrame:
     return files.filter(~F.col(KEY).endswith("/") & (F.col(SIZE) > 0) & ext)
 
 
-def list_new_files(files: DataFrame, since: str | None = None, limit: int = K.LISTING_LIMIT) -> DataFrame:
-    """S3: files modified strictly after ``since`` (unknown mtime included),
-    oldest first, the first ``limit`` (the listing cap is the feature)."""
+def list_new_files(files: DataFrame, since: str | None = None, limit: int | None = None) -> DataFrame:
+    """S3: all files modified strictly after ``since`` (unknown mtime
+    included), oldest first; only the first ``limit`` where a caller asks."""
     f = valid_files(files)
     if since is not None:
         f = f.filter(F.col(MTIME).isNull() | (F.col(MTIME) > ts(since)))
-    return f.orderBy(F.col(MTIME).asc_nulls_first(), KEY).limit(limit)
+    f = f.orderBy(F.col(MTIME).asc_nulls_first(), KEY)
+    return f if limit is None else f.limit(limit)
 
 
 def file_metadata(files: DataFrame, key: str) -> DataFrame:
@@ -83,8 +87,8 @@ def total_file_size(files: DataFrame) -> DataFrame:
 
 def stream_lines(spark: SparkSession, root: str, max_files_per_trigger: int = 100) -> DataFrame:
     """Newly arriving JSON-Lines files as a stream of raw lines with
-    their file path (numbered per micro-batch by ``number_batch_lines``)."""
+    their file path (numbered per micro-batch by ``number_lines``)."""
     return (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
-            .option("pathGlobFilter", "*.jl*").load(root)
+            .option("pathGlobFilter", "*.{[jJ][lL],[jJ][sS][oO][nN][lL]}").load(root)
             .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_key"),
                     F.col("_metadata.file_block_start").alias("_block")))

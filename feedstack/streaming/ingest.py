@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.files import ingest_lines, number_batch_lines
-from ..sources.files import stream_lines
+from ..plans.files import ingest_lines
+from ..sources.files import number_lines, stream_lines
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, root: str, checkpoint: str, as_of: str,
@@ -26,7 +26,7 @@ def stream_ingest(spark: SparkSession, source_dir: str, root: str, checkpoint: s
     lines = stream_lines(spark, source_dir, max_files_per_trigger)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        ingest_lines(spark, number_batch_lines(batch), root, f"e{epoch:08d}", as_of)
+        ingest_lines(spark, number_lines(batch), root, f"e{epoch:08d}", as_of)
 
     w = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)

@@ -23,6 +23,38 @@ def test_stuck_files_reset(spark):
     assert len(out) == 2 and all(r.processing_status == "FAILED" for r in out)
 
 
+def _events(spark):
+    rows = [(1, "a", "e", "IN_PROGRESS", "2024-01-01 00:00:00"), (2, "a", "e", "COMPLETED", "2024-01-01 01:00:00"),
+            (3, "b", "e", "PENDING", "2024-01-01 00:00:00"), (4, "b", "e", "IN_PROGRESS", "2024-01-01 00:00:00"),
+            (5, "c", "e", "COMPLETED", "2024-01-01 00:00:00"), (6, "c", "e", "FAILED", "2024-01-01 02:00:00")]
+    df = spark.createDataFrame(rows, "id long, s3_key string, etag string, processing_status string, updated_at string")
+    t = F.col("updated_at").cast("timestamp_ntz")
+    return df.withColumns({"updated_at": t, "processing_started_at": t, "records_processed": F.lit(0), "error_message": F.lit("x")})
+
+
+def test_ledger_operators_read_the_current_state(spark):
+    ev = _events(spark)
+    state = {r.s3_key: r.processing_status for r in ledger.current_state(ev).collect()}
+    assert state == {"a": "COMPLETED", "b": "IN_PROGRESS", "c": "FAILED"}
+    out = ledger.reset_stuck(ev, "2024-01-01 05:00:00")
+    assert [(r.s3_key, r.id) for r in out.collect()] == [("b", 5)]
+    again = {r.s3_key: r.processing_status for r in ledger.current_state(ev.unionByName(out)).collect()}
+    assert again == {"a": "COMPLETED", "b": "FAILED", "c": "FAILED"}
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "s3_key string")
+    assert sorted(r.s3_key for r in ledger.filter_unprocessed(keys, ev).collect()) == ["b", "c", "z"]
+    assert [r.s3_key for r in ledger.is_processed(keys, ev).collect()] == ["a"]
+    assert [r.s3_key for r in ledger.unknown_keys(ev, keys).collect()] == ["z"]
+
+
+def test_mark_makes_one_event_for_each_file(spark):
+    ev = _events(spark)
+    keys = spark.createDataFrame([("b", 7), ("b", 7), ("z", 1)], "s3_key string, records_processed int")
+    done = ledger.mark(ev, keys, "COMPLETED", "2024-01-02 00:00:00").collect()
+    assert [(r.s3_key, r.id, r.processing_status, r.records_processed, r.error_message) for r in done] == [("b", 5, "COMPLETED", 7, None)]
+    failed = ledger.mark(ev, keys, "FAILED", "2024-01-02 00:00:00").collect()
+    assert [(r.processing_status, r.error_message) for r in failed] == [("FAILED", None)]
+
+
 def test_paging(spark):
     df = spark.createDataFrame([(i, f"2024-01-0{i} 00:00:00") for i in range(1, 6)], "id long, review_date string") \
         .withColumn("review_date", F.col("review_date").cast("timestamp_ntz"))

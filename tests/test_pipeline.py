@@ -2,6 +2,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from feedstack.operators import ledger
+from feedstack.operators.parse import parse_lines
 from feedstack.plans import ingest as E
 from feedstack.plans.files import ingest_files
 from feedstack.sources.files import list_files, scan_lines
@@ -42,10 +44,10 @@ def test_first_wins_and_invariant(spark):
     assert out == {1: "valid", 2: "blank", 3: "malformed", 4: "duplicate", 5: "valid"}
 
 
-def test_error_limit_aborts_file(spark):
-    lines = [line(hotel_id=-1, hotelReviewId=i) for i in range(1, 53)] + [line(hotelReviewId=999)]
+def test_bad_lines_do_not_cost_the_good_ones(spark):
+    lines = [line(hotel_id=-1, hotelReviewId=i) for i in range(51)] + [line(hotelReviewId=100 + i) for i in range(10000)]
     t = E.ingest_batch(lines_df(spark, lines), AS_OF)
-    assert _outcomes(t) == {"invalid": 52, "aborted": 1}
+    assert _outcomes(t) == {"invalid": 51, "valid": 10000}
     assert E.batch_result(t).collect()[0].status == "FAILED"
 
 
@@ -75,7 +77,8 @@ def test_rerun_adds_nothing(spark, scratch):
     files = list_files(spark, src)
     assert files.count() == 1
     first = ingest_files(spark, src, root, "b1", AS_OF).collect()[0]
-    second = ingest_files(spark, src, root, "b2", AS_OF).collect()[0]
+    assert ingest_files(spark, src, root, "b2", AS_OF).count() == 0      # the file is done
+    second = ingest_files(spark, src, root, "b2", AS_OF, only_new=False).collect()[0]
     assert (first.records_processed, second.records_processed, second.records_skipped) == (2, 0, 2)
     assert spark.read.parquet(os.path.join(root, "reviews")).count() == 2
     # replaying a batch id overwrites its own output
@@ -83,21 +86,47 @@ def test_rerun_adds_nothing(spark, scratch):
     assert spark.read.parquet(os.path.join(root, "reviews")).count() == 2
 
 
-def test_checkpoint_barrier_gives_same_outcomes(spark):
-    lines = [line(hotelReviewId=7), "", line(hotelReviewId=7), line(hotel_id=0, hotelReviewId=9)]
-    a = E.ingest_batch(lines_df(spark, lines), AS_OF)
-    b = E.ingest_batch(lines_df(spark, lines), AS_OF, barrier="checkpoint")
-    key = ["line_no", "outcome"]
-    assert sorted(a.select(*key).collect()) == sorted(b.select(*key).collect())
+def test_a_file_added_later_is_taken(spark, scratch):
+    src, root = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    os.makedirs(src)
+
+    def put(name, i):
+        with open(os.path.join(src, name), "w") as fh:
+            fh.write(line(hotelReviewId=i) + "\n")
+
+    put("a.jl", 1)
+    put("notes.txt", 5)
+    ingest_files(spark, src, root, "b1", AS_OF)
+    put("b.JSONL", 2)
+    events = ingest_files(spark, src, root, "b2", AS_OF).collect()
+    assert [(r.s3_key.rpartition("/")[2], r.processing_status) for r in events] == [("b.JSONL", "COMPLETED")]
+    assert spark.read.parquet(os.path.join(root, "reviews")).count() == 2
+    ingest_files(spark, src, root, "b3", AS_OF, only_new=False)
+    state = ledger.current_state(spark.read.parquet(os.path.join(root, "ledger")))
+    assert {(r.s3_key.rpartition("/")[2], r.batch_id, r.records_skipped) for r in state.collect()} == {("a.jl", "b3", 1), ("b.JSONL", "b3", 1)}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_number_text_is_kept(spark):
+    lines = [line(hotelReviewId=1, rating=8.0), '{"hotelId":1,"platform":"Agoda","hotelName":"H","comment":{"hotelReviewId":12,"rating":8,'
+             '"reviewDate":"2025-04-10","reviewComments":"x"}}']
+    t = parse_lines(lines_df(spark, lines))
+    assert [r.rating_text for r in t.orderBy("line_no").collect()] == ["8.0", "8"]
+
+
+def test_rejects_need_no_join(spark):
+    t = E.stage_lines(lines_df(spark, [line(hotel_id=-1, hotelReviewId=1)]), AS_OF)
+    assert "Join" not in E.reject_lines(t)._jdf.queryExecution().executedPlan().toString()
+    assert E.reject_lines(t).count() == 1
 
 
 def test_file_result_summary_keeps_last_50_and_shows_10(spark):
     bad = [line(hotel_id=-1, hotelReviewId=i) for i in range(1, 61)]      # 60 invalid lines
     good = [line(hotelReviewId=1000 + i) for i in range(3)]
-    t = E.ingest_batch(lines_df(spark, bad + good), AS_OF, max_file_errors=None)
+    t = E.ingest_batch(lines_df(spark, bad + good), AS_OF)
     r = E.file_result(t).collect()[0]
     # last 50 errors are lines 11..60; the summary shows the first 10 of them
     head = "; ".join(f"Line {n}: Hotel ID must be positive" for n in range(11, 21))
-    assert r.error_summary == head + "... (+40 more)"
+    assert r.error_summary == head + "... (+50 more)"
     assert (r.saved_reviews, r.total_errors, r.successful) == (3, 60, False)
     assert abs(r.error_rate - 60 * 100.0 / 63) < 1e-6
