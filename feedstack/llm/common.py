@@ -50,7 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     prunes columns when it is read again."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/feedstack-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._feedstack_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._feedstack_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def empty_as(col: str) -> Column:
