@@ -98,6 +98,28 @@ def op6_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_combinations.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+#: The links of whole texts by a plain join on shingles, then what each distinct set can reach.
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))
+    END AS s FROM words),
+classes AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS MATERIALIZED (SELECT rep, n, hash(t) AS t FROM (SELECT rep, n, unnest(s) AS t FROM classes)),
+links AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM tokens a JOIN tokens b USING (t)
+  WHERE a.rep <> b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a AS rep, min(b) AS root FROM reach GROUP BY a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(r.root, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes c ON d.s = c.s LEFT JOIN roots r ON c.rep = r.rep
+"""
+
+
 def op7_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_regression.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -140,4 +162,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": OP1_SQL,
         "op5_systematic_mix": OP5_SQL,
+        "op6_token_combinations": OP6_SQL,
     }
