@@ -143,6 +143,19 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(codes, codes.filter("id % 100 = 0"))
 
 
+#: The table's vectors have 64 dimensions, so a code is their signs; every query is compared with every row.
+OP10_SQL = r"""
+WITH c AS (
+  SELECT DISTINCT vec_id AS id, array_to_string(list_transform(range(1, 65), lambda i:
+    CASE WHEN coalesce(embedding[i], 0) > 0 AND NOT isnan(embedding[i]) THEN '1' ELSE '0' END), '')::BIT AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.id AS query_id, c.id AS neighbor_id, bit_count(xor(q.code, c.code))::BIGINT AS distance
+      FROM c q JOIN c ON q.id <> c.id WHERE q.id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank, neighbor_id, distance
+FROM d QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
@@ -163,4 +176,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": OP1_SQL,
         "op5_systematic_mix": OP5_SQL,
         "op6_token_combinations": OP6_SQL,
+        "op10_multi_index": OP10_SQL,
     }
