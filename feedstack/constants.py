@@ -19,12 +19,6 @@ PROVIDER_TYPES = [
 ]
 # Providers accepted by the line validator (exact, case-sensitive).
 VALID_FEED_PROVIDERS = ["Agoda", "Booking", "Expedia"]
-# Seeded provider rows: (name, code, external id).
-PROVIDER_SEEDS = [
-    ("Agoda", "AGODA", 332),
-    ("Booking", "BOOKING", 333),
-    ("Expedia", "EXPEDIA", 334),
-]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: statuses
@@ -32,7 +26,6 @@ PROVIDER_SEEDS = [
 PROCESSING_STATUSES = ["PENDING", "IN_PROGRESS", "COMPLETED", "FAILED", "CANCELLED", "IDLE", "SKIPPED"]
 TERMINAL_STATUSES = ["COMPLETED", "FAILED", "CANCELLED", "SKIPPED"]
 ACTIVE_STATUSES = ["PENDING", "IN_PROGRESS"]
-REVIEW_STATUSES = ["PENDING", "PROCESSING", "PROCESSED", "FAILED", "SKIPPED"]
 # Statuses removed by the created-date cleanup rule.
 CLEANUP_STATUSES = ["COMPLETED", "FAILED", "SKIPPED"]
 
@@ -105,9 +98,7 @@ LEDGER_ERROR_MAX = 2000
 # ---------------------------------------------------------------------------
 # FIXED VALUES: pipeline, ledger and health parameters
 # ---------------------------------------------------------------------------
-SAVE_BATCH_SIZE = 100
 CHUNK_SIZE = 1000
-CHUNK_THRESHOLD = 10000
 ERROR_SUMMARY_HEAD = 10
 ERROR_SUMMARY_KEEP = 50  # the summary starts at the 50th error from the end
 ERROR_LINE_PREVIEW = 100

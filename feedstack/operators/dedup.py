@@ -39,12 +39,6 @@ def dedup_against_store(df: DataFrame, store: DataFrame, key: list[str] | None =
     return df.join(store.select(*key), key, "left_anti")
 
 
-def already_stored(df: DataFrame, store: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Rows whose key exists in the store (semi join)."""
-    key = key or REVIEW_KEY
-    return df.join(store.select(*key), key, "left_semi")
-
-
 def potential_duplicates(reviews: DataFrame) -> DataFrame:
     """Every review whose (hotel_id, content_hash) group has > 1 row.
     The group count is partially aggregated; the semi join goes back on the

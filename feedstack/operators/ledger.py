@@ -78,9 +78,15 @@ def unknown_keys(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(ledger.select("s3_key"), "s3_key", "left_anti")
 
 
-def file_status(ledger: DataFrame, key: str) -> DataFrame:
-    """The current state of one file."""
-    return current_state(ledger.filter(F.col("s3_key") == key))
+def file_status(ledger: DataFrame, key: str, etag: str | None = None) -> DataFrame:
+    """The current state of one file (of all its versions without an etag)."""
+    own = F.col("s3_key") == key
+    return current_state(ledger.filter(own if etag is None else own & (F.col("etag") == etag)))
+
+
+def duplicate_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Files whose key and etag the ledger already has."""
+    return files.join(ledger.select("s3_key", "etag"), ["s3_key", "etag"], "left_semi")
 
 
 def files_by_status(ledger: DataFrame, status: str, provider: str | None = None) -> DataFrame:
@@ -170,6 +176,38 @@ def retryable_jobs(jobs: DataFrame, status: str = "FAILED") -> DataFrame:
     return jobs.filter((F.col("status") == status) & F.col("end_time").isNotNull())
 
 
+def check_trigger(max_files: int | None, most_files: int, prefix: str | None = None, triggered_by: str | None = None) -> None:
+    """The argument checks of a processing request."""
+    if max_files is not None and max_files < 1:
+        raise ValueError("Max files must be greater than 0")
+    if max_files is not None and max_files > most_files:
+        raise ValueError(f"Max files cannot exceed {most_files} per request")
+    if prefix is not None and not prefix.strip():
+        raise ValueError("S3 prefix cannot be empty if specified")
+    if triggered_by is not None and len(triggered_by) > 100:
+        raise ValueError("Triggered by cannot exceed 100 characters")
+
+
+def retry_jobs(jobs: DataFrame, as_of: str) -> DataFrame:
+    """A new PENDING run for each FAILED job of ``jobs``, over the same
+    provider, prefix and number of files."""
+    return jobs.filter(F.col("status") == "FAILED").select(
+        F.concat("processing_id", F.lit("-retry")).alias("processing_id"), F.lit("PENDING").alias("status"), "provider",
+        F.lit(True).alias("is_asynchronous"), "s3_prefix", "max_files",
+        F.concat(F.lit("RETRY_"), "processing_id").alias("triggered_by"), ts(as_of).alias("created_at"))
+
+
+def retry_job(jobs: DataFrame, processing_id: str, as_of: str) -> DataFrame:
+    """L20 for one job: an unknown id, or a job that did not fail, is an error."""
+    own = jobs.filter(F.col("processing_id") == processing_id)
+    found = own.select("status").first()
+    if found is None:
+        raise LookupError(f"Processing job not found: {processing_id}")
+    if found.status != "FAILED":
+        raise ValueError(f"Cannot retry job in status: {found.status}")
+    return retry_jobs(own, as_of)
+
+
 def select_job_files(files: DataFrame, ledger: DataFrame, provider: str | None, max_files: int | None = None) -> DataFrame:
     """Keys containing the provider name (case-insensitive), not yet
     processed, oldest first; the first ``max_files`` where a caller asks."""
@@ -254,11 +292,32 @@ def job_files_join(runs: DataFrame) -> DataFrame:
         F.max(F.when(st == "FAILED", F.col("s3_key"))).alias("last_failed_file"))
 
 
+def job_file_rows(runs: DataFrame) -> DataFrame:
+    """The file rows of every run: (run_id, list, s3_key) with the list
+    ``processed`` or ``failed``; a run with neither has one row of nulls.
+    Only run ids are compared, so a run of any size is never gathered."""
+    st = F.col("processing_status")
+    kind = F.when(st == "COMPLETED", F.lit("processed")).when(st == "FAILED", F.lit("failed"))
+    files = runs.select("run_id", kind.alias("list"), "s3_key").filter(F.col("list").isNotNull())
+    bare = runs.groupBy("run_id").agg(F.count(kind).alias("_n")).filter(F.col("_n") == 0)
+    none = F.lit(None).cast("string")
+    return files.unionByName(bare.select("run_id", none.alias("list"), none.alias("s3_key")))
+
+
+def job_summary(runs: DataFrame) -> DataFrame:
+    """One row for each run: files done and failed, reviews stored, and
+    the summary line.  A failed file never stops the others."""
+    st = F.col("processing_status")
+    one = runs.groupBy("run_id").agg(
+        F.count_if(st == "COMPLETED").alias("processed_files"), F.count_if(st == "FAILED").alias("failed_files"),
+        F.coalesce(F.sum(F.when(st == "COMPLETED", F.col("records_processed"))), F.lit(0)).cast("long").alias("total_reviews"))
+    return one.withColumn("summary", F.format_string(
+        "Processing completed for job: %s. Files processed: %d, Failed: %d, Total reviews: %d",
+        "run_id", "processed_files", "failed_files", "total_reviews"))
+
+
 def replay_failed(runs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines of the failed files of failed runs, ready for a new
-    ingest run (semi join on the file key; no per-file loop)."""
-    failed_runs = runs.groupBy("run_id").agg(F.count_if(F.col("processing_status") == "FAILED").alias("_f")) \
-        .filter(F.col("_f") > 0).select("run_id")
-    failed_files = runs.filter(F.col("processing_status") == "FAILED").join(failed_runs, "run_id", "left_semi") \
-        .select(F.col("s3_key").alias("file_key"))
+    """The lines of the failed files of runs, ready for a new ingest run
+    (semi join on the file key; no per-file loop)."""
+    failed_files = runs.filter(F.col("processing_status") == "FAILED").select(F.col("s3_key").alias("file_key"))
     return lines.join(failed_files, "file_key", "left_semi")

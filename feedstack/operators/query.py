@@ -90,25 +90,74 @@ def apply_filters(reviews: DataFrame, f: ReviewFilter | None) -> DataFrame:
 
 # --- named finders (N) ------------------------------------------------------
 
+def equal(**values) -> Column:
+    """Every named column has its value."""
+    return reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in values.items()])
+
+
+def at_least(column: str, x: float) -> Column:
+    return F.col(column) >= F.lit(x)
+
+
+def between(column: str, lo: float, hi: float) -> Column:
+    return F.col(column).between(lo, hi)
+
+
+def time_between(column: str, start: str, end: str) -> Column:
+    return F.col(column).between(ts(start), ts(end))
+
+
+def since(column: str, start: str) -> Column:
+    return F.col(column) >= ts(start)
+
+
 def by_column(reviews: DataFrame, column: str, value) -> DataFrame:
-    """Equality finders."""
-    return reviews.filter(F.col(column) == F.lit(value))
+    """Equality finders as a filter."""
+    return reviews.filter(equal(**{column: value}))
+
+
+def review_by_id(reviews: DataFrame, review_id: int) -> DataFrame:
+    """One review; an absent id is an error."""
+    found = by_column(reviews, "id", review_id)
+    if found.isEmpty():
+        raise LookupError(f"Review not found with id: {review_id}")
+    return found
+
+
+def matches(df: DataFrame, finders: dict[str, Column], columns: list[str]) -> DataFrame:
+    """Many finders in one pass: ``columns`` and ``finder`` for each finder that
+    a row matches."""
+    hits = F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in finders.items()]), lambda x: x.isNotNull())
+    return df.select(*columns, F.explode(hits).alias("finder"))
+
+
+def hotel_language_page(reviews: DataFrame, hotel_id: int, language: str, page_no: int = 0, size: int = 20) -> DataFrame:
+    """A hotel's reviews in one language, newest first, by pages."""
+    return page(reviews.filter(equal(hotel_id=hotel_id, translate_source=language)), page_no, size)
+
+
+def review_files(reviews: DataFrame, files: DataFrame) -> DataFrame:
+    """Every review with the ledger row of its file (``files``: one row for
+    each key; null columns where it is unknown).  A file that holds a large
+    part of all reviews is on the left side only, where AQE may split it."""
+    f = files.select(F.col("s3_key").alias("_key"), "etag", F.col("processing_status").alias("file_status"))
+    return reviews.join(f, F.col("processed_file_key") == F.col("_key"), "left").drop("_key")
 
 
 def rating_at_least(reviews: DataFrame, x: float) -> DataFrame:
-    return reviews.filter(F.col("rating") >= x)                                  # N5
+    return reviews.filter(at_least("rating", x))                                 # N5
 
 
 def rating_between(reviews: DataFrame, lo: float, hi: float) -> DataFrame:
-    return reviews.filter(F.col("rating").between(lo, hi))                       # N6
+    return reviews.filter(between("rating", lo, hi))                             # N6
 
 
 def date_between(reviews: DataFrame, start: str, end: str, column: str = "review_date") -> DataFrame:
-    return reviews.filter(F.col(column).between(ts(start), ts(end)))             # N7, N16
+    return reviews.filter(time_between(column, start, end))                      # N7, N16
 
 
 def hotel_min_rating(reviews: DataFrame, hotel_id: int, min_rating: float) -> DataFrame:
-    return reviews.filter((F.col("hotel_id") == hotel_id) & (F.col("rating") >= min_rating))   # N10
+    return reviews.filter(equal(hotel_id=hotel_id) & at_least("rating", min_rating))           # N10
 
 
 def recent_by_provider(reviews: DataFrame, providers: DataFrame, code: str, since: str) -> DataFrame:
@@ -120,9 +169,7 @@ def recent_by_provider(reviews: DataFrame, providers: DataFrame, code: str, sinc
 
 def complex_criteria(reviews: DataFrame, hotel_id: int, start: str, end: str, min_rating: float) -> DataFrame:
     """Hotel, date range, min rating, newest first."""
-    return (reviews.filter((F.col("hotel_id") == hotel_id)
-                           & F.col("review_date").between(ts(start), ts(end))
-                           & (F.col("rating") >= min_rating))
+    return (reviews.filter(equal(hotel_id=hotel_id) & time_between("review_date", start, end) & at_least("rating", min_rating))
             .orderBy(F.col("review_date").desc_nulls_first(), F.col("id")))
 
 
@@ -131,7 +178,7 @@ def hotel_name_contains(reviews: DataFrame, text: str) -> DataFrame:
 
 
 def recent_reviews(reviews: DataFrame, cutoff: str) -> DataFrame:
-    return reviews.filter(F.col("created_at") >= ts(cutoff)).orderBy(F.col("created_at").desc(), "id")  # N18
+    return reviews.filter(since("created_at", cutoff)).orderBy(F.col("created_at").desc(), "id")  # N18
 
 
 def high_rated(reviews: DataFrame, threshold: float) -> DataFrame:
@@ -160,11 +207,18 @@ def page_info(df: DataFrame, size: int = 20) -> DataFrame:
         "total_pages", F.ceil(F.col("total_elements") / F.lit(size)).cast("long"))
 
 
-def page_after(df: DataFrame, last_date, last_id, size: int = 20) -> DataFrame:
+def page_after(df: DataFrame, last_date=None, last_id=None, size: int = 20) -> DataFrame:
     """Keyset page: the rows after (review_date, id) in (date desc
-    nulls first, id asc) order, without scanning skipped pages."""
+    nulls first, id asc) order, without scanning skipped pages.  A null
+    ``last_date`` is a row without a date; without ``last_id`` as well, it is
+    the first page."""
     d, i = F.col("review_date"), F.col("id")
-    after = ((d < ts(last_date)) | ((d == ts(last_date)) & (i > F.lit(last_id))))
+    if last_id is None:
+        after = F.lit(True)
+    elif last_date is None:
+        after = d.isNotNull() | (i > F.lit(last_id))
+    else:
+        after = (d < ts(last_date)) | ((d == ts(last_date)) & (i > F.lit(last_id)))
     return df.filter(after).orderBy(d.desc_nulls_first(), i).limit(size)
 
 
@@ -173,8 +227,3 @@ def top_by(df: DataFrame, column: str, n: int = 1, desc: bool = True, tie_break:
     c = F.col(column).desc_nulls_last() if desc else F.col(column).asc_nulls_last()
     order = [c] + ([F.col(tie_break)] if tie_break else [])
     return df.orderBy(*order).limit(n)
-
-
-def chunk_rows(df: DataFrame, size: int, position: str = "line_no", within: str = "file_key") -> DataFrame:
-    """Batch id of each row: ``floor((position-1)/size)`` within its file."""
-    return df.withColumn("batch_id", F.floor((F.col(position) - 1) / size).cast("long"))

@@ -74,6 +74,15 @@ def file_counts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("provider", "processing_status").agg(F.count(F.lit(1)).alias("file_count"))
 
 
+def completion_counts(ledger: DataFrame, status: str, start: str, end: str) -> DataFrame:
+    """Files completed before ``end``; of these with ``status``; with
+    ``status`` and completed from ``start`` to ``end``."""
+    at, st = F.col("processing_completed_at"), F.col("processing_status") == status
+    return ledger.agg(F.count_if(at < ts(end)).alias("completed_before"),
+                      F.count_if(st & (at < ts(end))).alias("status_before"),
+                      F.count_if(st & at.between(ts(start), ts(end))).alias("status_between"))
+
+
 def file_statistics(ledger: DataFrame) -> DataFrame:
     """Per provider totals by status, success and failure rate in %
     (0 when the provider has no file; Q-12: total counts every file)."""
@@ -195,9 +204,15 @@ def health_thresholds(ledger: DataFrame, as_of: str, queue_size: int = 0, status
                       .alias("success_rate"), health.alias("health"))
 
 
-def metric_counters(metrics: DataFrame) -> DataFrame:
-    """Counters summed by metric and tags."""
-    return metrics.groupBy("metric", "provider", "status").agg(
+def as_rows(one: DataFrame, name: str = "metric") -> DataFrame:
+    """The columns of a one-row result as rows (``name``, value), all of one type."""
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).alias("value")) for c in one.columns])))
+
+
+def metric_counters(metrics: DataFrame, tags: tuple[str, ...] = ("provider", "status")) -> DataFrame:
+    """Counters summed by metric and tags (provider and status; operation
+    and success; endpoint, method and status: whatever columns a meter has)."""
+    return metrics.groupBy("metric", *tags).agg(
         F.count(F.lit(1)).alias("observations"), F.round(F.sum("value"), 6).alias("total"))
 
 

@@ -95,14 +95,30 @@ def transform_reviews(validated: DataFrame, as_of: str) -> DataFrame:
 
 
 def review_response(reviews: DataFrame, providers: DataFrame) -> DataFrame:
-    """API projection with the provider code joined in.  The provider
-    side is a dimension; AQE broadcasts it when its measured size is under
-    the threshold and falls back to a shuffle join otherwise."""
-    p = providers.select(F.col("code").alias("platform"), F.col("name").alias("provider_name"))
-    return reviews.join(p, "platform", "left").select(
-        "id", F.col("hotel_id").cast("long").alias("hotel_id"), "hotel_name", "platform", "provider_name",
-        "hotel_review_id", "rating", "review_title", "review_comments", "review_date",
-        "reviewer_display_name", "reviewer_country_name", "translate_source", "length_of_stay", "created_at")
+    """The 15 columns of the API, with the provider's code joined in
+    (``providers``: a dimension made by ``sized``, so reviews are not
+    shuffled while it is small)."""
+    p = providers.select(F.col("code").alias("_code"))
+    return reviews.join(p, F.col("platform") == F.col("_code"), "left").select(
+        "id", F.col("hotel_id").cast("long").alias("hotel_id"), "hotel_name", F.col("_code").alias("platform"),
+        "rating", F.col("rating_text_label").alias("rating_text"), "review_title", "review_comments", "review_date",
+        F.col("reviewer_country_name").alias("reviewer_country"), "room_type_name", "length_of_stay",
+        "reviewer_display_name", "review_negatives", "review_positives")
+
+
+def transformed_valid() -> Column:
+    """Hotel, provider and the provider's review id are all there."""
+    return F.col("hotel_id").isNotNull() & F.col("platform").isNotNull() & F.col("hotel_review_id").isNotNull()
+
+
+def review_status(failed: Column) -> Column:
+    """A review's status after processing."""
+    return F.when(failed, F.lit("FAILED")).otherwise(F.lit("PROCESSED"))
+
+
+def is_processed(status: Column) -> Column:
+    """Whether processing is complete; an unknown status is not."""
+    return F.coalesce(status == "PROCESSED", F.lit(False))
 
 
 def status_flags(df: DataFrame, status_col: str) -> DataFrame:

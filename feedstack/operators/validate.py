@@ -133,8 +133,9 @@ def entity_errors(reviews: DataFrame, as_of: str) -> Column:
     ]
     cols = set(reviews.columns)
     for name, limit in K.REVIEW_MAX_LENGTHS:
-        if name in cols:
-            rules.append(F.when(F.length(F.col(name)) > limit, F.lit(f"{name} exceeds {limit} characters")))
+        stored = "rating_text_label" if name == "rating_text" else name
+        if stored in cols:
+            rules.append(F.when(F.length(F.col(stored)) > limit, F.lit(f"{name} exceeds {limit} characters")))
     return _errors(*rules)
 
 

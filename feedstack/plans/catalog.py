@@ -55,7 +55,7 @@ def _staged(spark, sf):
 
 
 def _providers(spark, sf):
-    return P.providers_from_feed(spark, TD.review_base(spark, sf).select("provider_name"))
+    return P.sized(P.lookup_or_create(spark, TD.feed_names(spark, sf)))
 
 
 # ----------------------------------------------------------------------------
@@ -98,6 +98,7 @@ SELECT file_key, count(*) AS total_lines,
        count(*) FILTER (WHERE outcome NOT IN ('blank', 'malformed')) AS processed_count,
        count(*) FILTER (WHERE outcome = 'valid') AS valid_count,
        count(*) FILTER (WHERE outcome IN ('invalid', 'failed')) AS invalid_count,
+       count(*) FILTER (WHERE outcome = 'failed') AS failed_count,
        count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_count,
        count(*) FILTER (WHERE outcome = 'blank') AS blank_count,
        count(*) FILTER (WHERE outcome = 'malformed') AS malformed_count,
@@ -165,10 +166,37 @@ def q_provider_scores(spark, sf):
         F.round(F.avg(F.col("grades")["Cleanliness"]), 6).alias("average_cleanliness"))
 
 
-@register("file_result", None)
+@register("file_result", with_ctes(["staged"], """
+SELECT file_key, valid AS saved_reviews, bad + lost AS total_errors, bad AS validation_errors, lost AS transformation_errors,
+       CASE WHEN valid + bad + lost > 0 THEN round((bad + lost) * 100.0 / (valid + bad + lost), 6) ELSE 0.0 END AS error_rate,
+       valid > 0 AND bad + lost = 0 AND n_errors = 0 AS successful,
+       'File: ' || file_key || ', Saved: ' || valid || ', Errors: ' || (bad + lost) || ' (V:' || bad || ', T:' || lost
+         || ', P:0, D:0)' AS summary,
+       CASE WHEN n_errors > 0 THEN array_to_string(texts[greatest(1, len(texts) - 49):][:10], '; ')
+         || CASE WHEN n_errors > 10 THEN '... (+' || (n_errors - 10) || ' more)' ELSE '' END END AS error_summary
+FROM (SELECT file_key, count(*) FILTER (WHERE outcome = 'valid') AS valid, count(*) FILTER (WHERE outcome = 'invalid') AS bad,
+             count(*) FILTER (WHERE outcome = 'failed') AS lost, CAST(sum(len(line_errors)) AS BIGINT) AS n_errors,
+             flatten(list(list_transform(line_errors, lambda e: 'Line ' || line_no || ': ' || e) ORDER BY line_no)) AS texts
+      FROM tagged GROUP BY file_key)"""))
 def q_file_result(spark, sf):
     r = E.file_result(_tagged(spark, sf))
-    return r.select("file_key", "saved_reviews", "total_errors", "error_rate", "successful", "error_summary")
+    return r.select("file_key", "saved_reviews", "total_errors", "validation_errors", "transformation_errors", "error_rate",
+                    "successful", "summary", "error_summary")
+
+
+@register("chunk_total", with_ctes(["staged"], """
+SELECT file_key, count(DISTINCT floor((line_no - 1) / 2)) AS chunks,
+       CAST(count(*) FILTER (WHERE outcome NOT IN ('blank', 'malformed')) AS BIGINT) AS processed_count,
+       count(*) FILTER (WHERE outcome = 'valid') AS valid_count,
+       count(*) FILTER (WHERE outcome IN ('invalid', 'failed')) AS invalid_count,
+       count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_count, CAST(sum(len(line_errors)) AS BIGINT) AS error_count,
+       CASE WHEN count(*) FILTER (WHERE outcome NOT IN ('blank', 'malformed')) = 0 THEN 'COMPLETED'
+            WHEN count(*) FILTER (WHERE outcome = 'valid') = 0 THEN 'FAILED'
+            WHEN count(*) FILTER (WHERE outcome IN ('invalid', 'failed')) > 0 OR sum(len(line_errors)) > 0 THEN 'FAILED'
+            ELSE 'COMPLETED' END AS status
+FROM tagged GROUP BY file_key"""))
+def q_chunk_total(spark, sf):
+    return E.chunk_total(E.chunk_rollup(_tagged(spark, sf), chunk_size=2))
 
 
 @register("chunk_rollup", with_ctes(["staged"], """
@@ -201,9 +229,9 @@ def q_filter_all(spark, sf):
 
 
 @register("filter_country_hotel", with_ctes(["reviews"], """
-SELECT id, hotel_id, reviewer_country_name FROM reviews WHERE hotel_id = 1 AND reviewer_country_name = 'NATION_1'"""))
+SELECT id, hotel_id, reviewer_country_name FROM reviews WHERE hotel_id = 4 AND reviewer_country_name = 'NATION_3'"""))
 def q_filter_country_hotel(spark, sf):
-    f = query.ReviewFilter(hotel_id=1, reviewer_country="NATION_1")
+    f = query.ReviewFilter(hotel_id=4, reviewer_country="NATION_3")
     return query.apply_filters(TD.reviews(spark, sf), f).select("id", "hotel_id", "reviewer_country_name")
 
 
@@ -240,6 +268,37 @@ def q_page_keyset(spark, sf):
     return query.page_after(TD.reviews(spark, sf), "1998-06-01 00:00:00", 5000, 20).select("id", "review_date")
 
 
+@register("page_first", with_ctes(["reviews"], """
+SELECT id, review_date FROM (SELECT id, CASE WHEN id % 3001 > 0 THEN review_date END AS review_date FROM reviews)
+ORDER BY review_date DESC NULLS FIRST, id LIMIT 20"""))
+def q_page_first(spark, sf):
+    """P2 from the start, over reviews of which some have no date."""
+    r = TD.reviews(spark, sf).withColumn("review_date", F.when(F.col("id") % 3001 > 0, F.col("review_date")))
+    return query.page_after(r, size=20).select("id", "review_date")
+
+
+@register("hotel_language_page", with_ctes(["reviews"], """
+SELECT id, review_date FROM reviews WHERE hotel_id = 4 AND translate_source = 'es'
+ORDER BY review_date DESC NULLS FIRST, id LIMIT 5 OFFSET 5"""))
+def q_hotel_language_page(spark, sf):
+    return query.hotel_language_page(TD.reviews(spark, sf), 4, "es", page_no=1, size=5).select("id", "review_date")
+
+
+@register("review_by_id", with_ctes(["reviews"], """
+SELECT id, hotel_id, platform, rating FROM reviews WHERE id = (SELECT max(id) FROM reviews)"""))
+def q_review_by_id(spark, sf):
+    r = TD.reviews(spark, sf)
+    return query.review_by_id(r, r.agg(F.max("id")).first()[0]).select("id", "hotel_id", "platform", "rating")
+
+
+@register("review_file_join", with_ctes(["reviews", "ledger"], """
+SELECT r.id, r.processed_file_key, f.etag, f.processing_status AS file_status
+FROM reviews r LEFT JOIN processed_files f ON r.processed_file_key = f.s3_key AND f.id % 10 > 0"""))
+def q_review_file_join(spark, sf):
+    files = ledger.current_state(TD.processed_files(spark, sf).filter("id % 10 > 0"))
+    return query.review_files(TD.reviews(spark, sf), files).select("id", "processed_file_key", "etag", "file_status")
+
+
 @register("review_statistics", with_ctes(["reviews"], """
 SELECT count(*) AS total_reviews, coalesce(round(avg(rating), 6), 0.0) AS average_rating
 FROM reviews WHERE platform = 'EXPEDIA' AND rating >= 3.0"""))
@@ -269,7 +328,7 @@ providers AS (
   SELECT * FROM (VALUES {", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', '{r[3]}', {str(r[4]).lower()}, {r[5]}, '{r[6]}', '{r[7]}')" for r in P.SEED_ROWS)})
     AS t(id, name, code, external_id, is_active, rating_scale, supported_languages, api_endpoint)
   UNION ALL
-  SELECT CAST(('0x' || substr(md5(name), 1, 15)) AS BIGINT), name, upper(name), NULL, true, NULL, NULL, NULL
+  SELECT CAST(('0x' || substr(md5(name), 1, 15)) AS BIGINT), name, upper(name), NULL, true, 5.0, 'en', NULL
   FROM (SELECT DISTINCT provider_name AS name FROM base)
   WHERE name NOT IN ({", ".join(f"'{r[1]}'" for r in P.SEED_ROWS)})
 )"""
@@ -290,11 +349,30 @@ def q_count_by_provider(spark, sf):
 
 @register("provider_counts", _with_providers("""
 SELECT count(*) AS total_providers, count(*) FILTER (WHERE is_active) AS active_providers,
-       count(*) FILTER (WHERE rating_scale IS NULL) AS created_providers FROM providers"""))
+       count(*) FILTER (WHERE external_id IS NULL) AS created_providers FROM providers"""))
 def q_provider_counts(spark, sf):
     p = _providers(spark, sf)
     return p.agg(F.count(F.lit(1)).alias("total_providers"), F.count_if("is_active").alias("active_providers"),
-                 F.count_if(F.col("rating_scale").isNull()).alias("created_providers"))
+                 F.count_if(F.col("external_id").isNull()).alias("created_providers"))
+
+
+@register("providers_active", _with_providers("""
+SELECT name, code, rating_scale, supported_languages FROM providers WHERE is_active AND name <> 'Booking' ORDER BY name"""))
+def q_providers_active(spark, sf):
+    p = P.set_active(_providers(spark, sf), "Booking", False)
+    return P.providers_active(p).select("name", "code", "rating_scale", "supported_languages")
+
+
+@register("ingest_providers", with_ctes(["staged"], f"""
+SELECT * FROM (VALUES {", ".join(f"('{x[1]}', '{x[2]}', {x[5]}, '{x[6]}')" for x in P.SEED_ROWS)})
+  AS t(name, code, rating_scale, supported_languages)
+UNION ALL
+SELECT DISTINCT provider, upper(provider), 5.0, 'en' FROM tagged
+WHERE stage = 'candidate' AND provider NOT IN ({", ".join(f"'{x[1]}'" for x in P.SEED_ROWS)})"""))
+def q_ingest_providers(spark, sf):
+    """X2 within E1: only names of valid lines create a provider."""
+    names = _staged(spark, sf).filter(F.col("stage") == "candidate").select("provider_name")
+    return P.lookup_or_create(spark, names).select("name", "code", "rating_scale", "supported_languages")
 
 
 @register("provider_lookup", _with_providers("""
@@ -366,27 +444,29 @@ UNION ALL SELECT id, 'high_rated' FROM reviews WHERE rating > 9.5
 UNION ALL SELECT id, 'recent_reviews' FROM reviews WHERE created_at >= TIMESTAMP '2001-06-01 00:00:00'
 UNION ALL SELECT id, 'created_between' FROM reviews WHERE created_at BETWEEN TIMESTAMP '1995-02-01 00:00:00' AND TIMESTAMP '1995-02-28 00:00:00'
 UNION ALL SELECT id, 'by_hotel' FROM reviews WHERE hotel_id = 42
+UNION ALL SELECT id, 'by_provider' FROM reviews WHERE platform = 'EXPEDIA'
+UNION ALL SELECT id, 'hotel_and_provider' FROM reviews WHERE hotel_id = 1317 AND provider_id = 2
+UNION ALL SELECT id, 'rating_at_least' FROM reviews WHERE rating >= 9.0
 UNION ALL SELECT id, 'complex_criteria' FROM reviews WHERE hotel_id = 1317 AND review_date BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '2001-12-31 00:00:00' AND rating >= 5.0"""))
 def q_named_finders(spark, sf):
-    r = TD.reviews(spark, sf)
-    parts = [
-        (query.by_column(r, "translate_source", "de"), "by_language"),
-        (query.by_column(r, "reviewer_display_name", "Customer#000000377"), "by_reviewer"),
-        (query.rating_between(r, 3.0, 4.0), "rating_between"),
-        (query.date_between(r, "1999-03-01 00:00:00", "1999-03-31 00:00:00"), "date_between"),
-        (query.hotel_min_rating(r, 1317, 5.0), "hotel_min_rating"),
-        (query.hotel_name_contains(r, "Widget"), "hotel_name_contains"),
-        (query.high_rated(r, 9.5), "high_rated"),
-        (query.recent_reviews(r, "2001-06-01 00:00:00"), "recent_reviews"),
-        (query.date_between(r, "1995-02-01 00:00:00", "1995-02-28 00:00:00", column="created_at"), "created_between"),
-        (query.by_column(r, "hotel_id", 42), "by_hotel"),
-        (query.complex_criteria(r, 1317, "1995-01-01 00:00:00", "2001-12-31 00:00:00", 5.0), "complex_criteria"),
-    ]
-    out = None
-    for df, name in parts:
-        d = df.select("id", F.lit(name).alias("finder"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """Every finder of the store in one pass."""
+    return query.matches(TD.reviews(spark, sf), {
+        "by_language": query.equal(translate_source="de"),
+        "by_reviewer": query.equal(reviewer_display_name="Customer#000000377"),
+        "by_provider": query.equal(platform="EXPEDIA"),
+        "by_hotel": query.equal(hotel_id=42),
+        "hotel_and_provider": query.equal(hotel_id=1317, provider_id=2),
+        "rating_at_least": query.at_least("rating", 9.0),
+        "rating_between": query.between("rating", 3.0, 4.0),
+        "date_between": query.time_between("review_date", "1999-03-01 00:00:00", "1999-03-31 00:00:00"),
+        "created_between": query.time_between("created_at", "1995-02-01 00:00:00", "1995-02-28 00:00:00"),
+        "hotel_min_rating": query.equal(hotel_id=1317) & query.at_least("rating", 5.0),
+        "hotel_name_contains": query.contains_ci("hotel_name", "Widget"),
+        "high_rated": F.col("rating") > 9.5,
+        "recent_reviews": query.since("created_at", "2001-06-01 00:00:00"),
+        "complex_criteria": query.equal(hotel_id=1317) & query.at_least("rating", 5.0) & query.time_between(
+            "review_date", "1995-01-01 00:00:00", "2001-12-31 00:00:00"),
+    }, ["id"])
 
 
 @register("exists_external", with_ctes(["reviews"], """
@@ -424,15 +504,28 @@ def q_review_row_functions(spark, sf):
 
 
 @register("review_response", _with_providers("""
-SELECT r.id, r.hotel_id, r.hotel_name, r.platform, p.name AS provider_name, r.hotel_review_id, r.rating,
-       r.review_date, r.reviewer_country_name, r.length_of_stay
+SELECT r.id, r.hotel_id, r.hotel_name, p.code AS platform, r.rating, r.rating_text_label AS rating_text, r.review_title,
+       r.review_comments, r.review_date, r.reviewer_country_name AS reviewer_country, r.room_type_name, r.length_of_stay,
+       r.reviewer_display_name, r.review_negatives, r.review_positives
 FROM reviews r LEFT JOIN providers p ON r.platform = p.code WHERE r.rating >= 9.0"""))
 def q_review_response(spark, sf):
     from ..operators.transform import review_response
     r = TD.reviews(spark, sf).filter(F.col("rating") >= 9.0)
-    return review_response(r, _providers(spark, sf)).select(
-        "id", "hotel_id", "hotel_name", "platform", "provider_name", "hotel_review_id", "rating", "review_date",
-        "reviewer_country_name", "length_of_stay")
+    return review_response(r, _providers(spark, sf))
+
+
+@register("review_status", with_ctes(["reviews"], f"""
+SELECT id, processing_status, processing_status = 'PROCESSED' AS is_processed, transformed_valid FROM (
+  SELECT id, CASE WHEN hotel_id IS NULL OR platform IS NULL OR hotel_review_id IS NULL OR rating IS NULL OR rating < 0 OR rating > 10
+                    OR review_date IS NULL OR review_date > TIMESTAMP '{AS_OF}' THEN 'FAILED' ELSE 'PROCESSED' END AS processing_status,
+         hotel_id IS NOT NULL AND platform IS NOT NULL AND hotel_review_id IS NOT NULL AS transformed_valid
+  FROM reviews)"""))
+def q_review_status(spark, sf):
+    from ..operators import transform
+    v = validate.entity_constraints(TD.reviews(spark, sf), AS_OF)
+    v = v.withColumn("processing_status", transform.review_status(F.size("errors") > 0))
+    return v.select("id", "processing_status", transform.is_processed(F.col("processing_status")).alias("is_processed"),
+                    transform.transformed_valid().alias("transformed_valid"))
 
 
 # ----------------------------------------------------------------------------
@@ -515,6 +608,57 @@ def q_file_counts(spark, sf):
     return stats.file_counts(TD.processed_files(spark, sf))
 
 
+@register("completion_counts", with_ctes(["ledger"], """
+SELECT count(*) FILTER (WHERE processing_completed_at < TIMESTAMP '2000-01-01 00:00:00') AS completed_before,
+       count(*) FILTER (WHERE processing_status = 'FAILED' AND processing_completed_at < TIMESTAMP '2000-01-01 00:00:00') AS status_before,
+       count(*) FILTER (WHERE processing_status = 'FAILED' AND processing_completed_at
+                          BETWEEN TIMESTAMP '1998-01-01 00:00:00' AND TIMESTAMP '2000-01-01 00:00:00') AS status_between
+FROM processed_files"""))
+def q_completion_counts(spark, sf):
+    return stats.completion_counts(TD.processed_files(spark, sf), "FAILED", "1998-01-01 00:00:00", "2000-01-01 00:00:00")
+
+
+_RENAMED = "CASE WHEN id % 3 = 0 THEN upper(etag) || '-2' ELSE etag END"
+
+
+@register("duplicate_files", with_ctes(["ledger"], "SELECT s3_key, etag FROM processed_files WHERE id % 3 <> 0"))
+def q_duplicate_files(spark, sf):
+    """A third of the listed files has a new version."""
+    lf = TD.processed_files(spark, sf)
+    return ledger.duplicate_files(lf.withColumn("etag", F.expr(_RENAMED)).select("s3_key", "etag"), lf)
+
+
+@register("is_processed", with_ctes(["ledger"], """
+SELECT s3_key, 'by_key' AS check_name FROM processed_files WHERE processing_status = 'COMPLETED'
+UNION ALL SELECT s3_key, 'by_key_and_etag' FROM processed_files WHERE processing_status = 'COMPLETED' AND id % 3 <> 0"""))
+def q_is_processed(spark, sf):
+    lf = TD.processed_files(spark, sf)
+    listed = lf.withColumn("etag", F.expr(_RENAMED)).select("s3_key", "etag")
+    return ledger.is_processed(listed, lf).select("s3_key", F.lit("by_key").alias("check_name")).unionByName(
+        ledger.is_processed(listed, lf, with_etag=True).select("s3_key", F.lit("by_key_and_etag").alias("check_name")))
+
+
+@register("file_finders", with_ctes(["ledger"], "").rstrip() + """,
+current AS (SELECT s3_key, provider, created_at, processing_status FROM processed_files WHERE id % 5 <> 0
+                 UNION ALL SELECT s3_key, provider, created_at, 'SKIPPED' FROM processed_files WHERE id % 5 = 0)
+SELECT s3_key, processing_status, 'by_status' AS finder FROM current WHERE processing_status = 'SKIPPED'
+UNION ALL SELECT s3_key, processing_status, 'by_provider_and_status' FROM current WHERE provider = 'Agoda' AND processing_status = 'FAILED'
+UNION ALL SELECT s3_key, processing_status, 'created_after' FROM current WHERE created_at >= TIMESTAMP '2001-06-01 00:00:00'
+UNION ALL SELECT s3_key, processing_status, 'by_key' FROM current WHERE s3_key = (SELECT max(s3_key) FROM processed_files)""")
+def q_file_finders(spark, sf):
+    """L7 and L8 over a log in which every fifth file has a second event."""
+    lf = TD.processed_files(spark, sf)
+    again = lf.filter("id % 5 = 0").withColumns({
+        "processing_status": F.lit("SKIPPED"), "id": F.col("id") + 1, "updated_at": F.expr("updated_at + interval 1 hour")})
+    last = lf.agg(F.max("s3_key")).first()[0]
+    return query.matches(ledger.current_state(lf.unionByName(again)), {
+        "by_status": query.equal(processing_status="SKIPPED"),
+        "by_provider_and_status": query.equal(provider="Agoda", processing_status="FAILED"),
+        "created_after": query.since("created_at", "2001-06-01 00:00:00"),
+        "by_key": query.equal(s3_key=last),
+    }, ["s3_key", "processing_status"])
+
+
 @register("file_statistics", with_ctes(["ledger"], """
 SELECT provider, count(*) AS total_files,
        count(*) FILTER (WHERE processing_status = 'PENDING') AS pending_files,
@@ -755,7 +899,15 @@ def q_metric_gauges(spark, sf):
     return stats.metric_gauges(TD.metrics(spark, sf))
 
 
-@register("metric_timers", None)
+def _rank_sql(p: float) -> str:
+    return f"values_[CAST(ceil({p} * len(values_)) AS BIGINT)]"
+
+
+@register("metric_timers", with_ctes(["metrics"], f"""
+SELECT metric, provider, len(values_) AS count, round(list_sum(values_), 6) AS total_ms, values_[-1] AS max_ms,
+       {_rank_sql(0.5)} AS p50_ms, {_rank_sql(0.95)} AS p95_ms, {_rank_sql(0.99)} AS p99_ms,
+       {", ".join(f"len(list_filter(values_, lambda x: x <= {b})) AS le_{b}ms" for b in K.SLO_BUCKETS_MS)}
+FROM (SELECT metric, provider, list(value ORDER BY value) AS values_ FROM metrics GROUP BY 1, 2)"""))
 def q_metric_timers(spark, sf):
     return stats.metric_timers(TD.metrics(spark, sf))
 
@@ -804,13 +956,13 @@ WHERE NOT EXISTS (SELECT 1 FROM providers p WHERE p.code = r.platform)
 UNION ALL
 SELECT 'providers_in_use', count(*) FROM providers p WHERE EXISTS (SELECT 1 FROM reviews r WHERE r.platform = p.code)"""))
 def q_referential_check(spark, sf):
-    r, p = TD.reviews(spark, sf), _providers(spark, sf)
-    codes = p.select(F.col("code").alias("platform"))
-    orphans = r.join(codes, "platform", "left_anti").agg(F.count(F.lit(1)).alias("value")) \
-        .select(F.lit("orphan_reviews").alias("check_name"), "value")
-    in_use = codes.join(r.select("platform"), "platform", "left_semi").agg(F.count(F.lit(1)).alias("value")) \
-        .select(F.lit("providers_in_use").alias("check_name"), "value")
-    return orphans.unionByName(in_use)
+    """Reviews are counted by platform first, so only a row for each platform meets the providers."""
+    per = TD.reviews(spark, sf).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
+    codes = _providers(spark, sf).select(F.col("code").alias("platform"), F.lit(True).alias("known"))
+    one = per.join(codes, "platform", "left").agg(
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("orphan_reviews"),
+        F.count_if("known").alias("providers_in_use"))
+    return stats.as_rows(one, "check_name")
 
 
 @register("comment_keys", with_ctes(["parsed"], """
@@ -885,10 +1037,6 @@ def q_health_thresholds(spark, sf):
     return stats.health_thresholds(TD.processed_files(spark, sf), LEDGER_AS_OF)
 
 
-def _metric_row(df: DataFrame, name: str, value) -> DataFrame:
-    return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-
-
 @register("system_metrics", with_ctes(["reviews", "ledger", "jobs"], f"""
 SELECT 'total_reviews' AS metric, CAST(count(*) AS DOUBLE) AS value FROM reviews
 UNION ALL SELECT 'reviews_last_24h', CAST(count(*) AS DOUBLE) FROM reviews
@@ -903,25 +1051,21 @@ UNION ALL SELECT 'jobs_completed_24h', CAST(count(*) AS DOUBLE) FROM processing_
 UNION ALL SELECT 'reviews_from_jobs_24h', CAST(coalesce(sum(total_reviews), 0) AS DOUBLE) FROM processing_jobs
   WHERE created_at >= TIMESTAMP '{JOB_AS_OF}' - INTERVAL 24 HOUR"""))
 def q_system_metrics(spark, sf):
+    """One aggregate for each of the three tables."""
     from ..functions.dates import shift, ts
-    r, lf, j = TD.reviews(spark, sf), TD.processed_files(spark, sf), TD.processing_jobs(spark, sf)
-    day = stats.files_today(lf, LEDGER_AS_OF)
     since = shift(ts(JOB_AS_OF), hours=-24)
-    parts = [
-        _metric_row(r, "total_reviews", F.count(F.lit(1))),
-        _metric_row(r.filter(F.col("created_at") >= shift(ts(AS_OF), hours=-24)), "reviews_last_24h", F.count(F.lit(1))),
-        _metric_row(r, "average_rating", F.round(F.avg("rating"), 6)),
-        day.select(F.lit("files_processed_today").alias("metric"), F.col("processed_today").cast("double").alias("value")),
-        day.select(F.lit("files_failed_today").alias("metric"), F.col("failed_today").cast("double").alias("value")),
-        _metric_row(j.filter((F.col("status") == "COMPLETED") & (F.col("created_at") >= since)), "jobs_completed_24h",
-                    F.count(F.lit(1))),
-        _metric_row(j.filter(F.col("created_at") >= since), "reviews_from_jobs_24h",
-                    F.coalesce(F.sum("total_reviews"), F.lit(0))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    recent = F.col("created_at") >= since
+    r = TD.reviews(spark, sf).agg(
+        F.count(F.lit(1)).cast("double").alias("total_reviews"),
+        F.count_if(F.col("created_at") >= shift(ts(AS_OF), hours=-24)).cast("double").alias("reviews_last_24h"),
+        F.round(F.avg("rating"), 6).alias("average_rating"))
+    f = stats.files_today(TD.processed_files(spark, sf), LEDGER_AS_OF).select(
+        F.col("processed_today").cast("double").alias("files_processed_today"),
+        F.col("failed_today").cast("double").alias("files_failed_today"))
+    j = TD.processing_jobs(spark, sf).agg(
+        F.count_if(recent & (F.col("status") == "COMPLETED")).cast("double").alias("jobs_completed_24h"),
+        F.coalesce(F.sum(F.when(recent, F.col("total_reviews"))), F.lit(0)).cast("double").alias("reviews_from_jobs_24h"))
+    return stats.as_rows(r).unionByName(stats.as_rows(f)).unionByName(stats.as_rows(j))
 
 
 @register("provider_metrics", _with_providers("""
@@ -1052,6 +1196,45 @@ def q_job_files_join(spark, sf):
     return ledger.job_files_join(ledger.ledger_runs(TD.processed_files(spark, sf)))
 
 
+@register("job_file_rows", with_ctes(["ledger"], """
+SELECT run_id, list, s3_key FROM (
+  SELECT DISTINCT provider || '-' || strftime(created_at, '%Y-%m-%d') AS run_id FROM processed_files)
+LEFT JOIN (SELECT provider || '-' || strftime(created_at, '%Y-%m-%d') AS run_id, s3_key,
+                  CASE processing_status WHEN 'COMPLETED' THEN 'processed' ELSE 'failed' END AS list
+           FROM processed_files WHERE processing_status IN ('COMPLETED', 'FAILED')) USING (run_id)"""))
+def q_job_file_rows(spark, sf):
+    return ledger.job_file_rows(ledger.ledger_runs(TD.processed_files(spark, sf)))
+
+
+@register("job_summary", with_ctes(["ledger"], """
+SELECT *, 'Processing completed for job: ' || run_id || '. Files processed: ' || processed_files || ', Failed: ' || failed_files
+          || ', Total reviews: ' || total_reviews AS summary
+FROM (SELECT provider || '-' || strftime(created_at, '%Y-%m-%d') AS run_id,
+             count(*) FILTER (WHERE processing_status = 'COMPLETED') AS processed_files,
+             count(*) FILTER (WHERE processing_status = 'FAILED') AS failed_files,
+             CAST(coalesce(sum(records_processed) FILTER (WHERE processing_status = 'COMPLETED'), 0) AS BIGINT) AS total_reviews
+      FROM processed_files GROUP BY 1)"""))
+def q_job_summary(spark, sf):
+    return ledger.job_summary(ledger.ledger_runs(TD.processed_files(spark, sf)))
+
+
+@register("retry_jobs", with_ctes(["jobs"], f"""
+SELECT processing_id || '-retry' AS processing_id, 'PENDING' AS status, provider, true AS is_asynchronous, s3_prefix, max_files,
+       'RETRY_' || processing_id AS triggered_by, TIMESTAMP '{JOB_AS_OF}' AS created_at
+FROM processing_jobs WHERE status = 'FAILED'"""))
+def q_retry_jobs(spark, sf):
+    return ledger.retry_jobs(TD.processing_jobs(spark, sf), JOB_AS_OF)
+
+
+@register("select_all_job_files", with_ctes(["ledger"], """
+SELECT s3_key, last_modified_date FROM processed_files
+WHERE contains(lower(s3_key), 'urgent') AND processing_status <> 'COMPLETED'"""))
+def q_select_all_job_files(spark, sf):
+    """L21 without a limit, for the keys that name a feed."""
+    return ledger.select_job_files(_files(spark, sf), TD.processed_files(spark, sf), "URGENT") \
+        .select("s3_key", "last_modified_date")
+
+
 @register("replay_failed", with_ctes(["staged"], """
 SELECT file_key, count(*) AS total_lines, count(*) FILTER (WHERE outcome = 'valid') AS valid_count,
        count(*) FILTER (WHERE outcome IN ('invalid', 'failed')) AS invalid_count

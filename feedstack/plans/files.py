@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ts
 from ..operators.ledger import filter_unprocessed
+from ..sources import providers as P
 from ..sources import tables
 from ..sources.files import list_files, scan_lines
 from . import ingest as E
@@ -28,6 +29,7 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, batch_id: str
     tagged = E.tag_lines(lined, store=prior)
     tables.write_reviews(E.stored_reviews(tagged), f"{root}/reviews", batch_id)
     tables.write_batch(E.reject_lines(lined), f"{root}/rejects", batch_id)
+    tables.write_batch(_new_providers(spark, lined, root, batch_id), f"{root}/providers", batch_id)
     result = E.file_result(tagged)
     first_provider = lined.groupBy("file_key").agg(F.min("provider").alias("provider"))
     result = result.join(first_provider, "file_key", "left")
@@ -50,6 +52,17 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, batch_id: str
     return spark.read.parquet(f"{root}/ledger/batch_id={batch_id}")
 
 
+def _new_providers(spark: SparkSession, lined: DataFrame, root: str, batch_id: str) -> DataFrame:
+    """The providers that a batch creates, from the names of its valid
+    lines; those of other batches and the sample rows are known."""
+    known = P.seed_providers(spark)
+    prior = tables.read_store(spark, f"{root}/providers")
+    if prior is not None:
+        known = known.unionByName(prior.filter(F.col("batch_id") != batch_id).select(*known.columns))
+    names = lined.filter(F.col("stage") == "candidate").select(F.col("provider_name"))
+    return P.created_providers(names, known)
+
+
 def ingest_files(spark: SparkSession, folder: str, root: str, batch_id: str, as_of: str,
                  only_new: bool = True) -> DataFrame:
     """The JSON-Lines files of a folder (S2) that the ledger does not have

@@ -101,7 +101,8 @@ reviews AS (
          n_name AS reviewer_country_name, stay AS length_of_stay, l_linenumber AS reviewer_review_count,
          o_orderdate AS created_at,
          sha256(CAST(l_partkey AS VARCHAR) || '|' || {norm_text('comments')} || '|' || rating_text) AS content_hash,
-         file_key AS processed_file_key, line_no
+         file_key AS processed_file_key, line_no, rating_text || ' of 10' AS rating_text_label, p_type AS room_type_name,
+         lower(c_mktsegment) AS review_positives, CASE WHEN l_linenumber % 2 = 0 THEN p_brand END AS review_negatives
   FROM base
 )"""
 
@@ -311,16 +312,6 @@ review_texts AS (
   FROM documents
 )"""
 
-PROVIDERS = """
-providers AS (
-  SELECT * FROM (VALUES
-    (1, 'Agoda', 'AGODA', '332', true, 10.0, 'en,fr,de,es', 'https://api.agoda.example/reviews'),
-    (2, 'Booking', 'BOOKING', '333', true, 10.0, 'en,fr,de', 'https://api.booking.example/reviews'),
-    (3, 'Expedia', 'EXPEDIA', '334', true, 10.0, 'en,es', 'https://api.expedia.example/reviews'),
-    (4, 'Airbnb', 'AIRBNB', '335', true, 5.0, 'en', NULL)
-  ) AS t(id, name, code, external_id, is_active, rating_scale, supported_languages, api_endpoint)
-)"""
-
 
 def with_ctes(names: list[str], body: str, as_of: str = TD.REVIEW_AS_OF, lines_filter: str | None = None) -> str:
     """Assemble ``WITH <ctes> <body>``; dependencies are pulled in."""
@@ -349,6 +340,4 @@ def with_ctes(names: list[str], body: str, as_of: str = TD.REVIEW_AS_OF, lines_f
         parts.append(METRICS)
     if "texts" in need:
         parts.append(TEXTS)
-    if "providers" in need:
-        parts.append(PROVIDERS)
     return "WITH " + ",".join(p.strip() for p in parts) + "\n" + body

@@ -97,6 +97,12 @@ def review_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The provider names of all review lines: one column of ``lineitem``."""
+    feed = F.pmod(F.col("l_suppkey"), F.lit(4))
+    return table(spark, sf_dir, "lineitem").select(_pick(feed, FEED_NAMES).alias("provider_name"))
+
+
 def review_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_key, line_no, line): JSON-Lines text as a feed would deliver it."""
     b = review_base(spark, sf_dir)
@@ -179,6 +185,10 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws("|", _s(F.col("l_partkey")), norm, F.col("rating_text")), 256).alias("content_hash"),
         F.col("file_key").alias("processed_file_key"),
         F.col("line_no"),
+        F.concat(F.col("rating_text"), F.lit(" of 10")).alias("rating_text_label"),
+        F.col("p_type").alias("room_type_name"),
+        F.lower("c_mktsegment").alias("review_positives"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("p_brand")).alias("review_negatives"),
     )
 
 

@@ -10,23 +10,41 @@ keys (no unbounded streaming state).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.files import ingest_lines
+from ..sources import tables
 from ..sources.files import number_lines, stream_lines
 
 
-def stream_ingest(spark: SparkSession, source_dir: str, root: str, checkpoint: str, as_of: str,
+def batch_clock(spark: SparkSession, root: str, batch_id: str) -> str:
+    """The time (UTC) at which a batch first ran, written down before anything
+    else of it, so that a replay of the batch judges dates by the same clock."""
+    path = f"{root.rstrip('/')}/clock"
+    known = tables.read_store(spark, path)
+    found = None if known is None else known.filter(F.col("batch_id") == batch_id).first()
+    if found is not None:
+        return found.as_of
+    now = dt.datetime.now(dt.UTC).strftime("%Y-%m-%d %H:%M:%S")
+    tables.write_batch(spark.range(1).select(F.lit(now).alias("as_of")), path, batch_id)
+    return now
+
+
+def stream_ingest(spark: SparkSession, source_dir: str, root: str, checkpoint: str, as_of: str | None = None,
                   max_files_per_trigger: int = 100, available_now: bool = True,
                   processing_time: str = "10 seconds") -> StreamingQuery:
     """ST1 + ST2.  ``available_now`` drains what is there and stops (a
-    scheduled run); otherwise it polls every ``processing_time``."""
+    scheduled run); otherwise it polls every ``processing_time``.  Every batch
+    has its own clock; ``as_of`` fixes one for all (for past data)."""
     lines = stream_lines(spark, source_dir, max_files_per_trigger)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        ingest_lines(spark, number_lines(batch), root, f"e{epoch:08d}", as_of)
+        batch_id = f"e{epoch:08d}"
+        ingest_lines(spark, number_lines(batch), root, batch_id, as_of or batch_clock(spark, root, batch_id))
 
     w = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
@@ -34,14 +52,14 @@ def stream_ingest(spark: SparkSession, source_dir: str, root: str, checkpoint: s
 
 
 def stream_counters(spark: SparkSession, ledger_dir: str, checkpoint: str, query_name: str = "file_counters",
-                    ledger_schema: str = ("s3_key string, processing_status string, records_processed int, "
+                    ledger_schema: str = ("s3_key string, provider string, processing_status string, records_processed int, "
                                           "records_failed int, records_skipped int, error_message string, "
                                           "updated_at timestamp_ntz")) -> StreamingQuery:
-    """ST3: running counters of files and reviews by status, kept as
-    streaming aggregation state (bounded by the number of statuses) and
-    exposed as an in-memory table ``query_name``."""
+    """ST3: running counters of files and reviews by provider and status, kept
+    as streaming aggregation state (bounded by their numbers) and exposed as
+    an in-memory table ``query_name``."""
     events = spark.readStream.schema(ledger_schema).option("basePath", ledger_dir).parquet(f"{ledger_dir}/batch_id=*")
-    counts = events.groupBy("processing_status").agg(
+    counts = events.groupBy("provider", "processing_status").agg(
         F.count(F.lit(1)).alias("files"), F.sum("records_processed").alias("reviews"))
     return (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

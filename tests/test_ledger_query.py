@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from feedstack.operators import ledger, query, stats
@@ -75,3 +76,50 @@ def test_job_transitions_flag_illegal_moves(spark):
     out = {(r.processing_id, r.seq): r.legal for r in ledger.job_transitions(ev).collect()}
     assert out == {("j1", 0): True, ("j1", 1): True, ("j1", 2): True, ("j1", 3): False,
                    ("j2", 0): True, ("j2", 1): True}
+
+
+def test_first_page_and_rows_without_a_date(spark):
+    df = spark.createDataFrame([(1, None), (2, "2024-01-02 00:00:00"), (3, None), (4, "2024-01-03 00:00:00")],
+                               "id long, review_date string").withColumn("review_date", F.col("review_date").cast("timestamp_ntz"))
+    assert [r.id for r in query.page_after(df, size=2).collect()] == [1, 3]
+    assert [r.id for r in query.page_after(df, None, 1, 2).collect()] == [3, 4]
+    assert [r.id for r in query.page_after(df, "2024-01-03 00:00:00", 4, 2).collect()] == [2]
+
+
+def test_absent_review_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, platform string")
+    assert query.review_by_id(df, 1).count() == 1
+    with pytest.raises(LookupError):
+        query.review_by_id(df, 2)
+
+
+def test_trigger_checks():
+    ledger.check_trigger(10, 100, "reviews/", "me")
+    ledger.check_trigger(None, 100)
+    for args in ((0, 100), (101, 100), (5, 100, "  "), (5, 100, None, "x" * 101)):
+        with pytest.raises(ValueError):
+            ledger.check_trigger(*args)
+
+
+def test_retry_takes_failed_jobs_only(spark):
+    jobs = spark.createDataFrame([("a", "FAILED"), ("b", "COMPLETED")], "processing_id string, status string").withColumns(
+        {"provider": F.lit("AGODA"), "s3_prefix": F.lit("reviews/"), "max_files": F.lit(5)})
+    new = ledger.retry_job(jobs, "a", "2024-01-01 00:00:00").collect()
+    assert [(r.processing_id, r.status, r.triggered_by) for r in new] == [("a-retry", "PENDING", "RETRY_a")]
+    with pytest.raises(ValueError):
+        ledger.retry_job(jobs, "b", "2024-01-01 00:00:00")
+    with pytest.raises(LookupError):
+        ledger.retry_job(jobs, "c", "2024-01-01 00:00:00")
+
+
+def test_job_file_rows_keep_runs_without_files(spark):
+    runs = spark.createDataFrame([("r1", "k1", "COMPLETED"), ("r1", "k2", "FAILED"), ("r2", "k3", "PENDING")],
+                                 "run_id string, s3_key string, processing_status string")
+    rows = {(r.run_id, r["list"], r.s3_key) for r in ledger.job_file_rows(runs).collect()}
+    assert rows == {("r1", "processed", "k1"), ("r1", "failed", "k2"), ("r2", None, None)}
+
+
+def test_file_status_of_one_version(spark):
+    ev = _events(spark)
+    assert [r.processing_status for r in ledger.file_status(ev, "a").collect()] == ["COMPLETED"]
+    assert ledger.file_status(ev, "a", "other").count() == 0

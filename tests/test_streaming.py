@@ -1,6 +1,6 @@
 import os
 
-from feedstack.streaming.ingest import stream_counters, stream_ingest
+from feedstack.streaming.ingest import batch_clock, stream_counters, stream_ingest
 from helpers import AS_OF, line
 
 
@@ -23,5 +23,20 @@ def test_stream_ingest_once_and_dedup(spark, scratch):
     assert ledger.count() == 2
     q = stream_counters(spark, os.path.join(root, "ledger"), os.path.join(scratch, "ckpt2"))
     q.awaitTermination()
-    rows = {r.processing_status: (r.files, r.reviews) for r in spark.sql("SELECT * FROM file_counters").collect()}
-    assert rows == {"COMPLETED": (2, 3)}
+    rows = {(r.provider, r.processing_status): (r.files, r.reviews) for r in spark.sql("SELECT * FROM file_counters").collect()}
+    assert rows == {("Agoda", "COMPLETED"): (2, 3)}
+
+
+def test_every_batch_has_a_clock_and_a_replay_keeps_it(spark, scratch):
+    src, root = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.jl"), "w") as fh:
+        fh.write(line(hotelReviewId=1, reviewDate="2025-04-10") + "\n")
+    stream_ingest(spark, src, root, os.path.join(scratch, "ckpt")).awaitTermination()
+    first = spark.read.parquet(os.path.join(root, "clock")).collect()
+    assert [r.batch_id for r in first] == ["e00000000"]
+    assert batch_clock(spark, root, "e00000000") == first[0].as_of
+    # The same batch again (its checkpoint is lost) writes the same rows by the same clock.
+    stream_ingest(spark, src, root, os.path.join(scratch, "ckpt-new")).awaitTermination()
+    reviews = spark.read.parquet(os.path.join(root, "reviews")).collect()
+    assert [(r.hotel_review_id, str(r.created_at)) for r in reviews] == [("1", first[0].as_of)]
