@@ -38,10 +38,50 @@ def transform_failure() -> Column:
     return F.when(missing, F.lit(K.MSG_REVIEW_ID_MISSING))
 
 
+#: (stored column, name in the comment, type); of the comment itself and of its ``reviewerInfo``.
+COMMENT_FIELDS = [
+    ("provider_external_id", "providerId", "int"), ("formatted_rating", "formattedRating", "string"),
+    ("rating_text_label", "ratingText", "string"), ("review_positives", "reviewPositives", "string"),
+    ("review_negatives", "reviewNegatives", "string"), ("original_title", "originalTitle", "string"),
+    ("original_comment", "originalComment", "string"), ("translate_target", "translateTarget", "string"),
+    ("formatted_review_date", "formattedReviewDate", "string"),
+    ("check_in_date_month_and_year", "checkInDateMonthAndYear", "string"),
+    ("is_show_review_response", "isShowReviewResponse", "boolean"), ("responder_name", "responderName", "string"),
+    ("response_date_text", "responseDateText", "string"), ("formatted_response_date", "formattedResponseDate", "string"),
+    ("response_translate_source", "responseTranslateSource", "string"),
+    ("review_provider_logo", "reviewProviderLogo", "string"), ("review_provider_text", "reviewProviderText", "string"),
+    ("encrypted_review_data", "encryptedReviewData", "string"),
+]
+REVIEWER_FIELDS = [
+    ("reviewer_country_id", "countryId", "int"), ("reviewer_flag_name", "flagName", "string"),
+    ("review_group_name", "reviewGroupName", "string"), ("review_group_id", "reviewGroupId", "int"),
+    ("room_type_name", "roomTypeName", "string"), ("room_type_id", "roomTypeId", "int"),
+    ("length_of_stay", "lengthOfStay", "int"), ("reviewer_review_count", "reviewerReviewedCount", "int"),
+    ("is_expert_reviewer", "isExpertReviewer", "boolean"), ("is_show_global_icon", "isShowGlobalIcon", "boolean"),
+    ("is_show_reviewed_count", "isShowReviewedCount", "boolean"),
+]
+
+
+def _comment() -> Column:
+    """The comment with the fields of both lists; one of a wrong type is null
+    and leaves the others as they are."""
+    reviewer = ",".join(f"{name}:{kind}" for _, name, kind in REVIEWER_FIELDS)
+    own = ",".join(f"{name}:{kind}" for _, name, kind in COMMENT_FIELDS)
+    return F.try_variant_get("v", "$.comment", f"struct<{own},reviewerInfo:struct<{reviewer}>>")
+
+
+def _nested_columns(comment: Column) -> dict[str, Column]:
+    """The fields of ``_comment``; a missing flag is false."""
+    def read(parent: Column, name: str, kind: str) -> Column:
+        return F.coalesce(parent[name], F.lit(False)) if kind == "boolean" else parent[name]
+
+    return {**{c: read(comment, name, kind) for c, name, kind in COMMENT_FIELDS},
+            **{c: read(comment["reviewerInfo"], name, kind) for c, name, kind in REVIEWER_FIELDS}}
+
+
 def transformed_columns(as_of: str) -> dict[str, Column]:
     """T1-T9 column rules over ``validate_reviews`` output (rating and date
     values are the ones the rules already computed)."""
-    v = "v"
     return {
         "hotel_id": F.col("hotel_id").cast("long"),
         "hotel_name": sanitize_text(F.col("hotel_name")),
@@ -56,22 +96,9 @@ def transformed_columns(as_of: str) -> dict[str, Column]:
         "translate_source": F.col("translate_source_text"),
         "content_hash": line_content_hash(F.col("hotel_id"), F.col("comments_text"),
                                           F.col("rating_text"), F.col("date_text")),
-        # Remaining columns read straight from the nested line.
-        "review_positives": J.raw_text(v, "$.comment.reviewPositives"),
-        "review_negatives": J.raw_text(v, "$.comment.reviewNegatives"),
-        "formatted_rating": J.raw_text(v, "$.comment.formattedRating"),
-        "rating_text_label": J.raw_text(v, "$.comment.ratingText"),
         "reviewer_country_name": F.col("country_text"),
-        "reviewer_country_id": F.try_variant_get(v, "$.comment.reviewerInfo.countryId", "int"),
-        "room_type_name": J.raw_text(v, "$.comment.reviewerInfo.roomTypeName"),
-        "review_group_name": J.raw_text(v, "$.comment.reviewerInfo.reviewGroupName"),
-        "length_of_stay": F.try_variant_get(v, "$.comment.reviewerInfo.lengthOfStay", "int"),
-        "reviewer_review_count": F.try_variant_get(v, "$.comment.reviewerInfo.reviewerReviewedCount", "int"),
-        "is_expert_reviewer": F.coalesce(F.try_variant_get(v, "$.comment.reviewerInfo.isExpertReviewer", "boolean"),
-                                         F.lit(False)),
-        "is_show_review_response": F.coalesce(F.try_variant_get(v, "$.comment.isShowReviewResponse", "boolean"),
-                                              F.lit(False)),
-        "responder_name": J.raw_text(v, "$.comment.responderName"),
+        # The remaining columns, read from the comment in one pass.
+        **_nested_columns(F.col("_comment")),
         "processing_status": F.lit("PROCESSED"),
         "created_at": ts(as_of),
         "updated_at": ts(as_of),
@@ -81,17 +108,16 @@ def transformed_columns(as_of: str) -> dict[str, Column]:
 REVIEW_OUTPUT_COLUMNS = [
     "file_key", "line_no", "hotel_id", "hotel_name", "provider_name", "platform", "hotel_review_id",
     "rating", "review_comments", "review_date", "reviewer_display_name", "review_title",
-    "translate_source", "content_hash", "review_positives", "review_negatives", "formatted_rating",
-    "rating_text_label", "reviewer_country_name", "reviewer_country_id", "room_type_name",
-    "review_group_name", "length_of_stay", "reviewer_review_count", "is_expert_reviewer",
-    "is_show_review_response", "responder_name", "processing_status", "created_at", "updated_at",
+    "translate_source", "content_hash", "reviewer_country_name", *[c for c, _, _ in COMMENT_FIELDS + REVIEWER_FIELDS],
+    "processing_status", "created_at", "updated_at",
 ]
 
 
 def transform_reviews(validated: DataFrame, as_of: str) -> DataFrame:
     """Valid lines -> review rows; adds ``transform_error`` (null when ok)."""
-    cols = transformed_columns(as_of)
-    return validated.withColumn("transform_error", transform_failure()).withColumns(cols)
+    # The comment is a projection of its own, so that it is taken apart once for each line.
+    out = validated.withColumn("_comment", _comment()).withColumn("transform_error", transform_failure())
+    return out.withColumns(transformed_columns(as_of)).drop("_comment")
 
 
 def review_response(reviews: DataFrame, providers: DataFrame) -> DataFrame:

@@ -112,12 +112,26 @@ def q_batch_result(spark, sf):
     return E.batch_result(_tagged(spark, sf))
 
 
-@register("transformed_reviews", with_ctes(["staged"], """
-SELECT file_key, line_no, platform, hotel_review_id, rating_value AS rating, review_date, review_comments,
-       content_hash FROM tagged WHERE outcome = 'valid'"""))
+_STORED = ("file_key line_no hotel_id hotel_name provider_name platform hotel_review_id rating review_date review_comments "
+           "review_title reviewer_display_name translate_source content_hash reviewer_country_name provider_external_id "
+           "length_of_stay reviewer_review_count is_expert_reviewer is_show_review_response original_title processing_status").split()
+
+
+@register("transformed_reviews", with_ctes(["staged"], f"""
+SELECT file_key, line_no, CAST(hotel_id AS BIGINT) AS hotel_id, regexp_replace({jtrim('hotel_name')}, '\\s+', ' ', 'g') AS hotel_name,
+       provider AS provider_name, platform, hotel_review_id, rating_value AS rating, review_date, review_comments,
+       json_extract_string(j, '$.comment.reviewTitle') AS review_title,
+       json_extract_string(j, '$.comment.reviewerInfo.displayMemberName') AS reviewer_display_name,
+       json_extract_string(j, '$.comment.translateSource') AS translate_source, content_hash,
+       json_extract_string(j, '$.comment.reviewerInfo.countryName') AS reviewer_country_name,
+       CAST(json_extract_string(j, '$.comment.providerId') AS INTEGER) AS provider_external_id,
+       TRY_CAST(json_extract_string(j, '$.comment.reviewerInfo.lengthOfStay') AS INTEGER) AS length_of_stay,
+       CAST(json_extract_string(j, '$.comment.reviewerInfo.reviewerReviewedCount') AS INTEGER) AS reviewer_review_count,
+       false AS is_expert_reviewer, false AS is_show_review_response, CAST(NULL AS VARCHAR) AS original_title,
+       'PROCESSED' AS processing_status
+FROM tagged WHERE outcome = 'valid'"""))
 def q_transformed_reviews(spark, sf):
-    return E.stored_reviews(_tagged(spark, sf)).select(
-        "file_key", "line_no", "platform", "hotel_review_id", "rating", "review_date", "review_comments", "content_hash")
+    return E.stored_reviews(_tagged(spark, sf)).select(*_STORED)
 
 
 @register("error_breakdown", with_ctes(["staged"], """

@@ -130,3 +130,17 @@ def test_file_result_summary_keeps_last_50_and_shows_10(spark):
     assert r.error_summary == head + "... (+50 more)"
     assert (r.saved_reviews, r.total_errors, r.successful) == (3, 60, False)
     assert abs(r.error_rate - 60 * 100.0 / 63) < 1e-6
+
+
+def test_all_columns_of_a_review_are_stored(spark):
+    extra = {"originalTitle": "Titel", "translateTarget": "en", "formattedReviewDate": "April 10", "isShowReviewResponse": True,
+             "checkInDateMonthAndYear": "April 2025", "encryptedReviewData": "x1", "reviewProviderText": "Agoda",
+             "responderName": [1], "providerId": 332,
+             "reviewerInfo": {"countryName": "Thailand", "flagName": "th", "roomTypeId": 7, "reviewGroupId": "junk", "isShowGlobalIcon": True}}
+    r = E.stored_reviews(E.ingest_batch(lines_df(spark, [line(**extra), line(hotelReviewId=2)]), AS_OF)).orderBy("line_no").collect()
+    assert (r[0].original_title, r[0].translate_target, r[0].formatted_review_date, r[0].check_in_date_month_and_year) == \
+        ("Titel", "en", "April 10", "April 2025")
+    assert (r[0].encrypted_review_data, r[0].review_provider_text, r[0].responder_name, r[0].provider_external_id) == ("x1", "Agoda", "[1]", 332)
+    assert (r[0].reviewer_flag_name, r[0].room_type_id, r[0].review_group_id) == ("th", 7, None)
+    assert (r[0].is_show_review_response, r[0].is_show_global_icon, r[0].is_expert_reviewer) == (True, True, False)
+    assert (r[1].original_title, r[1].is_show_review_response, r[1].length_of_stay) == (None, False, 2)
