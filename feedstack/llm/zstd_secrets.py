@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 import zstandard
@@ -28,6 +29,8 @@ _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: A candidate of the method: a long string with a digit, and what makes its context sensitive.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]{16,}")
+#: The parts of a candidate between its equals signs (those at its end are padding): what stands before counts as context.
+PIECE = re.compile(r"[A-Za-z0-9+/_~-]{16,}(?:=+\Z)?")
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|"
                        r"client.?id|\bkey\b|\bpwd\b|\bsalt\b|session|cookie", re.I)
 #: Code points around a candidate that count as its context, and its surroundings for the compressor.
@@ -106,16 +109,24 @@ def scan(text: str, novelty: Novelty) -> list[tuple[str, int, int, float]]:
     taken = sorted((a, b) for _, a, b in found)
     place = 0
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(c.isdigit() for c in m[0]) or m[0].isdigit() or not SENSITIVE.search(text, max(0, a - CONTEXT), a):
-            continue
-        while place < len(taken) and taken[place][1] <= a:
+        whole = m.span()
+        while place < len(taken) and taken[place][1] <= whole[0]:
             place += 1
-        if any(s < b and a < e for s, e in taken[max(0, place - 2):place + 3]):
-            continue
-        n = novelty(text[max(0, a - AROUND):a], m[0], text[b:b + AROUND])
-        if n >= NOVELTY:
-            out.append(("novel", a, b, n))
+        near = list(takewhile(lambda s, end=whole[1]: s[0] < end, taken[max(0, place - 2):]))
+        pieces = [x.span() for x in PIECE.finditer(text, *whole)]
+        novel = False
+        for a, b in dict.fromkeys([*pieces, whole]):
+            if (a, b) == whole and novel:  # a part of it is reported
+                continue
+            c = text[a:b]
+            if not any(x.isdigit() for x in c) or c.isdigit() or not SENSITIVE.search(text, max(0, a - CONTEXT), a):
+                continue
+            if any(s < b and a < e for s, e in near):
+                continue
+            n = novelty(text[max(0, a - AROUND):a], c, text[b:b + AROUND])
+            if n >= NOVELTY:
+                out.append(("novel", a, b, n))
+                novel = True
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

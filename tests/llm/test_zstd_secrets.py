@@ -41,3 +41,18 @@ def test_dictionary_counts_all_texts(spark):
     assert sorted(map(tuple, Z.identifier_counts(docs).collect())) == [("alpha", 3), ("beta", 2)]
     assert Z.dictionary(docs).startswith(b"beta alpha password")
     assert Z.find(docs.filter("doc_id > 9")).count() == 0
+
+
+def test_unquoted_assignments():
+    novelty = Z.Novelty(" ".join(Z.CODE_WORDS).encode())
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ3v8p"
+
+    def novel(text):
+        return [text[a:b] for kind, a, b, _ in Z.scan(text, novelty) if kind == "novel"]
+
+    for text in (f"aws_secret_access_key={key}", f"see /x?id=4&auth={key}&page=2", f"signature={key}==", f"Cookie\nsession={key}; a=b"):
+        assert novel(text) == [key + "=" * text.count("==") * 2], text
+    assert novel(f"my key: {key}") == [key] and novel(f"house={key}") == []
+    assert novel(f"bearer a={key}={key[::-1]}") == [key, key[::-1]]
+    assert novel("session=example_test_sample_default_value_2") == []
+    assert novel("the bearer is id=Zq3vR8pLw1Xk7") == ["id=Zq3vR8pLw1Xk7"]  # too short without its name
