@@ -4,8 +4,8 @@ Each language has a variable-order byte context tree: for every context of up to
 followed it in that language's training texts.  A byte is coded in the longest known context; a byte new to a context
 costs an escape and is coded in the next shorter one, among the bytes that the longer context has not ruled out.  The
 statistics are frozen, so the code length of a byte depends on its last ``order`` bytes only: training turns the trees
-into one table of code lengths (context x byte, for each language) and one of successor contexts, and a whole column of
-texts is scored with a few table look-ups for each byte.
+of each language into a table of code lengths (context x byte) and one of successor contexts, and a whole column of
+texts is scored with a few table look-ups for each byte and language.
 
 The sum of a text's code lengths is exact: the look-ups walk from the root through the last ``order`` bytes, which ends
 in the longest known context, as in a tree with suffix links.
@@ -29,9 +29,8 @@ UNDECIDED = "und"
 ORDER = 4
 #: Bound of the training sample: so many documents of each language, those with the least hash of their id.
 TRAIN_DOCS = 400
-#: Bound of the languages: the most frequent ones are learned.
-MAX_LANGUAGES = 64
-#: A context needs so many occurrences in the sample to be kept, and so many contexts are kept at most, by frequency.
+#: A context needs so many occurrences in its language's sample to be kept, and so many contexts of each language are kept
+#: at most, by their frequency in it.
 LEAST_SEEN = 3
 MAX_CONTEXTS = 12000
 #: Code-length differences count as if a text had at most so many bytes, so that a score says how clear a text is.
@@ -55,13 +54,12 @@ def training_sample(docs: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Dat
     id, are compared at all, so what is shuffled does not grow with the input."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), empty_as("text").alias("text")).filter(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1))
-    counts = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang")
-              .limit(MAX_LANGUAGES).collect())
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     key = F.xxhash64(F.col("doc_id").cast("string"))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, (1.5 * docs_per_language + 20) / r.n))).otherwise(share)
-    near = (F.length("text") > 0) & (F.shiftrightunsigned(key, 12) / F.lit(float(1 << 52)) < share)
+    share = docs.sparkSession.createDataFrame(
+        [(r.lang, min(1.0, (1.5 * docs_per_language + 20) / r.n)) for r in counts], "lang string, _share double")
+    rows = rows.join(F.broadcast(share), "lang")  # a row for each language
+    near = (F.length("text") > 0) & (F.shiftrightunsigned(key, 12) / F.lit(float(1 << 52)) < F.col("_share"))
     order = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
     kept = (rows.filter(near).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= docs_per_language))
     return kept.select("lang", "text")
@@ -90,68 +88,73 @@ def count_contexts(sample: DataFrame, order: int = ORDER) -> DataFrame:
     return sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _tree(gram: np.ndarray, n: np.ndarray, order: int, least_seen: int, max_contexts: int) -> tuple:
+    """The frozen tables of one language: ``symbol`` byte -> symbol (0: never seen in training); ``follow``
+    [context, symbol] -> context, ``cost`` [context, symbol] in bits, both flat."""
+    byte, context = (gram >> 3) & 255, ((gram >> 11) << 3) | ((gram & 7) - 1)
+    seen = np.unique(byte[gram & 7 == 1]).tolist()
+    symbol = np.zeros(256, np.uint8 if len(seen) < 256 else np.int32)
+    symbol[seen] = np.arange(1, len(seen) + 1)
+    width = len(seen) + 1
+    known, place = np.unique(context, return_inverse=True)
+    total = np.bincount(place, n)
+    size = known & 7
+    # By frequency; a context is kept only with its suffix, which is at least as frequent.
+    ranked = np.lexsort((known, size, -total, size > 0))
+    ranked = ranked[(total[ranked] >= least_seen) | (size[ranked] == 0)][:max_contexts]
+    kept: dict[bytes, int] = {}
+    row = np.full(len(known), -1)
+    for i in ranked.tolist():
+        c = int(known[i] >> 3).to_bytes(8, "big")[8 - int(size[i]):]
+        if not c or c[1:] in kept:
+            row[i] = kept[c] = len(kept)
+    table = np.zeros((max(len(kept), 1), width), np.float32)
+    kept = kept or {b"": 0}
+    used = row[place] >= 0
+    table[row[place][used], symbol[byte[used]]] = n[used]
+    # Symbol 0 stands for all bytes never seen: it has the weight of that many bytes.
+    weight = np.ones(width)
+    weight[0] = max(256 - len(seen), 1)
+    p = np.zeros_like(table)
+    uniform = np.full(width, 1 / 256)
+    follow = np.zeros((len(kept), width), np.int32)
+    for c, at in sorted(kept.items(), key=lambda x: len(x[0])):
+        shorter = uniform if not c else p[kept[c[1:]]]
+        own = table[at].astype(np.float64)
+        known = own > 0
+        kinds, count = known.sum(), own.sum()
+        escape = kinds / (count + kinds) if count > 0 else 1.0
+        rest = (shorter * weight * ~known).sum()
+        p[at] = np.where(known, own / max(count + kinds, 1), escape * shorter / max(rest, 1e-300))
+        for b in seen:
+            longer = (c + bytes([b]))[-order:] if order else b""
+            while longer not in kept:
+                longer = longer[1:]
+            follow[at, symbol[b]] = kept[longer]
+    return symbol, follow.reshape(-1) * np.int32(width), -np.log2(np.maximum(p, np.float32(1e-30))).reshape(-1)
+
+
 class Trees:
-    """The frozen tables: ``languages``; ``symbol`` byte -> symbol (0: never seen in training); ``follow``
-    [context, symbol] -> context; ``cost`` [language, context, symbol] in bits."""
+    """The frozen tables: ``languages``, and for each its own ``symbol``, ``follow`` and ``cost`` (see ``_tree``)."""
 
     def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER,
                  least_seen: int = LEAST_SEEN, max_contexts: int = MAX_CONTEXTS):
         """``lang`` (a place in ``languages``), ``gram`` and ``n``: the rows of ``count_contexts``."""
         self.order, self.languages = order, languages
-        byte, context = (gram >> 3) & 255, ((gram >> 11) << 3) | ((gram & 7) - 1)
-        seen = np.unique(byte[gram & 7 == 1]).tolist()
-        self.symbol = np.zeros(256, np.uint8)
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        width = len(seen) + 1
-        known, place = np.unique(context, return_inverse=True)
-        total = np.bincount(place, n)
-        size = known & 7
-        # By frequency; a context is kept only with its suffix, which is at least as frequent.
-        ranked = np.lexsort((known, size, -total, size > 0))
-        ranked = ranked[(total[ranked] >= least_seen) | (size[ranked] == 0)][:max_contexts]
-        kept: dict[bytes, int] = {}
-        row = np.full(len(known), -1)
-        for i in ranked.tolist():
-            c = int(known[i] >> 3).to_bytes(8, "big")[8 - int(size[i]):]
-            if not c or c[1:] in kept:
-                row[i] = kept[c] = len(kept)
-        table = np.zeros((len(languages), max(len(kept), 1), width), np.float32)
-        kept = kept or {b"": 0}
-        used = row[place] >= 0
-        table[lang[used], row[place][used], self.symbol[byte[used]]] = n[used]
-        # Symbol 0 stands for all bytes never seen: it has the weight of that many bytes.
-        weight = np.ones(width)
-        weight[0] = max(256 - len(seen), 1)
-        p = np.zeros_like(table)
-        uniform = np.full((len(self.languages), width), 1 / 256)
-        self.follow = np.zeros((len(kept), width), np.int32)
-        for c, at in sorted(kept.items(), key=lambda x: len(x[0])):
-            shorter = uniform if not c else p[:, kept[c[1:]], :]
-            n = table[:, at, :].astype(np.float64)
-            known = n > 0
-            kinds, count = known.sum(1, keepdims=True), n.sum(1, keepdims=True)
-            escape = np.where(count > 0, kinds / np.maximum(count + kinds, 1), 1.0)
-            rest = (shorter * weight * ~known).sum(1, keepdims=True)
-            lower = escape * shorter / np.maximum(rest, 1e-300)
-            p[:, at, :] = np.where(known, n / np.maximum(count + kinds, 1), lower)
-            for byte in seen:
-                longer = (c + bytes([byte]))[-order:] if order else b""
-                while longer not in kept:
-                    longer = longer[1:]
-                self.follow[at, self.symbol[byte]] = kept[longer]
-        self.cost = -np.log2(np.maximum(p, np.float32(1e-30)))
-        self.follow = self.follow.reshape(-1) * width
-        self.cost = self.cost.reshape(len(self.languages), -1)
+        by_lang = np.argsort(lang, kind="stable")
+        edge = np.searchsorted(lang[by_lang], np.arange(len(languages) + 1))
+        self.trees = [_tree(gram[own], n[own], order, least_seen, max_contexts)
+                      for own in (by_lang[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True))]
 
     def tables(self) -> tuple:
         """The tables as plain values, to send to the tasks."""
-        return self.order, self.languages, self.symbol, self.follow, self.cost
+        return self.order, self.languages, self.trees
 
     @classmethod
     def of(cls, tables: tuple) -> Trees:
         """Trees of the values of ``tables``."""
         t = cls.__new__(cls)
-        t.order, t.languages, t.symbol, t.follow, t.cost = tables
+        t.order, t.languages, t.trees = tables
         return t
 
     def code_lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -159,18 +162,16 @@ class Trees:
         rows, order = len(bounds) - 1, self.order
         size = np.diff(bounds)
         lead = np.arange(rows, dtype=np.int64) * order
-        text = np.full(len(data) + rows * order, self.symbol[10], np.int32)
         spot = np.arange(len(data)) + np.repeat(lead + order, size)
-        text[spot] = self.symbol[data]
-        state = np.zeros(len(text), np.int32)
-        for back in range(order, 0, -1):
-            state[order:] = self.follow[state[order:] + text[order - back:len(text) - back]]
-        at = state[spot] + text[spot]
         out = np.zeros((rows, len(self.languages)))
         full = np.flatnonzero(size)
-        if len(full):
-            for i, cost in enumerate(self.cost):
-                out[full, i] = np.add.reduceat(cost[at].astype(np.float64), bounds[:-1][full])
+        for i, (symbol, follow, cost) in enumerate(self.trees if len(full) else ()):
+            text = np.full(len(data) + rows * order, symbol[10], np.int32)
+            text[spot] = symbol[data]
+            state = np.zeros(len(text), np.int32)
+            for back in range(order, 0, -1):
+                state[order:] = follow[state[order:] + text[order - back:len(text) - back]]
+            out[full, i] = np.add.reduceat(cost[state[spot] + text[spot]].astype(np.float64), bounds[:-1][full])
         return out
 
 
@@ -204,7 +205,7 @@ def identify(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc
                            F.lit(None).cast("double").alias("bits_per_byte"))
     letter = empty_as("text").rlike(r"\p{L}")
     rows = docs.select(empty_as("text").alias("_text"), letter.alias("_letter"), *kept.columns)
-    model = docs.sparkSession.sparkContext.broadcast(trees.tables())  # bounded by MAX_LANGUAGES and MAX_CONTEXTS
+    model = docs.sparkSession.sparkContext.broadcast(trees.tables())  # MAX_CONTEXTS for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Trees.of(model.value)

@@ -89,3 +89,31 @@ def test_held_out_accuracy(spark):
     rows = P.identify(docs, P.fit(trained)).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     assert len(held) > 200 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.98
+
+
+def test_every_language_is_learned(spark):
+    """70 languages, each with words and counts of its own; the last ones are the rarest."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}ro " for i in range(70)]
+    rows = [(i * 100 + j, words[i] * 8, f"l{i:02}") for i in range(70) for j in range(12 if i < 64 else 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = P.fit(docs.repartition(2))
+    assert trees.languages == [f"l{i:02}" for i in range(70)]
+    got = P.identify(docs, trees, ("doc_id", "lang")).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+
+
+def test_a_rare_language_keeps_its_contexts():
+    """The bound of contexts counts for each language: a large language leaves a small one its own."""
+    grams = {"big": Counter(), "small": Counter()}
+    for lang, text, times in (("big", "abcdefghijklmnopqrstuvwxyz" * 2, 1000), ("small", "zyxwvutsrqponmlkjihgfedcba" * 2, 3)):
+        data = b"\n" * ORDER + text.encode()
+        for k in range(1, ORDER + 2):
+            for i in range(len(data) - k + 1):
+                grams[lang][int.from_bytes(data[i:i + k], "big") << 3 | k] += times
+    rows = [(i, g, n) for i, lang in enumerate(("big", "small")) for g, n in grams[lang].items()]
+    lang, gram, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    text = np.frombuffer(b"zyxwvutsrq", np.uint8)
+    bounds = np.array([0, len(text)])
+    both = P.Trees(["big", "small"], lang, gram, n, ORDER, max_contexts=60).code_lengths(text, bounds)[0, 1]
+    alone = P.Trees(["small"], lang[lang == 1] * 0, gram[lang == 1], n[lang == 1], ORDER, max_contexts=60).code_lengths(text, bounds)[0, 0]
+    assert abs(both - alone) < 1e-6
