@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, multi_index, pii_boosting, ppm_language, sentence_spans, systematic_mix, template_decontam,
-               token_combinations, url_regression, zstd_secrets)
+from . import (chat_format, lexical_rmq, line_bitmaps, multi_index, pii_boosting, ppm_language, sentence_spans,
+               systematic_mix, template_decontam, token_align, token_combinations, url_regression, zstd_secrets)
 
 from .common import ship_package
 
@@ -156,6 +156,53 @@ FROM d QUALIFY rank <= 10
 """
 
 
+def op11_lexical_rmq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rmq.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, unnest(t) AS term, len(t) AS n FROM (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents)),
+total AS (SELECT count(DISTINCT row) AS nd, count(*) AS l FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+s AS (SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term), total GROUP BY item_id, row, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_bitmaps.apply(docs, line_bitmaps.keep_bitmaps(docs, least_docs=10, keep_first=False))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH l AS (SELECT doc_id, row, d, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (
+  SELECT doc_id, row_number() OVER () AS row, {'id': doc_id, 'text': md5(coalesce(text, ''))} AS d, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT d) >= 10),
+m AS (SELECT k.*, c.key IS NULL AS kept FROM k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_sha256
+FROM m GROUP BY doc_id, row
+"""
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, _ = token_align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return texts.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.col("groups").alias("groups_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
@@ -168,6 +215,9 @@ def queries() -> dict:
         "op8_pii_boosting": op8_pii_boosting,
         "op9_template_decontam": op9_template_decontam,
         "op10_multi_index": op10_multi_index,
+        "op11_lexical_rmq": op11_lexical_rmq,
+        "op12_line_bitmaps": op12_line_bitmaps,
+        "op13_token_align": op13_token_align,
     }
 
 
@@ -177,4 +227,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_systematic_mix": OP5_SQL,
         "op6_token_combinations": OP6_SQL,
         "op10_multi_index": OP10_SQL,
+        "op11_lexical_rmq": OP11_SQL,
+        "op12_line_bitmaps": OP12_SQL,
     }
