@@ -141,8 +141,8 @@ class Lists:
         a, b = self.first[at][None, :], self.end[at][None, :]
         best, place = self.most(a, b)
         bound, split = best.sum(axis=1), place[np.arange(1), best.argmax(axis=1)]
-        docs, scores, width, least = [], [], 4, max(1, least)
-        found = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        docs, scores, found, width, least = [none], [none], none, 4, max(1, least)
         while True:
             open_ = bound >= least
             if not open_.all():
