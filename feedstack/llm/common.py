@@ -107,18 +107,25 @@ def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, root) with root the smallest node, by alternating
     large-star and small-star steps; every step is a grouped minimum and a join, so no component is ever gathered
-    in one place.  Each round is a written table.  An empty input gives an empty result."""
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, last = written(e, "edges"), None
+    in one place.  Each round is a written table, which the next round's replaces.  An empty input gives an empty result.
+
+    A pair of steps at least halves the height of the paths to a component's smallest node, in practice; ``rounds`` only
+    stops a run that would not settle, with an error."""
+    x = F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e, last = written(edges.filter("a <> b").select(x.alias("x")).distinct().select("x.*"), "edges"), None
+
+    def ends(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+        """One row for each pair of columns that differ, as (u, v), without a second branch in the plan."""
+        both = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+        return df.select(F.explode(both).alias("x")).select("x.*").filter("u <> v")
+
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = ends(e, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = written(small.select("u", F.col("m").alias("v")).unionByName(
-            small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-            .filter("u <> v").distinct(), "edges")
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        done, e = e, written(ends(small, ("u", "m"), ("v", "m")).distinct(), "edges")
+        discard(done)
         state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == last:
             break
