@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ts
 from ..operators.ledger import filter_unprocessed
+from ..session import discard, staged
+from ..sources import keys, tables
 from ..sources import providers as P
-from ..sources import tables
 from ..sources.files import list_files, scan_lines
 from . import ingest as E
 
@@ -23,11 +24,16 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, batch_id: str
 
     A ledger row is a full event: its sequence number ``id`` is the time it
     was written, so of two runs with one ``as_of`` the later one counts."""
-    store = tables.read_store(spark, f"{root}/reviews")
-    prior = None if store is None else store.filter(F.col("batch_id") != batch_id).select("platform", "hotel_review_id")
+    if not tables.committed_batches(spark, f"{root}/keys") and tables.read_store(spark, f"{root}/reviews") is not None:
+        keys.rebuild_keys(spark, f"{root}/reviews", f"{root}/keys")
     lined = E.stage_lines(lines, as_of)
-    tagged = E.tag_lines(lined, store=prior)
+    known = keys.stored_keys(spark, f"{root}/keys", E.batch_winners(lined), batch_id)
+    # The tags (position and outcome) are written once: reviews, keys and results read them, and dedup runs once.
+    tags = staged(E.tag_lines(lined.select("file_key", "line_no", "stage", "platform", "hotel_review_id"), store=known)
+                  .select("file_key", "line_no", "outcome"), "tags")
+    tagged = lined.join(tags, ["file_key", "line_no"])
     tables.write_reviews(E.stored_reviews(tagged), f"{root}/reviews", batch_id)
+    keys.write_keys(tagged.filter(F.col("outcome") == "valid"), f"{root}/keys", batch_id)
     tables.write_batch(E.reject_lines(lined), f"{root}/rejects", batch_id)
     tables.write_batch(_new_providers(spark, lined, root, batch_id), f"{root}/providers", batch_id)
     result = E.file_result(tagged)
@@ -49,6 +55,8 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, batch_id: str
         F.col("error_summary").alias("error_message"), now.alias("created_at"), now.alias("processing_started_at"),
         now.alias("processing_completed_at"), now.alias("updated_at"))
     tables.write_batch(ledger_rows, f"{root}/ledger", batch_id)
+    discard(tags)
+    discard(lined)
     return spark.read.parquet(f"{root}/ledger/batch_id={batch_id}")
 
 

@@ -66,7 +66,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
     path = f"{ensure_checkpoint_dir(spark, allow_local=local).rstrip('/')}/feedstack-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by ``staged`` that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:

@@ -25,15 +25,6 @@ def test_listing_and_metadata(spark, scratch):
     assert S.total_file_size(files).collect()[0].file_count == 2
 
 
-def test_purge_writes_kept_snapshot(spark, scratch):
-    src, dst = os.path.join(scratch, "t"), os.path.join(scratch, "t2")
-    spark.range(10).withColumn("status", F.when(F.col("id") < 4, "COMPLETED").otherwise("PENDING")) \
-        .write.parquet(src)
-    keep = spark.read.parquet(src).filter(F.col("status") != "COMPLETED")
-    assert T.purge(spark, src, keep, dst) == 4
-    assert spark.read.parquet(dst).count() == 6
-
-
 def test_batch_directories_replace_on_replay(spark, scratch):
     root = os.path.join(scratch, "store")
     T.write_batch(spark.range(3), root, "1")
