@@ -8,13 +8,14 @@ update, so reruns and replays are idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.dates import shift, ts
 from ..functions.rows import duration_ms, job_progress
 from ..functions.text import contains_ci, truncate
+from ..sources import tables
 from .dedup import latest_per_key
 
 def current_state(events: DataFrame) -> DataFrame:
@@ -26,8 +27,14 @@ def current_state(events: DataFrame) -> DataFrame:
     return latest_per_key(events, key, order, [c for c in events.columns if c not in key]).select(*events.columns)
 
 
+def state_columns(events: DataFrame, *cols: str) -> DataFrame:
+    """The current state of every file, with the given columns only: no other column is shuffled."""
+    kept = [c for c in events.columns if c in ("s3_key", "etag", "updated_at", "id", *cols)]
+    return current_state(events.select(*kept))
+
+
 def _completed(ledger: DataFrame) -> DataFrame:
-    return current_state(ledger).filter(F.col("processing_status") == "COMPLETED")
+    return state_columns(ledger, "processing_status").filter(F.col("processing_status") == "COMPLETED")
 
 
 def filter_unprocessed(keys: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -41,11 +48,23 @@ def is_processed(keys: DataFrame, ledger: DataFrame, with_etag: bool = False) ->
     return keys.join(_completed(ledger).select(*on), on, "left_semi")
 
 
+def next_id(events: DataFrame) -> int:
+    """The sequence number after all those of an event log."""
+    return (events.agg(F.max("id").alias("id")).first().id or 0) + 1
+
+
 def track_files(files: DataFrame, ledger: DataFrame, as_of: str) -> DataFrame:
-    """L3: PENDING events for (key, etag) pairs not yet in the ledger."""
-    new = files.join(ledger.select("s3_key", "etag"), ["s3_key", "etag"], "left_anti")
-    return new.select("s3_key", "etag", "file_size", "last_modified_date", "provider",
-                      F.lit("PENDING").alias("processing_status"), ts(as_of).alias("updated_at"))
+    """L3: PENDING events for (key, etag) pairs not yet in the ledger, with all columns of the ledger, so that they can be
+    appended to it: created and updated now, no counts yet, and the next sequence number of the log."""
+    new = files.join(ledger.select("s3_key", "etag").distinct(), ["s3_key", "etag"], "left_anti")
+    now, zero = ts(as_of), F.lit(0)
+    given = {c: F.col(c) for c in ("s3_key", "etag", "file_size", "last_modified_date", "provider")} | {
+        "processing_status": F.lit("PENDING"), "created_at": now, "updated_at": now,
+        "records_processed": zero, "records_failed": zero, "records_skipped": zero}
+    if "id" in ledger.columns:
+        given["id"] = F.lit(next_id(ledger))
+    none = F.lit(None)
+    return new.select(*[given.get(f.name, none).cast(f.dataType).alias(f.name) for f in ledger.schema.fields])
 
 
 def mark(ledger: DataFrame, keys: DataFrame, status: str, as_of: str, error: str | None = None) -> DataFrame:
@@ -90,16 +109,16 @@ def duplicate_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def files_by_status(ledger: DataFrame, status: str, provider: str | None = None) -> DataFrame:
-    """L8."""
+    """Files that are in a status now."""
     cond = F.col("processing_status") == status
     if provider is not None:
         cond = cond & (F.col("provider") == provider)
-    return ledger.filter(cond)
+    return current_state(ledger).filter(cond)
 
 
 def old_files(ledger: DataFrame, cutoff: str, statuses: list[str]) -> DataFrame:
-    """Created before cutoff with status in list, oldest first."""
-    return (ledger.filter((F.col("created_at") < ts(cutoff)) & F.col("processing_status").isin(*statuses))
+    """Created before cutoff and now in one of the statuses, oldest first."""
+    return (current_state(ledger).filter((F.col("created_at") < ts(cutoff)) & F.col("processing_status").isin(*statuses))
             .orderBy("created_at", "id"))
 
 
@@ -119,21 +138,46 @@ def reset_stuck(ledger: DataFrame, as_of: str) -> DataFrame:
 
 def recent_files(ledger: DataFrame, provider: str, as_of: str, hours: int) -> DataFrame:
     """provider's COMPLETED files created in the last ``hours``, newest first."""
-    return (ledger.filter((F.col("provider") == provider) & (F.col("processing_status") == "COMPLETED")
-                          & (F.col("created_at") >= shift(ts(as_of), hours=-hours)))
+    return (current_state(ledger).filter((F.col("provider") == provider) & (F.col("processing_status") == "COMPLETED")
+                                         & (F.col("created_at") >= shift(ts(as_of), hours=-hours)))
             .orderBy(F.col("created_at").desc(), "id"))
 
 
+FILE = ["s3_key", "etag"]
+
+
+def doomed_by_created(ledger: DataFrame, as_of: str, days: int = K.CLEANUP_AFTER_DAYS) -> DataFrame:
+    """Files (key and etag) now in a terminal status and created more than ``days`` ago."""
+    old = (F.col("created_at") < shift(ts(as_of), days=-days)) & F.col("processing_status").isin(*K.CLEANUP_STATUSES)
+    return state_columns(ledger, "created_at", "processing_status").filter(old).select(*FILE)
+
+
+def doomed_by_completed(ledger: DataFrame, cutoff: str) -> DataFrame:
+    """Files (key and etag) whose current state was completed before cutoff."""
+    return (state_columns(ledger, "processing_completed_at").filter(F.col("processing_completed_at") < ts(cutoff))
+            .select(*FILE))
+
+
+def without_files(ledger: DataFrame, doomed: DataFrame) -> DataFrame:
+    """The events that remain when files go: a purged file keeps none, so no older state of it comes back."""
+    gone = doomed.select(*[F.col(c).alias(f"_{c}") for c in FILE])
+    return ledger.join(gone, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FILE], "left_anti")
+
+
 def cleanup_by_created(ledger: DataFrame, as_of: str, days: int = K.CLEANUP_AFTER_DAYS) -> DataFrame:
-    """The rows that remain after dropping terminal rows created
-    more than ``days`` ago (the kept snapshot to write)."""
-    drop = (F.col("created_at") < shift(ts(as_of), days=-days)) & F.col("processing_status").isin(*K.CLEANUP_STATUSES)
-    return ledger.filter(~F.coalesce(drop, F.lit(False)))
+    """The events that remain after files in a terminal status created more than ``days`` ago have gone."""
+    return without_files(ledger, doomed_by_created(ledger, as_of, days))
 
 
 def cleanup_by_completed(ledger: DataFrame, cutoff: str) -> DataFrame:
-    """Kept rows after dropping those completed before cutoff."""
-    return ledger.filter(~F.coalesce(F.col("processing_completed_at") < ts(cutoff), F.lit(False)))
+    """The events that remain after files completed before cutoff have gone."""
+    return without_files(ledger, doomed_by_completed(ledger, cutoff))
+
+
+def purge_ledger(spark: SparkSession, root: str, as_of: str, days: int = K.CLEANUP_AFTER_DAYS) -> int:
+    """L13 / K4 on a stored ledger: drops every event of the files to go, as a new version; returns how many."""
+    events = tables.read_store(spark, root)
+    return 0 if events is None else tables.purge(spark, root, doomed_by_created(events, as_of, days), FILE)
 
 
 def job_status(jobs: DataFrame, as_of: str) -> DataFrame:
@@ -276,8 +320,8 @@ def job_transitions(events: DataFrame) -> DataFrame:
 
 def ledger_runs(ledger: DataFrame) -> DataFrame:
     """Processing runs derived from the ledger: one run per provider and
-    creation day (``run_id``), with its file rows as the child table."""
-    return ledger.withColumn("run_id", F.concat(F.col("provider"), F.lit("-"),
+    creation day (``run_id``), with the current state of its files as the child table."""
+    return current_state(ledger).withColumn("run_id", F.concat(F.col("provider"), F.lit("-"),
                                                 F.date_format("created_at", "yyyy-MM-dd")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.dates import shift, ts
 from ..functions.rows import sentiment
+from .ledger import state_columns
 
 
 def _avg(c: str | Column, default=None) -> Column:
@@ -70,15 +71,16 @@ def by_provider(reviews: DataFrame, providers: DataFrame) -> DataFrame:
 
 
 def file_counts(ledger: DataFrame) -> DataFrame:
-    """Files by provider and status."""
-    return ledger.groupBy("provider", "processing_status").agg(F.count(F.lit(1)).alias("file_count"))
+    """Files by provider and the status they are in now."""
+    return state_columns(ledger, "provider", "processing_status").groupBy("provider", "processing_status").agg(F.count(F.lit(1)).alias("file_count"))
 
 
 def completion_counts(ledger: DataFrame, status: str, start: str, end: str) -> DataFrame:
     """Files completed before ``end``; of these with ``status``; with
     ``status`` and completed from ``start`` to ``end``."""
     at, st = F.col("processing_completed_at"), F.col("processing_status") == status
-    return ledger.agg(F.count_if(at < ts(end)).alias("completed_before"),
+    return state_columns(ledger, "processing_completed_at", "processing_status").agg(
+                      F.count_if(at < ts(end)).alias("completed_before"),
                       F.count_if(st & (at < ts(end))).alias("status_before"),
                       F.count_if(st & at.between(ts(start), ts(end))).alias("status_between"))
 
@@ -87,7 +89,7 @@ def file_statistics(ledger: DataFrame) -> DataFrame:
     """Per provider totals by status, success and failure rate in %
     (0 when the provider has no file; Q-12: total counts every file)."""
     st = F.col("processing_status")
-    agg = ledger.groupBy("provider").agg(
+    agg = state_columns(ledger, "provider", "processing_status").groupBy("provider").agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(st == "PENDING").alias("pending_files"),
         F.count_if(st == "IN_PROGRESS").alias("processing_files"),
@@ -103,7 +105,7 @@ def files_today(ledger: DataFrame, as_of: str) -> DataFrame:
     day = as_of[:10]
     today = F.col("processing_completed_at").between(ts(f"{day} 00:00:00"), ts(f"{day} 23:59:59"))
     st = F.col("processing_status")
-    return ledger.agg(
+    return state_columns(ledger, "processing_completed_at", "processing_status").agg(
         F.count_if(today & (st == "COMPLETED")).alias("processed_today"),
         F.count_if(today & (st == "FAILED")).alias("failed_today"),
         F.count_if(st == "COMPLETED").alias("total_processed"))
@@ -160,7 +162,7 @@ def processing_health(ledger: DataFrame, as_of: str, active_jobs: int = 0) -> Da
     since = shift(now, hours=-K.HEALTH_STALE_HOURS)
     st = F.col("processing_status")
     recent = F.col("processing_completed_at") >= since
-    agg = ledger.agg(
+    agg = state_columns(ledger, "processing_completed_at", "processing_status").agg(
         F.count_if(recent & (st == "COMPLETED")).alias("recent_completed"),
         F.count_if(recent & (st == "FAILED")).alias("recent_failed"),
         F.max(F.when(st == "COMPLETED", F.col("processing_completed_at"))).alias("last_completed_at"))
@@ -247,7 +249,7 @@ def provider_metrics(reviews: DataFrame, ledger: DataFrame, providers: DataFrame
     r = reviews.groupBy("platform").agg(F.count(F.lit(1)).alias("review_count"),
                                         _avg("rating").alias("average_rating"))
     st = F.col("processing_status")
-    f = ledger.groupBy(F.upper("provider").alias("platform")).agg(
+    f = state_columns(ledger, "provider", "processing_status").groupBy(F.upper("provider").alias("platform")).agg(
         F.count_if(st == "COMPLETED").alias("completed_files"), F.count_if(st == "FAILED").alias("failed_files"))
     dim = providers.select(F.col("code").alias("platform"))
     return dim.join(r, "platform", "left").join(f, "platform", "left").select(

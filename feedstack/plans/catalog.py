@@ -608,7 +608,7 @@ def q_list_new_files(spark, sf):
 SELECT s3_key FROM processed_files f
 WHERE NOT EXISTS (SELECT 1 FROM processed_files l WHERE l.s3_key = f.s3_key AND l.processing_status = 'COMPLETED')"""))
 def q_list_unprocessed(spark, sf):
-    return ledger.filter_unprocessed(_files(spark, sf), TD.processed_files(spark, sf)).select("s3_key")
+    return ledger.filter_unprocessed(_files(spark, sf), TD.processed_events(spark, sf)).select("s3_key")
 
 
 @register("total_file_size", with_ctes(["ledger"], """
@@ -621,7 +621,7 @@ def q_total_file_size(spark, sf):
 @register("file_counts", with_ctes(["ledger"], """
 SELECT provider, processing_status, count(*) AS file_count FROM processed_files GROUP BY 1, 2"""))
 def q_file_counts(spark, sf):
-    return stats.file_counts(TD.processed_files(spark, sf))
+    return stats.file_counts(TD.processed_events(spark, sf))
 
 
 @register("completion_counts", with_ctes(["ledger"], """
@@ -631,7 +631,7 @@ SELECT count(*) FILTER (WHERE processing_completed_at < TIMESTAMP '2000-01-01 00
                           BETWEEN TIMESTAMP '1998-01-01 00:00:00' AND TIMESTAMP '2000-01-01 00:00:00') AS status_between
 FROM processed_files"""))
 def q_completion_counts(spark, sf):
-    return stats.completion_counts(TD.processed_files(spark, sf), "FAILED", "1998-01-01 00:00:00", "2000-01-01 00:00:00")
+    return stats.completion_counts(TD.processed_events(spark, sf), "FAILED", "1998-01-01 00:00:00", "2000-01-01 00:00:00")
 
 
 _RENAMED = "CASE WHEN id % 3 = 0 THEN upper(etag) || '-2' ELSE etag END"
@@ -685,7 +685,7 @@ SELECT provider, count(*) AS total_files,
        round(count(*) FILTER (WHERE processing_status = 'FAILED') * 100.0 / count(*), 6) AS failure_rate
 FROM processed_files GROUP BY provider"""))
 def q_file_statistics(spark, sf):
-    return stats.file_statistics(TD.processed_files(spark, sf))
+    return stats.file_statistics(TD.processed_events(spark, sf))
 
 
 _DAY = LEDGER_AS_OF[:10]
@@ -699,7 +699,7 @@ SELECT count(*) FILTER (WHERE processing_completed_at BETWEEN TIMESTAMP '{_DAY}
        count(*) FILTER (WHERE processing_status = 'COMPLETED') AS total_processed
 FROM processed_files"""))
 def q_files_today(spark, sf):
-    return stats.files_today(TD.processed_files(spark, sf), LEDGER_AS_OF)
+    return stats.files_today(TD.processed_events(spark, sf), LEDGER_AS_OF)
 
 
 @register("stuck_files_reset", with_ctes(["ledger"], f"""
@@ -707,7 +707,7 @@ SELECT id + 1 AS id, s3_key, 'FAILED' AS processing_status, '{K.STUCK_MESSAGE}'
 FROM processed_files WHERE processing_status = 'IN_PROGRESS'
   AND processing_started_at < TIMESTAMP '{LEDGER_AS_OF}' - INTERVAL 2 HOUR"""))
 def q_stuck_files_reset(spark, sf):
-    return ledger.reset_stuck(TD.processed_files(spark, sf), LEDGER_AS_OF).select(
+    return ledger.reset_stuck(TD.processed_events(spark, sf), LEDGER_AS_OF).select(
         "id", "s3_key", "processing_status", "error_message")
 
 
@@ -715,7 +715,7 @@ def q_stuck_files_reset(spark, sf):
 SELECT id, s3_key, created_at FROM processed_files
 WHERE created_at < TIMESTAMP '1995-06-01 00:00:00' AND processing_status IN ('COMPLETED', 'FAILED')"""))
 def q_old_files(spark, sf):
-    return ledger.old_files(TD.processed_files(spark, sf), "1995-06-01 00:00:00", ["COMPLETED", "FAILED"]) \
+    return ledger.old_files(TD.processed_events(spark, sf), "1995-06-01 00:00:00", ["COMPLETED", "FAILED"]) \
         .select("id", "s3_key", "created_at")
 
 
@@ -723,23 +723,28 @@ def q_old_files(spark, sf):
 SELECT id, s3_key FROM processed_files WHERE provider = 'Agoda' AND processing_status = 'COMPLETED'
   AND created_at >= TIMESTAMP '{LEDGER_AS_OF}' - INTERVAL 720 HOUR"""))
 def q_recent_files(spark, sf):
-    return ledger.recent_files(TD.processed_files(spark, sf), "Agoda", LEDGER_AS_OF, 720).select("id", "s3_key")
+    return ledger.recent_files(TD.processed_events(spark, sf), "Agoda", LEDGER_AS_OF, 720).select("id", "s3_key")
 
 
 @register("ledger_cleanup", with_ctes(["ledger"], f"""
-SELECT 'by_created' AS rule, count(*) AS kept FROM processed_files
+SELECT 'by_created' AS rule, processing_status, count(*) AS files, 3 * count(*) AS events FROM processed_files
 WHERE NOT coalesce(created_at < TIMESTAMP '{LEDGER_AS_OF}' - INTERVAL 30 DAY
-                   AND processing_status IN ('COMPLETED', 'FAILED', 'SKIPPED'), false)
+                   AND processing_status IN ('COMPLETED', 'FAILED', 'SKIPPED'), false) GROUP BY ALL
 UNION ALL
-SELECT 'by_completed', count(*) FROM processed_files
-WHERE NOT coalesce(processing_completed_at < TIMESTAMP '2000-01-01 00:00:00', false)"""))
+SELECT 'by_completed', processing_status, count(*), 3 * count(*) FROM processed_files
+WHERE NOT coalesce(processing_completed_at < TIMESTAMP '1997-01-01 00:00:00', false) GROUP BY ALL"""))
 def q_ledger_cleanup(spark, sf):
-    lf = TD.processed_files(spark, sf)
-    a = ledger.cleanup_by_created(lf, LEDGER_AS_OF).agg(F.count(F.lit(1)).alias("kept")).select(
-        F.lit("by_created").alias("rule"), "kept")
-    b = ledger.cleanup_by_completed(lf, "2000-01-01 00:00:00").agg(F.count(F.lit(1)).alias("kept")).select(
-        F.lit("by_completed").alias("rule"), "kept")
-    return a.unionByName(b)
+    """What a purge leaves: files by the state they are in after it, and all of their events."""
+    lf = TD.processed_events(spark, sf)
+
+    def left(rule, kept):
+        events = kept.groupBy("s3_key", "etag").agg(F.count(F.lit(1)).alias("events"))
+        return (ledger.state_columns(kept, "processing_status").join(events, ["s3_key", "etag"])
+                .groupBy(F.lit(rule).alias("rule"), "processing_status")
+                .agg(F.count(F.lit(1)).alias("files"), F.sum("events").alias("events")))
+
+    return left("by_created", ledger.cleanup_by_created(lf, LEDGER_AS_OF)).unionByName(
+        left("by_completed", ledger.cleanup_by_completed(lf, "1997-01-01 00:00:00")))
 
 
 @register("ledger_current", with_ctes(["ledger"], f"""
@@ -750,7 +755,7 @@ SELECT s3_key, etag,
             THEN '{K.STUCK_MESSAGE}' ELSE error_message END AS error_message
 FROM processed_files"""))
 def q_ledger_current(spark, sf):
-    lf = TD.processed_files(spark, sf)
+    lf = TD.processed_events(spark, sf)
     events = lf.unionByName(ledger.reset_stuck(lf, LEDGER_AS_OF))
     return ledger.current_state(events).select("s3_key", "etag", "processing_status", "error_message")
 
@@ -804,7 +809,7 @@ FROM (SELECT *, CASE WHEN recent_completed + recent_failed > 0
                    max(CASE WHEN processing_status = 'COMPLETED' THEN processing_completed_at END) AS last_completed_at
             FROM processed_files)))"""))
 def q_processing_health(spark, sf):
-    return stats.processing_health(TD.processed_files(spark, sf), LEDGER_AS_OF)
+    return stats.processing_health(TD.processed_events(spark, sf), LEDGER_AS_OF)
 
 
 # ----------------------------------------------------------------------------
@@ -1009,12 +1014,17 @@ def q_parse_dates(spark, sf):
 
 
 @register("track_files", with_ctes(["ledger"], f"""
-SELECT s3_key, 'PENDING' AS processing_status, TIMESTAMP '{LEDGER_AS_OF}' AS updated_at FROM processed_files f
-WHERE NOT EXISTS (SELECT 1 FROM processed_files l WHERE l.s3_key = f.s3_key AND l.etag = f.etag
-                    AND l.created_at < TIMESTAMP '2000-01-01 00:00:00')"""))
+SELECT s3_key, CASE WHEN old THEN 3 ELSE 1 END AS events,
+       CASE WHEN old THEN updated_at ELSE TIMESTAMP '{LEDGER_AS_OF}' END AS updated_at,
+       CASE WHEN old THEN processing_status ELSE 'PENDING' END AS processing_status
+FROM (SELECT *, created_at < TIMESTAMP '1997-01-01 00:00:00' AS old FROM processed_files)"""))
 def q_track_files(spark, sf):
-    known = TD.processed_files(spark, sf).filter(F.col("created_at") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
-    return ledger.track_files(_files(spark, sf), known, LEDGER_AS_OF).select("s3_key", "processing_status", "updated_at")
+    """L3: the events of new files appended to a log that knows the older ones; then the state of all files."""
+    known = TD.processed_events(spark, sf).filter(F.col("created_at") < F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))
+    log = known.unionByName(ledger.track_files(_files(spark, sf), known, LEDGER_AS_OF))
+    events = log.groupBy("s3_key").agg(F.count(F.lit(1)).alias("events"))
+    return ledger.state_columns(log, "processing_status").join(events, "s3_key").select(
+        "s3_key", "events", "updated_at", "processing_status")
 
 
 @register("select_job_files", with_ctes(["ledger"], """
@@ -1050,7 +1060,7 @@ FROM (SELECT count(*) FILTER (WHERE processing_completed_at BETWEEN TIMESTAMP '{
              count(*) FILTER (WHERE processing_completed_at BETWEEN TIMESTAMP '{_DAY} 00:00:00' AND TIMESTAMP '{_DAY} 23:59:59'
                                AND processing_status = 'FAILED') AS failed_today FROM processed_files)"""))
 def q_health_thresholds(spark, sf):
-    return stats.health_thresholds(TD.processed_files(spark, sf), LEDGER_AS_OF)
+    return stats.health_thresholds(TD.processed_events(spark, sf), LEDGER_AS_OF)
 
 
 @register("system_metrics", with_ctes(["reviews", "ledger", "jobs"], f"""
@@ -1075,7 +1085,7 @@ def q_system_metrics(spark, sf):
         F.count(F.lit(1)).cast("double").alias("total_reviews"),
         F.count_if(F.col("created_at") >= shift(ts(AS_OF), hours=-24)).cast("double").alias("reviews_last_24h"),
         F.round(F.avg("rating"), 6).alias("average_rating"))
-    f = stats.files_today(TD.processed_files(spark, sf), LEDGER_AS_OF).select(
+    f = stats.files_today(TD.processed_events(spark, sf), LEDGER_AS_OF).select(
         F.col("processed_today").cast("double").alias("files_processed_today"),
         F.col("failed_today").cast("double").alias("files_failed_today"))
     j = TD.processing_jobs(spark, sf).agg(
@@ -1094,7 +1104,7 @@ LEFT JOIN (SELECT upper(provider) AS platform, count(*) FILTER (WHERE processing
                   count(*) FILTER (WHERE processing_status = 'FAILED') AS failed_files
            FROM processed_files GROUP BY 1) f ON p.code = f.platform""", ["ledger"]))
 def q_provider_metrics(spark, sf):
-    return stats.provider_metrics(TD.reviews(spark, sf), TD.processed_files(spark, sf), _providers(spark, sf))
+    return stats.provider_metrics(TD.reviews(spark, sf), TD.processed_events(spark, sf), _providers(spark, sf))
 
 
 @register("service_totals", _with_providers("""
@@ -1209,7 +1219,7 @@ SELECT provider || '-' || strftime(created_at, '%Y-%m-%d') AS run_id,
        max(CASE WHEN processing_status = 'FAILED' THEN s3_key END) AS last_failed_file
 FROM processed_files GROUP BY 1"""))
 def q_job_files_join(spark, sf):
-    return ledger.job_files_join(ledger.ledger_runs(TD.processed_files(spark, sf)))
+    return ledger.job_files_join(ledger.ledger_runs(TD.processed_events(spark, sf)))
 
 
 @register("job_file_rows", with_ctes(["ledger"], """
@@ -1219,7 +1229,7 @@ LEFT JOIN (SELECT provider || '-' || strftime(created_at, '%Y-%m-%d') AS run_id,
                   CASE processing_status WHEN 'COMPLETED' THEN 'processed' ELSE 'failed' END AS list
            FROM processed_files WHERE processing_status IN ('COMPLETED', 'FAILED')) USING (run_id)"""))
 def q_job_file_rows(spark, sf):
-    return ledger.job_file_rows(ledger.ledger_runs(TD.processed_files(spark, sf)))
+    return ledger.job_file_rows(ledger.ledger_runs(TD.processed_events(spark, sf)))
 
 
 @register("job_summary", with_ctes(["ledger"], """
@@ -1231,7 +1241,7 @@ FROM (SELECT provider || '-' || strftime(created_at, '%Y-%m-%d') AS run_id,
              CAST(coalesce(sum(records_processed) FILTER (WHERE processing_status = 'COMPLETED'), 0) AS BIGINT) AS total_reviews
       FROM processed_files GROUP BY 1)"""))
 def q_job_summary(spark, sf):
-    return ledger.job_summary(ledger.ledger_runs(TD.processed_files(spark, sf)))
+    return ledger.job_summary(ledger.ledger_runs(TD.processed_events(spark, sf)))
 
 
 @register("retry_jobs", with_ctes(["jobs"], f"""
@@ -1258,7 +1268,7 @@ FROM tagged GROUP BY file_key""", lines_filter="""file_key IN (
       SELECT 'reviews/' || o_orderpriority || '/order-' || CAST(o_orderkey AS VARCHAR) || '.jl' FROM orders
       WHERE o_orderstatus = 'O')"""))
 def q_replay_failed(spark, sf):
-    runs = ledger.ledger_runs(TD.processed_files(spark, sf))
+    runs = ledger.ledger_runs(TD.processed_events(spark, sf))
     lines = ledger.replay_failed(runs, TD.review_lines(spark, sf))
     r = E.batch_result(E.ingest_batch(lines, AS_OF))
     return r.select("file_key", "total_lines", "valid_count", "invalid_count")

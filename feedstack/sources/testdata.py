@@ -224,6 +224,23 @@ def processed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def processed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as an event log: every file was tracked, failed once half an hour later, and then came to the state that
+    ``processed_files`` has."""
+    last = processed_files(spark, sf_dir)
+    none, zero = F.lit(None).cast("timestamp_ntz"), F.lit(0)
+    first = last.withColumns({
+        "id": F.col("id") - 2_000_000_000, "processing_status": F.lit("PENDING"), "updated_at": F.col("created_at"),
+        "records_processed": zero, "records_failed": zero, "error_message": F.lit(None).cast("string"),
+        "processing_started_at": none, "processing_completed_at": none})
+    half = F.timestamp_add("MINUTE", F.lit(30), F.col("created_at"))
+    failed = last.withColumns({
+        "id": F.col("id") - 1_000_000_000, "processing_status": F.lit("FAILED"), "updated_at": half, "records_processed": zero,
+        "records_failed": F.lit(1), "error_message": F.lit("first try"), "processing_started_at": half,
+        "processing_completed_at": half})
+    return first.unionByName(failed).unionByName(last)
+
+
 def processing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processing jobs: one job per event."""
     e = table(spark, sf_dir, "events")

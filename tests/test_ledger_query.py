@@ -123,3 +123,58 @@ def test_file_status_of_one_version(spark):
     ev = _events(spark)
     assert [r.processing_status for r in ledger.file_status(ev, "a").collect()] == ["COMPLETED"]
     assert ledger.file_status(ev, "a", "other").count() == 0
+
+
+def _retried(spark):
+    """One file tracked, started, failed, retried and completed; one that failed last; one null etag."""
+    t = "2024-01-0{} 00:00:00"
+    rows = [(1, "a", "e", "PENDING", 1, None), (2, "a", "e", "IN_PROGRESS", 2, None), (3, "a", "e", "FAILED", 3, 3),
+            (4, "a", "e", "COMPLETED", 4, 4), (5, "b", "e", "COMPLETED", 2, 2), (6, "b", "e", "FAILED", 5, 5), (7, "c", None, "PENDING", 1, None)]
+    schema = ("id long, s3_key string, etag string, processing_status string, updated_at string, processing_completed_at string, "
+              "provider string, created_at string, file_size long, last_modified_date string, records_processed int")
+    df = spark.createDataFrame([(i, k, e, s, t.format(u), c and t.format(c), "Agoda", t.format(1), 9, t.format(1), 4)
+                                for i, k, e, s, u, c in rows], schema)
+    times = ("updated_at", "processing_completed_at", "created_at", "last_modified_date")
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+def test_statistics_and_finders_count_files_not_events(spark):
+    ev = _retried(spark)
+    r = stats.file_statistics(ev).first()
+    assert (r.total_files, r.completed_files, r.failed_files, r.pending_files) == (3, 1, 1, 1)
+    assert {(x.processing_status, x.file_count) for x in stats.file_counts(ev).collect()} == {
+        ("COMPLETED", 1), ("FAILED", 1), ("PENDING", 1)}
+    assert [x.s3_key for x in ledger.old_files(ev, "2024-02-01 00:00:00", ["FAILED"]).collect()] == ["b"]
+    assert [x.s3_key for x in ledger.files_by_status(ev, "COMPLETED", "Agoda").collect()] == ["a"]
+    assert [x.s3_key for x in ledger.recent_files(ev, "Agoda", "2024-01-02 00:00:00", 48).collect()] == ["a"]
+    assert stats.files_today(ev, "2024-01-03 12:00:00").first().failed_today == 0
+    one = ledger.job_summary(ledger.ledger_runs(ev)).first()
+    assert (one.processed_files, one.failed_files, one.total_reviews) == (1, 1, 4)
+    lines = spark.createDataFrame([("a", 1), ("b", 1)], "file_key string, line_no int")
+    assert [x.file_key for x in ledger.replay_failed(ledger.ledger_runs(ev), lines).collect()] == ["b"]
+
+
+def test_a_purged_file_leaves_no_older_state(spark, scratch):
+    from feedstack.sources import tables as T
+    ev = _retried(spark)
+    kept = ledger.cleanup_by_created(ev, "2024-06-01 00:00:00")
+    assert [(r.s3_key, r.processing_status) for r in kept.collect()] == [("c", "PENDING")]
+    kept = ledger.cleanup_by_completed(ev, "2024-01-05 00:00:00")
+    assert sorted(r.s3_key for r in kept.collect()) == ["b", "b", "c"]
+    root = f"{scratch}/ledger"
+    T.write_batch(ev.filter("id < 4"), root, "1")
+    T.write_batch(ev.filter("id >= 4"), root, "2")
+    assert ledger.purge_ledger(spark, root, "2024-06-01 00:00:00") == 6
+    assert [r.s3_key for r in T.read_store(spark, root).collect()] == ["c"]
+    assert ledger.purge_ledger(spark, root, "2024-06-01 00:00:00") == 0
+
+
+def test_tracked_files_fit_the_log(spark):
+    ev = _retried(spark)
+    files = ev.select("s3_key", "etag", "file_size", "last_modified_date", "provider").distinct().unionByName(
+        spark.createDataFrame([("new", "e", 5, "Booking")], "s3_key string, etag string, file_size long, provider string")
+        .withColumn("last_modified_date", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    new = ledger.track_files(files.filter("etag is not null"), ev, "2024-03-01 00:00:00")
+    assert new.columns == ev.columns
+    state = {r.s3_key: (r.id, r.processing_status, str(r.created_at)) for r in ledger.current_state(ev.unionByName(new)).collect()}
+    assert state["new"] == (8, "PENDING", "2024-03-01 00:00:00") and state["a"][1] == "COMPLETED"
