@@ -85,6 +85,8 @@ REVIEW_MAX_LENGTHS = [
     ("check_in_date_month_and_year", 50),
     ("encrypted_review_data", 500),
 ]
+#: Before the reason why the store refuses a row.
+SAVE_FAILED = "Processing failed - "
 PROVIDER_NAME_MAX = 100
 PROVIDER_DESCRIPTION_MAX = 500
 PROVIDER_ENDPOINT_MAX = 255

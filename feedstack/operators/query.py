@@ -201,6 +201,51 @@ def page(df: DataFrame, page_no: int = 0, size: int = 20, order: list[Column] |
     return df.orderBy(*order, F.col(tie_break)).offset(page_no * size).limit(size)
 
 
+#: Rows that a deep page may sort at once, and the accuracy (1/rank error) of the sketch that narrows it down.
+DEEP_ROWS, DEEP_ACCURACY = 100_000, 10_000
+
+
+def page_deep(df: DataFrame, page_no: int, size: int = 20, tie_break: str = "id", rows: int = DEEP_ROWS) -> DataFrame:
+    """P1 for pages far down, in the order of ``page``: no task holds the rows before the page.
+
+    A mergeable sketch of the sort key gives two values around the ranks of the page; one aggregate counts exactly the rows
+    before, at, between and after them; only the parts that hold rows of the page go on, and those with one date are
+    split further by ``tie_break`` (a unique whole number).  Parts of up to ``rows`` rows are sorted.  Counts, at most
+    five a step, are all that reaches the driver.  A page beyond the last row is empty."""
+    # ascending whole numbers: later dates first, rows without a date before them
+    keyed = df.withColumns({"_at": F.coalesce(-F.unix_micros(F.col("review_date").cast("timestamp")), F.lit(-(1 << 63))),
+                            "_tie": F.col(tie_break).cast("long")})
+    pieces = _located(keyed, ["_at", "_tie"], page_no * size, size, rows)
+    found = pieces[0] if pieces else keyed.limit(0)
+    for piece in pieces[1:]:
+        found = found.unionByName(piece)
+    return found.orderBy("_at", "_tie").select(*df.columns)
+
+
+def _located(df: DataFrame, keys: list[str], skip: int, take: int, rows: int) -> list[DataFrame]:
+    """The rows ``skip`` to ``skip + take`` of ``df`` in the order of ``keys``, as sorted parts."""
+    n = df.count()
+    if skip >= n or take <= 0:
+        return []
+    if n <= rows or not keys:
+        return [df.orderBy(*keys, "_tie").offset(skip).limit(take)]
+    key, slack = F.col(keys[0]), 2 / DEEP_ACCURACY
+    share = [max(0.0, skip / n - slack), min(1.0, (skip + take) / n + slack)]
+    low, high = df.agg(F.percentile_approx(key, share, DEEP_ACCURACY).alias("p")).first().p
+    parts = [(key < low, keys), (key == low, keys[1:])]
+    if high > low:
+        parts += [((key > low) & (key < high), keys), (key == high, keys[1:])]
+    parts.append((key > high, keys))
+    counts = df.agg(*[F.count_if(cond).alias(f"n{i}") for i, (cond, _) in enumerate(parts)]).first()
+    out, before = [], 0
+    for (cond, rest), count in zip(parts, counts, strict=True):
+        first, end = max(skip - before, 0), min(skip + take - before, count)
+        if first < end:
+            out += _located(df.filter(cond), rest, first, end - first, rows)
+        before += count
+    return out
+
+
 def page_info(df: DataFrame, size: int = 20) -> DataFrame:
     """Total elements and pages of a filtered result (one count)."""
     return df.agg(F.count(F.lit(1)).alias("total_elements")).withColumn(

@@ -22,8 +22,9 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, batch_id: str
     ``batch_id=`` directories (overwrite), the ledger last.  ``files``: the
     listing (S2) of the batch, for the size and time of its files.
 
-    A ledger row is a full event: its sequence number ``id`` is the time it
-    was written, so of two runs with one ``as_of`` the later one counts."""
+    A ledger row is a full event: its sequence number ``id`` follows those of
+    the batches before it, so of two runs with one ``as_of`` the later one
+    counts; a replayed batch keeps the number that it had."""
     if not tables.committed_batches(spark, f"{root}/keys") and tables.read_store(spark, f"{root}/reviews") is not None:
         keys.rebuild_keys(spark, f"{root}/reviews", f"{root}/keys")
     lined = E.stage_lines(lines, as_of)
@@ -46,7 +47,7 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, batch_id: str
     status = F.when(F.col("successful"), F.lit("COMPLETED")).otherwise(F.lit("FAILED"))
     now = ts(as_of)
     ledger_rows = result.select(
-        F.unix_micros(F.current_timestamp()).alias("id"), F.col("file_key").alias("s3_key"),
+        F.lit(_sequence(spark, root, batch_id)).alias("id"), F.col("file_key").alias("s3_key"),
         F.md5(F.concat_ws("|", F.col("file_size").cast("string"), F.col("last_modified_date").cast("string"))).alias("etag"),
         "file_size", "last_modified_date", "provider", status.alias("processing_status"),
         F.col("valid_count").cast("int").alias("records_processed"),
@@ -60,6 +61,15 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, batch_id: str
     return spark.read.parquet(f"{root}/ledger/batch_id={batch_id}")
 
 
+def _sequence(spark: SparkSession, root: str, batch_id: str) -> int:
+    """The sequence number of a batch's events: its own where it was written before, else the one after all others."""
+    events = tables.read_store(spark, f"{root}/ledger")
+    if events is None:
+        return 1
+    known = events.agg(F.max(F.when(F.col("batch_id") == batch_id, F.col("id"))).alias("own"), F.max("id").alias("last")).first()
+    return known.own or (known.last or 0) + 1
+
+
 def _new_providers(spark: SparkSession, lined: DataFrame, root: str, batch_id: str) -> DataFrame:
     """The providers that a batch creates, from the names of its valid
     lines; those of other batches and the sample rows are known."""

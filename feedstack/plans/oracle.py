@@ -208,8 +208,13 @@ def staged(as_of: str) -> str:
     return validated(as_of) + f""",
 staged AS (
   SELECT *,
+    list_filter([CASE WHEN rating_value IS NULL THEN 'rating is required' END,
+                 CASE WHEN length({jtrim('title_text')}) > 500 THEN 'review_title exceeds 500 characters' END,
+                 CASE WHEN length({jtrim('translate_source_text')}) > 10 THEN 'translate_source exceeds 10 characters' END],
+                lambda x: x IS NOT NULL) AS save_errors,
     CASE WHEN is_blank THEN 'blank' WHEN is_malformed THEN 'malformed' WHEN len(errors) > 0 THEN 'invalid'
-         WHEN hrid_kind IS NULL OR hrid_kind = 'null' THEN 'failed' ELSE 'candidate' END AS stage,
+         WHEN hrid_kind IS NULL OR hrid_kind = 'null' OR rating_value IS NULL OR length({jtrim('title_text')}) > 500
+              OR length({jtrim('translate_source_text')}) > 10 THEN 'failed' ELSE 'candidate' END AS stage,
     CASE upper(provider) WHEN 'AGODA' THEN 'AGODA' WHEN 'BOOKING' THEN 'BOOKING' WHEN 'EXPEDIA' THEN 'EXPEDIA'
          WHEN 'AIRBNB' THEN 'AIRBNB' END AS platform,
     hrid_text AS hotel_review_id,
@@ -222,7 +227,9 @@ staged AS (
 tagged0 AS (
   SELECT *,
     CASE WHEN stage = 'invalid' THEN errors
-         WHEN stage = 'failed' THEN ['Processing failed - Failed to transform review data: hotelReviewId is missing from comment data']
+         WHEN stage = 'failed' AND (hrid_kind IS NULL OR hrid_kind = 'null')
+           THEN ['Processing failed - Failed to transform review data: hotelReviewId is missing from comment data']
+         WHEN stage = 'failed' THEN list_transform(save_errors, lambda x: 'Processing failed - ' || x)
          ELSE []::VARCHAR[] END AS line_errors
   FROM staged
 ),

@@ -11,10 +11,13 @@ keys (no unbounded streaming state).
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..plans.files import ingest_lines
 from ..sources import tables
@@ -51,18 +54,63 @@ def stream_ingest(spark: SparkSession, source_dir: str, root: str, checkpoint: s
     return w.start()
 
 
-def stream_counters(spark: SparkSession, ledger_dir: str, checkpoint: str, query_name: str = "file_counters",
-                    ledger_schema: str = ("s3_key string, provider string, processing_status string, records_processed int, "
-                                          "records_failed int, records_skipped int, error_message string, "
-                                          "updated_at timestamp_ntz")) -> StreamingQuery:
-    """ST3: running counters of files and reviews by provider and status, kept
-    as streaming aggregation state (bounded by their numbers) and exposed as
-    an in-memory table ``query_name``."""
-    events = spark.readStream.schema(ledger_schema).option("basePath", ledger_dir).parquet(f"{ledger_dir}/batch_id=*")
-    counts = events.groupBy("provider", "processing_status").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("records_processed").alias("reviews"))
-    return (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+#: Columns of a ledger event that the counters read.
+EVENT_SCHEMA = ("id long, s3_key string, etag string, provider string, processing_status string, records_processed int, "
+                "updated_at timestamp_ntz")
+_MOVE_SCHEMA = "provider string, processing_status string, files long, reviews long"
 
 
-__all__ = ["stream_ingest", "stream_counters"]
+def _moves(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What the new events of one file change: -1 file in the status that it leaves, +1 in the one that it is in now."""
+    last = state.get if state.exists else None
+    best = last
+    for rows in batches:
+        for r in rows.itertuples(index=False):
+            at = (pd.Timestamp(r.updated_at).value if pd.notna(r.updated_at) else -1, int(r.id) if pd.notna(r.id) else -1)
+            if best is None or at > tuple(best[:2]):
+                done = int(r.records_processed) if pd.notna(r.records_processed) else 0
+                best = (*at, r.provider if pd.notna(r.provider) else None,
+                        r.processing_status if pd.notna(r.processing_status) else None, done)
+    if best is not None and best != last:
+        state.update(best)
+        moves = [(best[2], best[3], 1, best[4])] + ([(last[2], last[3], -1, -last[4])] if last is not None else [])
+        yield pd.DataFrame(moves, columns=["provider", "processing_status", "files", "reviews"])
+
+
+def stream_counters(spark: SparkSession, ledger_dir: str, root: str, checkpoint: str,
+                    available_now: bool = True, processing_time: str = "10 seconds") -> StreamingQuery:
+    """ST3: running counters of files and reviews by provider and current status.
+
+    The state of a file is the last event seen of it (one small row a file).  Its new events turn into moves from one status
+    to another; the moves of a micro-batch are summed and written as the batch ``e<epoch>`` of the store ``root``,
+    one row for each provider and status that changed.  A batch that is replayed after a crash replaces its own rows, so
+    every move counts once.  ``read_counters`` sums the batches.  An event that comes late, but is older than the state,
+    changes nothing."""
+    events = spark.readStream.schema(EVENT_SCHEMA).option("basePath", ledger_dir).parquet(f"{ledger_dir}/batch_id=*")
+    moves = (events.select("id", F.coalesce("s3_key", F.lit("")).alias("s3_key"), F.coalesce("etag", F.lit("")).alias("etag"),
+                           "provider", "processing_status", "records_processed", "updated_at")
+             .groupBy("s3_key", "etag").applyInPandasWithState(
+                 _moves, _MOVE_SCHEMA, "at long, id long, provider string, status string, reviews long", "update",
+                 "NoTimeout"))
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        changed = (batch.groupBy("provider", "processing_status")
+                   .agg(F.sum("files").alias("files"), F.sum("reviews").alias("reviews")))
+        tables.write_batch(changed.withColumn("version", F.lit(epoch).cast("long")), root, f"e{epoch:08d}")
+
+    w = moves.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)).start()
+
+
+def read_counters(spark: SparkSession, root: str) -> DataFrame | None:
+    """ST3: files and reviews by provider and status as of the last batch, with its number as ``version``; statuses that no
+    file is in any more are left out.  None before the first batch."""
+    moves = tables.read_store(spark, root)
+    if moves is None:
+        return None
+    return (moves.groupBy("provider", "processing_status")
+            .agg(F.sum("files").alias("files"), F.sum("reviews").alias("reviews"), F.max("version").alias("version"))
+            .filter("files <> 0"))
+
+
+__all__ = ["stream_ingest", "stream_counters", "read_counters"]

@@ -144,3 +144,13 @@ def test_all_columns_of_a_review_are_stored(spark):
     assert (r[0].reviewer_flag_name, r[0].room_type_id, r[0].review_group_id) == ("th", 7, None)
     assert (r[0].is_show_review_response, r[0].is_show_global_icon, r[0].is_expert_reviewer) == (True, True, False)
     assert (r[1].original_title, r[1].is_show_review_response, r[1].length_of_stay) == (None, False, 2)
+
+
+def test_a_row_that_the_store_refuses_has_failed(spark):
+    from helpers import DROP
+    lines = lines_df(spark, [line(hotelReviewId=1, rating=DROP), line(hotelReviewId=1), line(hotelReviewId=2, reviewTitle="t" * 501)])
+    tagged = {r.line_no: r for r in E.ingest_batch(lines, AS_OF).collect()}
+    assert [tagged[i].outcome for i in (1, 2, 3)] == ["failed", "valid", "failed"]
+    assert tagged[1].line_errors == ["Processing failed - rating is required"]
+    assert tagged[3].line_errors == ["Processing failed - review_title exceeds 500 characters"]
+    assert E.stored_reviews(E.ingest_batch(lines, AS_OF)).filter("rating is null").count() == 0
