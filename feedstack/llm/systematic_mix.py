@@ -74,12 +74,12 @@ def mix(docs: DataFrame, source: str = "source", seed: int = 0, weights: tuple[i
     ``target``, ``copies`` (0 to ``most``) and ``taken`` = copies x size.
 
     A column of ``docs`` with one of these five names is replaced.  Null texts have size 0; a null source is a source of
-    its own, after all others.  Equal rows are told apart by position only, so it does not matter which of them is
-    taken.  Sources without words have target 0 and no copies.  A run depends on the rows, ``seed`` and the weights
+    its own, after all others.  Rows of one size and doc_id are ordered by a hash of their text, so reruns agree however the
+    rows are partitioned; equal rows are told apart by position only, so it does not matter which of them is taken.  Sources without words have target 0 and no copies.  A run depends on the rows, ``seed`` and the weights
     only.  An empty table gives an empty result."""
-    added = ("size", "source_size", "target", "copies", "taken", "skey", "_class", "_bin", "_rank", "_start")
+    added = ("size", "source_size", "target", "copies", "taken", "skey", "_class", "_bin", "_rank", "_start", "_tkey")
     own = docs.select(*[c for c in docs.columns if c not in added])
-    rows = own.withColumn("size", word_count()).withColumn("skey", source_key(source))
+    rows = own.withColumns({"size": word_count(), "skey": source_key(source), "_tkey": F.xxhash64(empty_as("text"))})
     sizes = written(rows.groupBy("skey").agg(F.first(F.col(source)).alias("source"), F.sum("size").alias("source_size"),
                                              F.count(F.lit(1)).alias("n")), "sizes")
     bins = F.greatest(F.lit(LEAST_BINS), F.ceil(F.max("n") / BIN_DOCS)).cast("long")
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, source: str = "source", seed: int = 0, weights: tuple[i
               .rowsBetween(Window.unboundedPreceding, -1))
     cells = (counts.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
              .join(targets(sizes.drop("n"), weights, share, most).drop("source"), "skey"))
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id", "_tkey"))
     placed = rows.withColumn("_rank", rank).join(cells, cell)
     offset = _draw(F.concat(F.lit(f"{seed}:"), F.col("skey"))) / F.lit(4294967296.0)
     expected = F.col("target") / F.col("source_size")

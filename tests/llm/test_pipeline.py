@@ -53,3 +53,27 @@ def test_every_operator_has_a_query():
     names = queries.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
     assert set(queries.oracle_sql()) <= set(names)
+
+
+HELPERS = ("_id", "_tkey", "_row_key", "score", "lang_pred", "bits_per_byte", "_text", "_letter", "email", "ip", "card", "phone",
+           "spans", "nid", "root", "n", "d1", "d2", "item_id", "words", "slots", "key", "size")
+
+
+def test_columns_named_like_helpers_come_back_as_they_came(spark, scratch):
+    from pyspark.sql import functions as F
+    docs = tables(spark, scratch)
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in HELPERS])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, scratch)
+        assert out.schema == docs.schema, name
+        for r in out.filter("doc_id is not null").collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in HELPERS), (name, r)
+
+
+def test_the_mix_is_the_same_for_other_partitionings(spark):
+    from feedstack.llm import systematic_mix
+    rows = [(7, f"word{i} and four more words", "s") for i in range(20)] + [(i, "w " * (i % 9), f"s{i % 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = [sorted(map(tuple, systematic_mix.mix(docs.repartition(n, "text")).select("doc_id", "text", "copies").collect()))
+            for n in (1, 13)]
+    assert seen[0] == seen[1]
