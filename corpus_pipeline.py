@@ -6,6 +6,8 @@ cluster and reads it again as the documents of the next stage.  All but the last
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,24 @@ from feedstack.llm import pii_boosting, ppm_language, systematic_mix, template_d
 from feedstack.llm.common import ship_package, written
 
 #: A text that takes more bits for each byte in every learned language is in none of them: a uniform guess takes 8.
-MOST_BITS = 9.0
+MOST_BITS = 8.0
+#: The columns of documents that stages read.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def shielded(stage):
+    """``stage`` with all columns that it does not read under names of no helper column; they come back as they came."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = {c: f"column{i}_of_documents" for i, c in enumerate(docs.columns) if c not in READ}
+        back = {new: old for old, new in own.items()}
+        out = stage(spark, docs.withColumnsRenamed(own), sf_dir)
+        return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns])
+    return run
+
 
 
+@shielded
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null, have no letter, or are in none of the learned languages."""
     ship_package(spark)
@@ -27,18 +44,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
 
 
+@shielded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     ship_package(spark)
     return token_combinations.keep_one(docs, k=5, percent=80)
 
 
+@shielded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark, also with other numbers, names or units."""
     ship_package(spark)
     return template_decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@shielded
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts."""
     return pii_boosting.redact(docs)
