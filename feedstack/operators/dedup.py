@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 REVIEW_KEY = ["platform", "hotel_review_id"]
 
 
@@ -39,13 +41,35 @@ def dedup_against_store(df: DataFrame, store: DataFrame, key: list[str] | None =
     return df.join(store.select(*key), key, "left_anti")
 
 
+#: A group is heavy when it holds more than 1 / (SHARES * shuffle partitions) of all rows in groups.
+SHARES = 4
+
+
+def salted(reviews: DataFrame, groups: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and groups (``key``, ``_n`` rows each) with a ``_salt`` that deals the rows of a heavy group over shares of about
+    equal size, by a hash of the row.  The heavy groups are fewer than SHARES * shuffle partitions whatever the data,
+    so they are broadcast; a group that is not heavy has one share."""
+    shares = SHARES * int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = groups.agg(F.sum("_n").alias("n")).first().n or 0
+    sized = groups.withColumn("_shares", F.greatest(F.ceil(F.col("_n") * shares / F.lit(max(total, 1))), F.lit(1)).cast("int"))
+    heavy = F.broadcast(sized.filter("_shares > 1").select(*key, "_shares"))
+    plain = [c for c, t in reviews.dtypes if t.split("<")[0] not in ("array", "map", "struct", "variant")]
+    salt = F.coalesce(F.pmod(F.xxhash64(*plain), F.col("_shares")), F.lit(0)).cast("int")
+    rows = reviews.join(heavy, key, "left").withColumn("_salt", salt).drop("_shares")
+    return rows, sized.select(*key, F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_salt"))
+
+
 def potential_duplicates(reviews: DataFrame) -> DataFrame:
     """Every review whose (hotel_id, content_hash) group has > 1 row.
-    The group count is partially aggregated; the semi join goes back on the
-    (already unique) group key."""
-    groups = (reviews.groupBy("hotel_id", "content_hash").agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > 1).select("hotel_id", "content_hash"))
-    return reviews.join(groups, ["hotel_id", "content_hash"], "left_semi")
+    The groups are counted by a partial aggregate and written once; the semi
+    join goes back on the (unique) group key and a salt that splits the rows
+    of heavy groups, so no task gets a group whole.  A row without a hotel or
+    a hash is in no group."""
+    key = ["hotel_id", "content_hash"]
+    groups = staged(reviews.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+                    .filter((F.col("_n") > 1) & F.col("hotel_id").isNotNull() & F.col("content_hash").isNotNull()), "groups")
+    rows, shares = salted(reviews, groups, key)
+    return rows.join(shares, [*key, "_salt"], "left_semi").select(*reviews.columns)
 
 
 def latest_per_key(events: DataFrame, key: list[str], order: list[str], value_cols: list[str]) -> DataFrame:

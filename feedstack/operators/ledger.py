@@ -299,25 +299,6 @@ def job_events(jobs: DataFrame) -> DataFrame:
     return created.unionByName(started).unionByName(ended)
 
 
-JOB_TRANSITIONS = {  # allowed (from -> to) moves of a job
-    "PENDING": ["IN_PROGRESS", "CANCELLED", "FAILED"],
-    "IN_PROGRESS": ["COMPLETED", "FAILED", "CANCELLED"],
-}
-
-
-def job_transitions(events: DataFrame) -> DataFrame:
-    """Current job state from an event log (max_by on event time) and
-    each event flagged legal / illegal against the previous state."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("processing_id").orderBy("event_ts", "seq")
-    prev = F.lag("status").over(w)
-    legal = F.lit(False)
-    for src, dsts in JOB_TRANSITIONS.items():
-        legal = legal | ((prev == src) & F.col("status").isin(*dsts))
-    return events.withColumn("previous_status", prev).withColumn(
-        "legal", prev.isNull() | legal)
-
-
 def ledger_runs(ledger: DataFrame) -> DataFrame:
     """Processing runs derived from the ledger: one run per provider and
     creation day (``run_id``), with the current state of its files as the child table."""

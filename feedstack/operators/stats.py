@@ -218,6 +218,23 @@ def metric_counters(metrics: DataFrame, tags: tuple[str, ...] = ("provider", "st
         F.count(F.lit(1)).alias("observations"), F.round(F.sum("value"), 6).alias("total"))
 
 
+def meter_counters(observations: DataFrame) -> DataFrame:
+    """A25 over meters that each have tags of their own: ``observations`` (metric, tags map<string, string>, value).  One row
+    for each meter and set of tags, ``name=value`` in order of their names: all tags of an observation, each tag alone, and
+    none (the meter's total); ``n_tags`` tells them apart.
+
+    The observations are aggregated once, by all of their tags; the smaller sets sum that result.  A tag without a value
+    has the empty value, a null map has no tag; values are whole increments."""
+    tag = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
+    none = F.array().cast("array<string>")
+    full = observations.select("metric", "value", F.coalesce(F.array_sort(F.transform(F.map_entries("tags"), tag)), none).alias(
+        "tags")).groupBy("metric", "tags").agg(F.count(F.lit(1)).alias("observations"), F.sum("value").alias("total"))
+    sets = F.array_distinct(F.concat(F.array("tags", none), F.transform("tags", lambda t: F.array(t))))
+    return full.select("metric", F.explode(sets).alias("tags"), "observations", "total").groupBy("metric", "tags").agg(
+        F.sum("observations").alias("observations"), F.sum("total").cast("long").alias("total")).select(
+        "metric", F.concat_ws(",", "tags").alias("tags"), F.size("tags").alias("n_tags"), "observations", "total")
+
+
 def metric_timers(metrics: DataFrame, accuracy: int = 100000) -> DataFrame:
     """Durations (value = ms) per metric and provider: count, sum, max,
     p50/p95/p99 and SLO bucket counts.  Percentiles use the mergeable

@@ -16,9 +16,11 @@ from .. import constants as K
 from ..functions import hashing as H
 from ..functions import rows as R
 from ..functions.text import has_text
-from ..operators import dedup, ledger, parse, query, stats, validate
+from ..operators import dedup, job_log, ledger, parse, query, stats, validate
 from ..operators.transform import provider_display
+from ..session import staged
 from ..sources import providers as P
+from ..sources import states, tables
 from ..sources import testdata as TD
 from . import ingest as E
 from .oracle import jtrim, norm_text, with_ctes
@@ -1057,7 +1059,75 @@ FROM (SELECT *, lag(status) OVER (PARTITION BY processing_id ORDER BY event_ts,
             UNION ALL SELECT processing_id, end_time, 2, status FROM processing_jobs WHERE end_time IS NOT NULL))"""))
 def q_job_transitions(spark, sf):
     ev = ledger.job_events(TD.processing_jobs(spark, sf))
-    return ledger.job_transitions(ev).select("processing_id", "event_ts", "seq", "status", "previous_status", "legal")
+    return job_log.job_transitions(ev).select("processing_id", "event_ts", "seq", "status", "previous_status", "legal")
+
+
+@register("job_state", with_ctes(["job_log"], """,
+paths AS (
+  SELECT processing_id, count(*) AS events, count(status) AS moves,
+         list_reduce(list_prepend('', coalesce(list(status || '@' || CAST(epoch_us(event_ts) AS VARCHAR) ORDER BY event_ts, seq)
+                                               FILTER (WHERE status IS NOT NULL), [])), lambda p, e:
+           CASE WHEN p = ''
+                  OR (regexp_matches(p, 'PENDING@[0-9]+$') AND split_part(e, '@', 1) IN ('IN_PROGRESS', 'CANCELLED', 'FAILED'))
+                  OR (regexp_matches(p, 'IN_PROGRESS@[0-9]+$') AND split_part(e, '@', 1) IN ('COMPLETED', 'FAILED', 'CANCELLED'))
+                THEN p || '>' || e ELSE p END) AS path,
+         last(processed_files ORDER BY event_ts, seq) FILTER (WHERE processed_files IS NOT NULL) AS processed_files,
+         last(failed_files ORDER BY event_ts, seq) FILTER (WHERE processed_files IS NOT NULL) AS failed_files,
+         last(total_reviews ORDER BY event_ts, seq) FILTER (WHERE processed_files IS NOT NULL) AS total_reviews,
+         count(*) FILTER (WHERE file_list = 'processed') AS added_processed,
+         count(*) FILTER (WHERE file_list = 'failed') AS added_failed
+  FROM job_log GROUP BY processing_id)
+SELECT processing_id, nullif(regexp_extract(path, '([A-Z_]+)@[0-9]+$', 1), '') AS status, events,
+       moves - (length(path) - length(replace(path, '>', ''))) AS refused_moves,
+       make_timestamp(CAST(nullif(regexp_extract(path, 'IN_PROGRESS@([0-9]+)', 1), '') AS BIGINT)) AS start_time,
+       make_timestamp(CAST(nullif(regexp_extract(path, '(COMPLETED|FAILED|CANCELLED)@([0-9]+)$', 2), '') AS BIGINT)) AS end_time,
+       coalesce(processed_files, -1) AS processed_files, coalesce(failed_files, -1) AS failed_files,
+       coalesce(total_reviews, -1) AS total_reviews, added_processed, added_failed
+FROM paths""".replace("WITH ,", "WITH ")))
+def q_job_state(spark, sf):
+    # a job without a report shows -1, so that the counts stay whole numbers in the comparison
+    return job_log.job_state(TD.job_log(spark, sf)).fillna(-1, ["processed_files", "failed_files", "total_reviews"])
+
+
+@register("job_log_transitions", with_ctes(["job_log"], """
+SELECT processing_id, event_ts, seq, status, previous_status,
+       previous_status IS NULL OR (previous_status = 'PENDING' AND status IN ('IN_PROGRESS', 'CANCELLED', 'FAILED'))
+         OR (previous_status = 'IN_PROGRESS' AND status IN ('COMPLETED', 'FAILED', 'CANCELLED')) AS legal
+FROM (SELECT *, lag(status) OVER (PARTITION BY processing_id ORDER BY event_ts, seq) AS previous_status
+      FROM job_log WHERE status IS NOT NULL)"""))
+def q_job_log_transitions(spark, sf):
+    moves = TD.job_log(spark, sf).select("processing_id", "event_ts", "seq", "status").filter("status is not null")
+    return job_log.job_transitions(moves)
+
+
+@register("meter_counters", with_ctes(["meters"], """
+SELECT metric, tags, n_tags, count(*) AS observations, CAST(sum(value) AS BIGINT) AS total
+FROM (SELECT metric, value, unnest([t1 || ',' || t2 || coalesce(',' || t3, ''), t1, t2, t3, '']) AS tags,
+             unnest([CASE WHEN t3 IS NULL THEN 2 ELSE 3 END, 1, 1, 1, 0]) AS n_tags FROM meter_observations)
+WHERE tags IS NOT NULL GROUP BY 1, 2, 3"""))
+def q_meter_counters(spark, sf):
+    return stats.meter_counters(TD.meter_observations(spark, sf))
+
+
+@register("platform_statistics_merged", with_ctes(["reviews"], """
+SELECT platform, count(*) AS review_count, round(avg(rating), 6) AS average_rating,
+       min(rating) AS min_rating, max(rating) AS max_rating,
+       min(review_date) AS first_review_date, max(review_date) AS last_review_date,
+       count(*) FILTER (WHERE rating >= 7.0) AS positive_count,
+       count(*) FILTER (WHERE rating >= 5.0 AND rating < 7.0) AS neutral_count,
+       count(*) FILTER (WHERE rating < 5.0) AS negative_count
+FROM reviews GROUP BY platform"""))
+def q_platform_statistics_merged(spark, sf):
+    """A store of three batches, two of them with states: one before and one after a compaction."""
+    reviews = staged(TD.reviews(spark, sf).select("id", "platform", "hotel_id", "rating", "review_date"), "reviews")
+    root = f"{reviews._staged_path}-store"
+    for b in range(3):
+        tables.write_reviews(reviews.filter(F.pmod("id", F.lit(3)) == b), root, f"b{b}")
+        if b == 0:
+            tables.compact_reviews(spark, root)
+        if b < 2:
+            states.write_states(spark, root, states.REVIEWS)
+    return states.platform_statistics(spark, root).drop("median_rating")
 
 
 @register("health_thresholds", with_ctes(["ledger"], f"""

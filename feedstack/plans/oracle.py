@@ -312,6 +312,38 @@ metrics AS (
   FROM events
 )"""
 
+_K = "TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)"
+JOB_LOG = f"""
+job_log AS (
+  SELECT 'run-' || CAST(user_id AS VARCHAR) || '-' || CAST(day(ts) // 3 AS VARCHAR) AS processing_id, ts AS event_ts, event_id AS seq,
+         CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'click' THEN 'IN_PROGRESS'
+           WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'FAILED' ELSE 'COMPLETED' END END AS status,
+         CASE WHEN event_type = 'view' THEN {_K} % 10 END AS processed_files,
+         CASE WHEN event_type = 'view' THEN {_K} % 3 END AS failed_files,
+         CASE WHEN event_type = 'view' THEN CAST(floor(value) AS INTEGER) END AS total_reviews,
+         CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'processed' END END AS file_list
+  FROM events
+)"""
+
+_PROVIDER = f"'provider=' || {_case('user_id % 3', TD.FEED_CODES[:3])}"
+_STATUS = "'status=' || CASE WHEN event_id % 5 = 0 THEN 'FAILED' ELSE 'COMPLETED' END"
+METERS = f"""
+meter_observations AS (
+  SELECT CASE event_type WHEN 'view' THEN 'api.requests.total' WHEN 'click' THEN 'reviews.processed.total'
+           WHEN 'purchase' THEN 'files.processed.total' WHEN 'signup' THEN 's3.operations.total'
+           WHEN 'error' THEN 'validation.errors.total' END AS metric,
+         CASE WHEN event_type = 'view' THEN 'endpoint=' || {_case('event_id % 3', TD.METER_ENDPOINTS)}
+           WHEN event_type = 'signup' THEN 'operation=' || {_case('event_id % 4', TD.METER_OPERATIONS)}
+           WHEN event_type = 'error' THEN 'error_type=' || CASE WHEN event_id % 2 = 0 THEN 'rating' ELSE 'date' END
+           ELSE {_PROVIDER} END AS t1,
+         CASE WHEN event_type = 'view' THEN 'method=' || CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'POST' END
+           WHEN event_type = 'signup' THEN 'success=' || CASE WHEN event_id % 7 = 0 THEN 'false' ELSE 'true' END
+           WHEN event_type = 'error' THEN {_PROVIDER} ELSE {_STATUS} END AS t2,
+         CASE WHEN event_type = 'view' THEN 'status=' || CASE WHEN event_id % 5 = 0 THEN '500' ELSE '200' END END AS t3,
+         CASE WHEN event_type = 'click' THEN CAST(floor(value) AS BIGINT) ELSE 1 END AS value
+  FROM events
+)"""
+
 TEXTS = """
 review_texts AS (
   SELECT doc_id AS id, text AS review_comments, lang AS translate_source, source AS hotel_name,
@@ -345,6 +377,10 @@ def with_ctes(names: list[str], body: str, as_of: str = TD.REVIEW_AS_OF, lines_f
         parts.append(JOBS)
     if "metrics" in need:
         parts.append(METRICS)
+    if "job_log" in need:
+        parts.append(JOB_LOG)
+    if "meters" in need:
+        parts.append(METERS)
     if "texts" in need:
         parts.append(TEXTS)
     return "WITH " + ",".join(p.strip() for p in parts) + "\n" + body

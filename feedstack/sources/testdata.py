@@ -281,6 +281,9 @@ def processing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 METRIC_NAMES = {"view": "api.requests", "click": "reviews.processed", "purchase": "files.processed",
                 "signup": "s3.operations", "error": "validation.errors"}
 
+METER_ENDPOINTS = ["/reviews", "/providers", "/jobs"]
+METER_OPERATIONS = ["list", "get", "head", "put"]
+
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meter observations in long format: (metric, provider, status, value, ts)."""
@@ -297,6 +300,51 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event log of jobs: one job for each user and three days, with moves, progress reports and added files."""
+    e = table(spark, sf_dir, "events")
+    kind, n = F.col("event_type"), F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    on = lambda x, value: F.when(kind == x, value)
+    return e.select(
+        F.concat(F.lit("run-"), _s(F.col("user_id")), F.lit("-"), _s(F.floor(F.dayofmonth("ts") / 3))).alias("processing_id"),
+        F.col("ts").alias("event_ts"), n.alias("seq"),
+        F.when(kind == "signup", F.lit("PENDING")).when(kind == "click", F.lit("IN_PROGRESS")).when(
+            kind == "error", F.when(n % 2 == 0, F.lit("FAILED")).otherwise(F.lit("COMPLETED"))).alias("status"),
+        on("view", (k % 10).cast("int")).alias("processed_files"), on("view", (k % 3).cast("int")).alias("failed_files"),
+        on("view", F.floor("value").cast("int")).alias("total_reviews"),
+        on("purchase", F.concat(F.lit("file-"), _s(n))).alias("file_name"),
+        on("purchase", F.when(n % 3 == 0, F.lit("failed")).otherwise(F.lit("processed"))).alias("file_list"))
+
+
+def meter_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Increments of counters with the tags that each meter has: (metric, tags, value)."""
+    e = table(spark, sf_dir, "events")
+    n, user = F.col("event_id"), F.col("user_id")
+    provider = (F.lit("provider"), _pick(F.pmod(user, F.lit(3)), FEED_CODES[:3]))
+    status = (F.lit("status"), F.when(n % 5 == 0, F.lit("FAILED")).otherwise(F.lit("COMPLETED")))
+    meters = {
+        "view": ("api.requests.total", (
+            F.lit("endpoint"), _pick(F.pmod(n, F.lit(3)), METER_ENDPOINTS),
+            F.lit("method"), F.when(user % 2 == 0, F.lit("GET")).otherwise(F.lit("POST")),
+            F.lit("status"), F.when(n % 5 == 0, F.lit("500")).otherwise(F.lit("200")))),
+        "click": ("reviews.processed.total", (*status, *provider)),
+        "purchase": ("files.processed.total", (*status, *provider)),
+        "signup": ("s3.operations.total", (
+            F.lit("operation"), _pick(F.pmod(n, F.lit(4)), METER_OPERATIONS),
+            F.lit("success"), F.when(n % 7 == 0, F.lit("false")).otherwise(F.lit("true")))),
+        "error": ("validation.errors.total", (
+            *provider, F.lit("error_type"), F.when(n % 2 == 0, F.lit("rating")).otherwise(F.lit("date")))),
+    }
+    name = tags = None
+    for kind, (meter, pairs) in meters.items():
+        is_kind = F.col("event_type") == kind
+        one = (is_kind, F.lit(meter)), (is_kind, F.create_map(*pairs))
+        name, tags = (F.when(*one[0]), F.when(*one[1])) if name is None else (name.when(*one[0]), tags.when(*one[1]))
+    count = F.when(F.col("event_type") == "click", F.floor("value")).otherwise(F.lit(1))
+    return e.select(name.alias("metric"), tags.alias("tags"), count.cast("long").alias("value"))
+
+
 def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text reviews from ``documents`` (hash / text-normalisation inputs)."""
     d = table(spark, sf_dir, "documents")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from feedstack.operators import ledger, query, stats
+from feedstack.operators import job_log, ledger, query, stats
 
 
 def _ledger(spark, statuses):
@@ -73,7 +73,7 @@ def test_job_transitions_flag_illegal_moves(spark):
             ("j2", "2024-01-01 00:00:00", 0, "PENDING"), ("j2", "2024-01-01 00:00:00", 1, "CANCELLED")]
     ev = spark.createDataFrame(rows, "processing_id string, event_ts string, seq int, status string") \
         .withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
-    out = {(r.processing_id, r.seq): r.legal for r in ledger.job_transitions(ev).collect()}
+    out = {(r.processing_id, r.seq): r.legal for r in job_log.job_transitions(ev).collect()}
     assert out == {("j1", 0): True, ("j1", 1): True, ("j1", 2): True, ("j1", 3): False,
                    ("j2", 0): True, ("j2", 1): True}
 
