@@ -272,3 +272,10 @@ def top_by(df: DataFrame, column: str, n: int = 1, desc: bool = True, tie_break:
     c = F.col(column).desc_nulls_last() if desc else F.col(column).asc_nulls_last()
     order = [c] + ([F.col(tie_break)] if tie_break else [])
     return df.orderBy(*order).limit(n)
+
+
+def providers_by_name(providers: DataFrame, names: DataFrame) -> DataFrame:
+    """For each distinct ``name`` of a table the provider of exactly that name (case counts), and whether there is one;
+    a null name has none.  ``providers`` is joined as ``providers.sized`` marked it: broadcast only while it is small."""
+    found = names.select("name").distinct().join(providers.select("name", "id", "code"), "name", "left")
+    return found.withColumn("name_exists", F.col("id").isNotNull())

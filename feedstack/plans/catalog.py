@@ -413,6 +413,15 @@ def q_provider_lookup(spark, sf):
                     | (F.col("external_id") == "334")).select("id", "name", "code", "external_id", "is_active")
 
 
+@register("provider_by_name", _with_providers("""
+SELECT n.name, coalesce(p.code, '') AS code, p.id IS NOT NULL AS name_exists
+FROM (SELECT provider_name AS name FROM base UNION SELECT upper(provider_name) FROM base) n LEFT JOIN providers p ON p.name = n.name"""))
+def q_provider_by_name(spark, sf):
+    names = TD.feed_names(spark, sf).select(F.explode(F.array("provider_name", F.upper("provider_name"))).alias("name"))
+    return query.providers_by_name(_providers(spark, sf), names).select(
+        "name", F.coalesce("code", F.lit("")).alias("code"), "name_exists")
+
+
 @register("normalize_and_language", _with_providers("""
 SELECT r.id, round(CASE WHEN p.rating_scale IS NULL OR p.rating_scale <= 0 THEN r.rating
                         ELSE r.rating / p.rating_scale * 5.0 END, 6) AS normalized_rating,

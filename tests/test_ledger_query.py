@@ -178,3 +178,10 @@ def test_tracked_files_fit_the_log(spark):
     assert new.columns == ev.columns
     state = {r.s3_key: (r.id, r.processing_status, str(r.created_at)) for r in ledger.current_state(ev.unionByName(new)).collect()}
     assert state["new"] == (8, "PENDING", "2024-03-01 00:00:00") and state["a"][1] == "COMPLETED"
+
+
+def test_provider_by_exact_name(spark):
+    known = spark.createDataFrame([(1, "Agoda", "AGODA"), (2, "Booking", "BOOKING")], "id long, name string, code string")
+    names = spark.createDataFrame([("Agoda",), ("agoda",), ("Agoda",), (None,), ("Agod",)], "name string")
+    got = {r.name: (r.code, r.name_exists) for r in query.providers_by_name(known, names).collect()}
+    assert got == {"Agoda": ("AGODA", True), "agoda": (None, False), None: (None, False), "Agod": (None, False)}
