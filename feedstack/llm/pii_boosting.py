@@ -9,13 +9,14 @@ Two layers give spans of a text:
 The trees are trained on a small labelled table of snippets.  Its features come from the same expressions as those of
 the corpus; the boosting itself runs over the few rows of that table.  The trees are applied as CASE expressions.
 
-Patterns use possessive repeats where a greedy one could only give up the same characters, so a text of any length is
-read in one pass without deep recursion.
+Patterns use possessive repeats where a greedy one could only give up the same characters, so they don't recurse deeply
+in long texts.  Spans are compared in sweeps in order of their starts, so a text with many spans takes near linear time.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,20 +41,46 @@ GENERATORS = {
 KINDS = BASE + tuple(GENERATORS)
 #: Code points of context on either side.
 CONTEXT = 32
-#: Spans of one running sum are taken in groups of so many.
-GROUP = 256
+#: Greater than every position in a text.
+FAR = 2_147_483_647
+#: Values of one running result are taken in groups of so many; a text is cut into chunks of so many code points.
+GROUP, CHUNK = 256, 1024
 
 
-def _scan(lengths: Column) -> Column:
-    """Exclusive running sums of an array, in two levels so that the work stays near linear."""
-    def sums(xs: Column) -> Column:
-        return F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, also where the body uses it inside further lambdas."""
+    return F.transform(F.array(value), body)[0]
 
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / GROUP).cast("int")),
-                         lambda g: F.slice(lengths, g * GROUP + 1, GROUP))
-    starts = sums(F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x)))
-    return F.flatten(F.zip_with(groups, F.slice(starts, 1, F.size(groups)), lambda g, s: F.slice(
-        F.transform(sums(g), lambda x: x + s), 1, F.size(g))))
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _scan(values: Column, zero: int, step: Callable[[Column, Column], Column]) -> Column:
+    """Exclusive running results of an associative ``step`` with the neutral element ``zero`` over an array of integers,
+    in two levels so that the work stays near linear."""
+    def running(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(zero)), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+    def of(xs: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / GROUP).cast("int")),
+                             lambda g: F.slice(xs, g * GROUP + 1, GROUP))
+        return _let(groups, lambda gs: F.flatten(F.zip_with(
+            gs, F.slice(running(F.transform(gs, lambda g: F.aggregate(g, F.lit(zero), step))), 1, F.size(gs)),
+            lambda g, s: F.slice(F.transform(running(g), lambda x: step(s, x)), 1, F.size(g)))))
+
+    return _let(values, lambda xs: F.when(F.size(xs) > 0, of(xs)).otherwise(F.array().cast("array<int>")))
+
+
+def _excerpt(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text cut into chunks, without walking over what stands before."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(1))), "")
+    return F.substring(near, start % CHUNK + 1, end - start)
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,match:string>>"
@@ -61,13 +88,17 @@ SPAN = "array<struct<kind:string,start:int,end:int,match:string>>"
 
 def find_spans(text: Column, kind: str, pattern: str) -> Column:
     """All leftmost non-overlapping matches as an array of (kind, start, end, match); code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    starts = _scan(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.length(a) + F.length(b)))
-    spans = F.transform(F.arrays_zip(starts.alias("s"), F.slice(between, 1, F.size(found)).alias("b"), found.alias("m")),
-                        lambda x: F.struct(F.lit(kind).alias("kind"), (x["s"] + F.length(x["b"])).alias("start"),
-                                           (x["s"] + F.length(x["b"]) + F.length(x["m"])).alias("end"), x["m"].alias("match")))
-    return F.when(F.size(between) > 1, spans).otherwise(F.array().cast(SPAN))
+    def spans(found: Column, between: Column) -> Column:
+        starts = _scan(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.length(a) + F.length(b)),
+                       0, lambda a, b: a + b)
+        return F.transform(
+            F.arrays_zip(starts.alias("s"), F.slice(between, 1, F.size(found)).alias("b"), found.alias("m")),
+            lambda x: F.struct(F.lit(kind).alias("kind"), (x["s"] + F.length(x["b"])).alias("start"),
+                               (x["s"] + F.length(x["b"]) + F.length(x["m"])).alias("end"), x["m"].alias("match")))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(
+        F.size(found) > 0, _let(F.split(text, pattern, -1), lambda between: spans(found, between)))
+        .otherwise(F.array().cast(SPAN)))
 
 
 def _digits(match: Column) -> Column:
@@ -256,8 +287,51 @@ def score(model: tuple[float, list[tuple]], features: dict[str, Column]) -> Colu
     return total
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _free(base: Column, proposed: Column) -> Column:
+    """The proposals that overlap no base span, by start: one sweep over both in order of their starts, with the furthest
+    base end before each proposal and the next base start after it."""
+    def event(x: Column, is_proposal: int) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(is_proposal).alias("proposal"), x["end"].alias("end"),
+                        x["kind"].alias("kind"), x["match"].alias("match"))
+
+    def kept(events: Column) -> Column:
+        ends = _scan(F.transform(events, lambda e: F.when(e["proposal"] == 0, e["end"]).otherwise(F.lit(-1))), -1, _most)
+        starts = F.reverse(_scan(F.reverse(F.transform(
+            events, lambda e: F.when(e["proposal"] == 0, -e["start"]).otherwise(F.lit(-FAR)))), -FAR, _most))
+        sweep = F.arrays_zip(events.alias("e"), ends.alias("before"), starts.alias("after"))
+        return F.transform(
+            F.filter(sweep, lambda x: (x["e"]["proposal"] == 1) & (x["before"] <= x["e"]["start"])
+                     & (-x["after"] >= x["e"]["end"])),
+            lambda x: F.struct(*[x["e"][f].alias(f) for f in ("kind", "start", "end", "match")]))
+
+    events = F.concat(F.transform(base, lambda x: event(x, 0)), F.transform(proposed, lambda x: event(x, 1)))
+    return _let(F.array_sort(events), kept)
+
+
+def _winners(rated: Column) -> Column:
+    """Of proposals (start, kind, end, score, length, first, x), those that no better one overlaps, by start.
+
+    Spans of one kind don't overlap, so of two overlapping spans the one that starts first is the last of its kind before
+    the other.  So each span is compared with one span of each kind, and the lesser of two overlapping ones is out."""
+    def rank(y: Column) -> Column:
+        return F.struct(y["score"], y["length"], y["first"], y["kind"])
+
+    def kept(ys: Column) -> Column:
+        def last(kind: str) -> Column:
+            return _scan(F.transform(ys, lambda y, i: F.when(y["kind"] == kind, i).otherwise(F.lit(-1))), -1, _most).alias(kind)
+
+        def lesser(at: Column, i: Column) -> Column:
+            y, out = ys[i], []
+            for k in GENERATORS:
+                z = ys[F.greatest(at[k], F.lit(0))]
+                out.append(F.when((at[k] >= 0) & (z["end"] > y["start"]), F.when(rank(z) > rank(y), i).otherwise(at[k]))
+                           .otherwise(F.lit(-1)))
+            return F.array(*out)
+
+        out = F.flatten(F.transform(F.arrays_zip(*[last(k) for k in GENERATORS]), lesser))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(ys) - 1), out), lambda i: ys[i]["x"])
+
+    return _let(F.array_sort(rated), lambda ys: F.when(F.size(ys) > 0, kept(ys)).otherwise(F.array().cast(SPAN)))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -270,18 +344,21 @@ def detect(docs: DataFrame) -> DataFrame:
     replaced)."""
     model, threshold = train(docs.sparkSession)
     text = empty_as("text")
-    out = docs.select(*[c for c in docs.columns if c not in (*BASE, "spans", "_proposed", "_digits")])
+    out = docs.select(*[c for c in docs.columns if c not in (*BASE, "spans", "_chosen")])
     out = out.withColumns({k: base_spans(text, k) for k in BASE})
 
-    def rated(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-        after = F.substring(text, x["end"] + 1, F.lit(CONTEXT))
-        made = _features(x["match"], before, after)
-        return F.struct(F.array(*[made[f] for f in FEATURES]).alias("f"), x.alias("x"))
+    def placed(x: Column, chunks: Column) -> Column:
+        return F.struct(x.alias("x"), _excerpt(chunks, F.greatest(x["start"] - CONTEXT, F.lit(0)), x["start"]).alias("before"),
+                        _excerpt(chunks, x["end"], x["end"] + CONTEXT).alias("after"))
+
+    def rated(p: Column) -> Column:
+        made = _features(p["x"]["match"], p["before"], p["after"])
+        return F.struct(F.array(*[made[f] for f in FEATURES]).alias("f"), p["x"].alias("x"))
 
-    def selected(y: Column) -> Column:
+    def scored(y: Column) -> Column:
         made = {f: y["f"][i] for i, f in enumerate(FEATURES)}
-        return F.struct(score(model, made).alias("score"), (y["x"]["end"] - y["x"]["start"]).alias("length"),
+        return F.struct(y["x"]["start"].alias("start"), y["x"]["kind"].alias("kind"), y["x"]["end"].alias("end"),
+                        score(model, made).alias("score"), (y["x"]["end"] - y["x"]["start"]).alias("length"),
                         (-y["x"]["start"]).alias("first"), y["x"].alias("x"))
 
     base = F.concat(*BASE)
@@ -289,36 +366,49 @@ def detect(docs: DataFrame) -> DataFrame:
         F.when(text.rlike("[0-9]"), F.concat(find_spans(text, "number", GENERATORS["number"]),
                                              find_spans(text, "account", GENERATORS["account"]))).otherwise(F.array().cast(SPAN)),
         F.when(text.rlike(r"at[\])\x20]"), find_spans(text, "address", GENERATORS["address"])).otherwise(F.array().cast(SPAN)))
-    free = F.filter(proposed, lambda x: ~F.exists(base, lambda b: _overlap(b, x)))
-    good = F.filter(F.transform(F.transform(free, rated), selected), lambda y: y["score"] >= threshold)
-    out = out.withColumn("_proposed", good)
-    won = F.filter("_proposed", lambda y: ~F.exists("_proposed", lambda z: _overlap(z["x"], y["x"]) & (
-        F.struct(z["score"], z["length"], z["first"], z["x"]["kind"]) > F.struct(y["score"], y["length"], y["first"], y["x"]["kind"]))))
-    extra = F.transform(won, lambda y: y["x"])
+
+    def chosen(free: Column) -> Column:
+        return F.when(F.size(free) > 0, _let(_chunks(text), lambda chunks: _winners(F.filter(
+            F.transform(F.transform(F.transform(free, lambda x: placed(x, chunks)), rated), scored), lambda y: y["score"] >= threshold)))
+        ).otherwise(F.array().cast(SPAN))
+
+    out = out.withColumn("_chosen", _let(proposed, lambda some: F.when(
+        F.size(some) > 0, _let(_free(base, some), chosen)).otherwise(F.array().cast(SPAN))))
 
     def of_kind(kind: str) -> Column:
-        return F.array_sort(F.filter(extra, lambda s: s["kind"] == kind))
+        return F.filter("_chosen", lambda s: s["kind"] == kind)
 
     by_kind = [of_kind(k) for k in GENERATORS]
-    return out.withColumn("spans", F.concat(base, *by_kind)).drop("_proposed")
+    return out.withColumn("spans", F.concat(base, *by_kind)).drop("_chosen")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each stretch of overlapping spans of its texts replaced by ``<KIND>`` of its first span, and
     ``n_chars`` (where there is such a column) set to the new length of a text that changed.  A null text stays null."""
     found = detect(docs)
-    first = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    merged = F.aggregate(first, F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(
-            F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"),
-                F.element_at(acc, -1)["kind"].alias("kind"))))).otherwise(F.concat(acc, F.array(s))))
-    found = found.withColumn("_cut", merged)
-    ends = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda s: s["end"]))
-    pieces = F.transform("_cut", lambda s, i: F.concat(
-        F.substring(F.col("text"), ends[i] + 1, s["start"] - ends[i]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    tail = F.substring(F.col("text"), F.element_at(ends, -1) + 1, F.length("text"))
-    clean = F.when(F.size("_cut") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def stretches(spans: Column) -> Column:
+        def cut(before: Column) -> Column:  # before: the furthest end of all spans before each
+            news = F.filter(F.transform(spans, lambda s, i: F.when(before[i] <= s["start"], i)), lambda i: i.isNotNull())
+            return _let(news, lambda new: F.transform(new, lambda i, k: F.struct(
+                spans[i]["start"].alias("start"),
+                F.when(k + 1 < F.size(new), F.get(before, F.get(new, k + 1))).otherwise(
+                    F.array_max(F.transform(F.slice(spans, i + 1, F.size(spans)), lambda s: s["end"]))).alias("end"),
+                spans[i]["kind"].alias("kind"))))
+
+        return _let(_scan(F.transform(spans, lambda s: s["end"]), 0, _most), cut)
+
+    found = found.withColumn("_cut", _let(ordered, stretches))
+
+    def cleaned(chunks: Column, cut: Column) -> Column:
+        pieces = F.transform(cut, lambda s, i: F.concat(
+            _let(F.when(i > 0, F.get(cut, i - 1)["end"]).otherwise(F.lit(0)), lambda at: _excerpt(chunks, at, s["start"])),
+            F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at(cut, -1)["end"] + 1, F.length("text")))
+
+    clean = F.when(F.size("_cut") > 0, _let(_chunks(F.col("text")), lambda chunks: cleaned(chunks, F.col("_cut")))
+                   ).otherwise(F.col("text"))
     found = found.withColumn("_clean", clean)
     columns = []
     for c in docs.columns:

@@ -1,7 +1,10 @@
 """Personal data: base kinds against a brute-force version, proposals, redaction, native plan."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from feedstack.llm import pii_boosting as P
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -59,3 +62,48 @@ def test_redaction(spark):
     assert got.columns == ["doc_id", "text", "n_chars"]
     assert sorted(map(tuple, got.collect())) == [
         (1, "mail <EMAIL> or <PHONE>!", 24), (2, None, None), (3, "clean text", 3), (4, "<EMAIL> x", 9)]
+
+
+def _spans(rnd, kinds, count):
+    """Random spans that don't overlap within their kind."""
+    out = []
+    for kind in kinds:
+        at = rnd.randrange(9)
+        for _ in range(count):
+            end = at + rnd.choice((1, 2, 5, 30))
+            out.append((kind, at, end, "m"))
+            at = end + rnd.randrange(12)
+    return out
+
+
+def _meet(a, b):
+    return a[1] < b[2] and b[1] < a[2]
+
+
+def test_sweeps_equal_all_pairs(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i, n in enumerate((0, 1, 2, 3, 20, 300, 700)):
+        base, proposed = _spans(rnd, P.BASE, n // 2), _spans(rnd, P.GENERATORS, n)
+        rated = [(s, k, e, rnd.choice((0.5, 1.5)), e - s, -s, (k, s, e, m)) for k, s, e, m in proposed]
+        rows.append((i, base, proposed, rated))
+    table = spark.createDataFrame(rows, f"i int, base {P.SPAN}, proposed {P.SPAN}, rated array<struct<start:int,kind:string,"
+                                        f"end:int,score:double,length:int,first:int,x:{P.SPAN[6:-1]}>>")
+    got = {r.i: r for r in table.select("i", P._free(F.col("base"), F.col("proposed")).alias("free"),
+                                        P._winners(F.col("rated")).alias("won")).collect()}
+    for i, base, proposed, rated in rows:
+        free = [x for x in proposed if not any(_meet(x, b) for b in base)]
+        won = [y[6] for y in rated if not any(_meet(y[6], z[6]) and (*z[3:6], z[1]) > (*y[3:6], y[1]) for z in rated)]
+        assert sorted(map(tuple, got[i].free)) == sorted(free)
+        assert sorted(map(tuple, got[i].won)) == sorted(won)
+
+
+def test_many_spans_in_one_text(spark):
+    one = "é call 212-555-0147 or a1@b.cc, +1 212 555 0100 😀 "
+    text = one * 1500
+    docs = spark.createDataFrame([(1, text, 0), (2, one, 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.spans for r in P.detect(docs).collect()}
+    assert len(got[1]) == 1500 * len(got[2]) == 4500
+    assert all(text[s.start:s.end] == s.match for s in got[1])
+    clean = {r.doc_id: r.text for r in P.redact(docs).collect()}
+    assert clean[2] == "é call <NUMBER> or <EMAIL>, <PHONE> 😀 " and clean[1] == clean[2] * 1500
