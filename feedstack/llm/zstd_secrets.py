@@ -1,6 +1,6 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-Strings in a sensitive context are candidates.  Each is measured by its marginal compressed bytes: how many more bytes its
+Strings in a sensitive context, of a shape that words don't have, are candidates.  Each is measured by its marginal compressed bytes: how many more bytes its
 surroundings take with it than without it, for a compressor primed with a dictionary of code vocabulary and of the corpus's
 own most frequent identifiers.  Words, names and repeated text cost little after such a dictionary; keys and passwords cannot
 be compressed and are reported.  Three base patterns (assignments, access keys, long hex) are always reported.
@@ -27,10 +27,18 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that an assignment holds, as a cheap test before the pattern.
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A candidate of the method: a long string with a digit, and what makes its context sensitive.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]{16,}")
+#: A candidate of the method: a string of SHORT characters or more whose shape is unlike a word's.
+SHORT, LONG = 8, 16
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]{8,}")
 #: The parts of a candidate between its equals signs (those at its end are padding): what stands before counts as context.
-PIECE = re.compile(r"[A-Za-z0-9+/_~-]{16,}(?:=+\Z)?")
+PIECE = re.compile(r"[A-Za-z0-9+/_~-]{8,}(?:=+\Z)?")
+#: Shapes: a change of class (digit, lower, upper), a lower-case letter before a capital, letters that no word has in a row.
+_CHANGE = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
+_RISE = re.compile(r"[a-z][A-Z]")
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6}", re.I)
+_DIGIT = re.compile(r"[0-9]")
+#: Changes of class in a short candidate, and rises in a long one without digits, from which on it is measured.
+CHANGES, RISES = 4, 4
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|"
                        r"client.?id|\bkey\b|\bpwd\b|\bsalt\b|session|cookie", re.I)
 #: Code points around a candidate that count as its context, and its surroundings for the compressor.
@@ -96,6 +104,16 @@ class Novelty:
         return max(more, 0) / max(len(c), 1)
 
 
+def unlike_words(c: str) -> bool:
+    """Whether a candidate's shape lets it be a key: a long one has a digit beside other characters, capitals inside it or
+    consonants in a row as words don't; a short one has a digit and several changes between digits, capitals and others."""
+    if c.isdigit():
+        return False
+    if _DIGIT.search(c):
+        return len(c) >= LONG or sum(1 for _ in _CHANGE.finditer(c)) >= CHANGES
+    return len(c) >= LONG and (sum(1 for _ in _RISE.finditer(c)) >= RISES or _CONSONANTS.search(c) is not None)
+
+
 def scan(text: str, novelty: Novelty) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, novelty) of a text's secrets by start, then kind."""
     found: list[tuple[str, int, int]] = []
@@ -108,25 +126,28 @@ def scan(text: str, novelty: Novelty) -> list[tuple[str, int, int, float]]:
     out = [(k, a, b, novelty(text[max(0, a - AROUND):a], text[a:b], text[b:b + AROUND])) for k, a, b in found]
     taken = sorted((a, b) for _, a, b in found)
     place = 0
-    for m in CANDIDATE.finditer(text):
+    for m in CANDIDATE.finditer(text) if SENSITIVE.search(text) else ():
+        if len(m[0]) < LONG and not unlike_words(m[0]) and "=" not in m[0]:  # most words
+            continue
         whole = m.span()
         while place < len(taken) and taken[place][1] <= whole[0]:
             place += 1
         near = list(takewhile(lambda s, end=whole[1]: s[0] < end, taken[max(0, place - 2):]))
         pieces = [x.span() for x in PIECE.finditer(text, *whole)]
-        novel = False
-        for a, b in dict.fromkeys([*pieces, whole]):
-            if (a, b) == whole and novel:  # a part of it is reported
+        long = [x for x in pieces if x[1] - x[0] >= LONG]
+        reported: list[tuple[int, int]] = []
+        for a, b in dict.fromkeys([*long, whole, *pieces]):
+            if any(s < b and a < e for s, e in reported):  # a part of it is reported, or a string that holds it
                 continue
             c = text[a:b]
-            if not any(x.isdigit() for x in c) or c.isdigit() or not SENSITIVE.search(text, max(0, a - CONTEXT), a):
+            if not unlike_words(c) or not SENSITIVE.search(text, max(0, a - CONTEXT), a):
                 continue
             if any(s < b and a < e for s, e in near):
                 continue
             n = novelty(text[max(0, a - AROUND):a], c, text[b:b + AROUND])
             if n >= NOVELTY:
                 out.append(("novel", a, b, n))
-                novel = True
+                reported.append((a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -56,3 +56,18 @@ def test_unquoted_assignments():
     assert novel(f"bearer a={key}={key[::-1]}") == [key, key[::-1]]
     assert novel("session=example_test_sample_default_value_2") == []
     assert novel("the bearer is id=Zq3vR8pLw1Xk7") == ["id=Zq3vR8pLw1Xk7"]  # too short without its name
+
+
+def test_short_and_letter_only_keys():
+    novelty = Z.Novelty(" ".join(Z.CODE_WORDS).encode())
+
+    def novel(text):
+        return [text[a:b] for kind, a, b, _ in Z.scan(text, novelty) if kind == "novel"]
+
+    for key in ("Zq3vR8pLw1Xk", "qWErtYuiOPasDFghJKlzXcVbNm", "xkqzvbnmtrwpdfghj", "a8Kd02Lq"):
+        for text in (f"auth bearer {key}", f"the session key: {key} ends", f"auth={key}", f"see /x?id=4&signature={key}&page=2"):
+            assert novel(text) == [key], (key, text)
+        assert novel(f"the house: {key}") == []
+    for word in ("authentication", "internationalization", "2019-2020", "12345678", "HttpServletRequest", "strengthsandweaknesses",
+                 "session_id_42", "user@example", "iphone12pro", "1234567890123456"):
+        assert novel(f"the session key {word} is") == [], word
