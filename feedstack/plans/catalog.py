@@ -354,10 +354,10 @@ def q_avg_rating_by_hotel(spark, sf):
 
 _PROVIDERS_SQL = f"""
 providers AS (
-  SELECT * FROM (VALUES {", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', '{r[3]}', {str(r[4]).lower()}, {r[5]}, '{r[6]}', '{r[7]}')" for r in P.SEED_ROWS)})
-    AS t(id, name, code, external_id, is_active, rating_scale, supported_languages, api_endpoint)
+  SELECT * FROM (VALUES {", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', '{r[3]}', {str(r[4]).lower()}, {r[5]}, '{r[6]}', '{r[7]}', '{r[8]}')" for r in P.SEED_ROWS)})
+    AS t(id, name, code, external_id, is_active, rating_scale, supported_languages, api_endpoint, provider_type)
   UNION ALL
-  SELECT CAST(('0x' || substr(md5(name), 1, 15)) AS BIGINT), name, upper(name), NULL, true, 5.0, 'en', NULL
+  SELECT CAST(('0x' || substr(md5(name), 1, 15)) AS BIGINT), name, upper(name), NULL, true, 5.0, 'en', NULL, 'HOTEL_BOOKING'
   FROM (SELECT DISTINCT provider_name AS name FROM base)
   WHERE name NOT IN ({", ".join(f"'{r[1]}'" for r in P.SEED_ROWS)})
 )"""
@@ -386,22 +386,22 @@ def q_provider_counts(spark, sf):
 
 
 @register("providers_active", _with_providers("""
-SELECT name, code, rating_scale, supported_languages FROM providers WHERE is_active AND name <> 'Booking' ORDER BY name"""))
+SELECT name, code, rating_scale, supported_languages, provider_type FROM providers WHERE is_active AND name <> 'Booking' ORDER BY name"""))
 def q_providers_active(spark, sf):
     p = P.set_active(_providers(spark, sf), "Booking", False)
-    return P.providers_active(p).select("name", "code", "rating_scale", "supported_languages")
+    return P.providers_active(p).select("name", "code", "rating_scale", "supported_languages", "provider_type")
 
 
 @register("ingest_providers", with_ctes(["staged"], f"""
-SELECT * FROM (VALUES {", ".join(f"('{x[1]}', '{x[2]}', {x[5]}, '{x[6]}')" for x in P.SEED_ROWS)})
-  AS t(name, code, rating_scale, supported_languages)
+SELECT * FROM (VALUES {", ".join(f"('{x[1]}', '{x[2]}', {x[5]}, '{x[6]}', '{x[8]}')" for x in P.SEED_ROWS)})
+  AS t(name, code, rating_scale, supported_languages, provider_type)
 UNION ALL
-SELECT DISTINCT provider, upper(provider), 5.0, 'en' FROM tagged
+SELECT DISTINCT provider, upper(provider), 5.0, 'en', 'HOTEL_BOOKING' FROM tagged
 WHERE stage = 'candidate' AND provider NOT IN ({", ".join(f"'{x[1]}'" for x in P.SEED_ROWS)})"""))
 def q_ingest_providers(spark, sf):
     """X2 within E1: only names of valid lines create a provider."""
     names = _staged(spark, sf).filter(F.col("stage") == "candidate").select("provider_name")
-    return P.lookup_or_create(spark, names).select("name", "code", "rating_scale", "supported_languages")
+    return P.lookup_or_create(spark, names).select("name", "code", "rating_scale", "supported_languages", "provider_type")
 
 
 @register("provider_lookup", _with_providers("""

@@ -76,7 +76,7 @@ def _new_providers(spark: SparkSession, lined: DataFrame, root: str, batch_id: s
     known = P.seed_providers(spark)
     prior = tables.read_store(spark, f"{root}/providers")
     if prior is not None:
-        known = known.unionByName(prior.filter(F.col("batch_id") != batch_id).select(*known.columns))
+        known = known.unionByName(P.with_type(prior).filter(F.col("batch_id") != batch_id).select(*known.columns))
     names = lined.filter(F.col("stage") == "candidate").select(F.col("provider_name"))
     return P.created_providers(names, known)
 

@@ -58,6 +58,16 @@ def test_unknown_names_become_providers(spark):
         ("AIRBNB", True, 5.0, "en", None)
 
 
+def test_providers_have_a_type(spark):
+    names = spark.createDataFrame([("Airbnb",)], "provider_name string")
+    rows = {r.name: r for r in P.lookup_or_create(spark, names).collect()}
+    assert {r.provider_type for r in rows.values()} == {"HOTEL_BOOKING"}
+    assert [(n, rows[n].external_id) for n in ("Agoda", "Booking", "Expedia")] == [("Agoda", "332"), ("Booking", "333"), ("Expedia", "334")]
+    old = spark.createDataFrame([("x", None), ("y", "FLIGHT")], "name string, provider_type string")
+    assert [r.provider_type for r in P.with_type(old).orderBy("name").collect()] == ["HOTEL_BOOKING", "FLIGHT"]
+    assert P.with_type(old.drop("provider_type")).filter("provider_type = 'HOTEL_BOOKING'").count() == 2
+
+
 def test_only_a_small_dimension_is_broadcast(spark):
     dim = spark.range(20).select(F.col("id").cast("string").alias("code"))
     facts = spark.range(100).select((F.col("id") % 20).cast("string").alias("code"))
