@@ -51,3 +51,10 @@ def test_base_sends_a_line_through_two_exchanges(spark, tables):
 def test_repeated_steps_read_a_written_table(spark, tables, query):
     plan = query(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan
+
+
+def test_parse_dates_filters_a_written_table(spark, tables):
+    # a filter over the parse would be pushed below it and parse each line several times
+    got = catalog.q_parse_dates(spark, tables)
+    assert "parse_json" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.transform_date for r in got.collect()} == {DAY}
