@@ -185,3 +185,12 @@ def test_provider_by_exact_name(spark):
     names = spark.createDataFrame([("Agoda",), ("agoda",), ("Agoda",), (None,), ("Agod",)], "name string")
     got = {r.name: (r.code, r.name_exists) for r in query.providers_by_name(known, names).collect()}
     assert got == {"Agoda": ("AGODA", True), "agoda": (None, False), None: (None, False), "Agod": (None, False)}
+
+
+def test_replay_narrows_the_lines_before_their_shuffle(spark):
+    runs = spark.createDataFrame([("a", "FAILED"), ("b", "COMPLETED"), (None, "FAILED")], "s3_key string, processing_status string")
+    lines = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1)] + [(f"c{i}", 1) for i in range(500)],
+                                  "file_key string, line_no int")
+    got = ledger.replay_failed(runs, lines)
+    assert sorted(map(tuple, got.collect())) == [("a", 1), ("a", 2)]
+    assert "bitmap_construct_agg" in got._jdf.queryExecution().optimizedPlan().toString()
